@@ -29,7 +29,7 @@ def best_measures(spark, sf_dir):
 
 QUERIES["best_measure"] = best_measures
 SQL["best_measure"] = f"""WITH {st.CLEAN_SQL}
-SELECT l_orderkey, l_linenumber, raw_key, measure_type, value FROM best"""
+SELECT l_orderkey, l_linenumber, raw_key, measure_type, value FROM picked"""
 
 QUERIES["clean_rows"] = st.cleaned
 SQL["clean_rows"] = f"WITH {st.CLEAN_SQL} SELECT * FROM clean"
@@ -56,7 +56,7 @@ def chunk_counts(spark, sf_dir):
 
 QUERIES["chunk_counts"] = chunk_counts
 SQL["chunk_counts"] = f"""WITH {st.CLEAN_SQL}
-SELECT l_orderkey // 100 AS chunk, count(*) AS n_raw, count(measure_type) AS n_cleaned FROM best GROUP BY 1"""
+SELECT l_orderkey // 100 AS chunk, count(*) AS n_raw, count(measure_type) AS n_cleaned FROM picked GROUP BY 1"""
 
 QUERIES["target_exact"] = lambda spark, sf_dir: targets.filter_target(
     st.master(spark, sf_dir), "economy", "exact"

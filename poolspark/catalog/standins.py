@@ -83,7 +83,7 @@ parsed AS (
   SELECT *, {NUMBER_SQL.format(c='ki')} AS vki, {NUMBER_SQL.format(c='kd')} AS vkd,
     {NUMBER_SQL.format(c='ic50')} AS vic FROM raw
 ),
-best AS (
+picked AS (
   SELECT *, CASE WHEN vki > 0 THEN 'Ki' WHEN vkd > 0 THEN 'Kd' WHEN vic > 0 THEN 'IC50' END AS measure_type,
     CASE WHEN vki > 0 THEN vki WHEN vkd > 0 THEN vkd WHEN vic > 0 THEN vic END AS value,
     CASE WHEN vki > 0 THEN ki WHEN vkd > 0 THEN kd WHEN vic > 0 THEN ic50 END AS chosen
@@ -93,7 +93,7 @@ clean AS (
   SELECT target_name, raw_key, NULLIF(trim(raw_key), '') AS entity_key, measure_type, value,
     CASE WHEN trim(chosen) LIKE '<%' THEN '<' WHEN trim(chosen) LIKE '>%' THEN '>' ELSE '=' END AS relation,
     l_orderkey, l_linenumber
-  FROM best WHERE target_name IS NOT NULL AND raw_key IS NOT NULL AND measure_type IS NOT NULL
+  FROM picked WHERE target_name IS NOT NULL AND raw_key IS NOT NULL AND measure_type IS NOT NULL
     AND NULLIF(trim(raw_key), '') IS NOT NULL
 )"""
 

@@ -117,22 +117,20 @@ def attach_metric(campaigns: DataFrame, summary: DataFrame, round_id: int = REPO
 def descriptor_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r of every pair (a, b) over rows where both are known; NULL for a constant column.
 
-    All pairs are aggregated in one pass with mergeable moments.
+    Rows are unfolded into pairs and summed up in the same task, so only one row per pair and task
+    is shuffled.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    moments = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        r = F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread))
-        moments.append(r.alias(f"r{i}"))
-    one = df.agg(*moments)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            rows.append(F.struct(F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"r{i}").alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+    number = lambda name: F.col(name).cast("double")
+    pairs = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), number(a).alias("x"), number(b).alias("y"))
+        for i, a in enumerate(columns)
+        for b in columns[i:]
+    ]
+    complete = df.select(*columns).select(F.inline(F.array(*pairs))).na.drop(subset=["x", "y"])
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    half = complete.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("r"))
+    mirrored = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    return half.unionByName(mirrored)
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
