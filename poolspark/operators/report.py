@@ -129,8 +129,8 @@ def descriptor_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     complete = df.select(*columns).select(F.inline(F.array(*pairs))).na.drop(subset=["x", "y"])
     spread = F.stddev_pop("x") * F.stddev_pop("y")
     half = complete.groupBy("a", "b").agg(F.try_divide(F.covar_pop("x", "y"), spread).alias("r"))
-    mirrored = half.where(F.col("a") != F.col("b")).select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
-    return half.unionByName(mirrored)
+    both = F.array(F.struct("a", "b", "r"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
+    return half.select(F.inline(F.array_distinct(both)))
 
 
 def melt(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

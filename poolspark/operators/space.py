@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from poolspark.functions.features import DEFAULT_BITS
 from poolspark.operators.features import as_vector
+from poolspark.operators.ranking import top_k
+from poolspark.session import shared_table
 
 # ml's PCA keeps a width x width matrix of doubles on the driver: 512 MB at this width.
 MAX_PCA_WIDTH = 8192
@@ -63,3 +68,93 @@ def projection_rows(projected: DataFrame, keys: Sequence[str], pairs: Sequence[t
 def overlay(projected: DataFrame, tags: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Embedding rows with the campaign tags of the same items, matched by key."""
     return projected.join(tags, list(keys))
+
+
+# Nearest neighbours -----------------------------------------------------------------------------
+
+N_NEIGHBORS = 15
+# Rows per block; two blocks meet in one task.
+BLOCK_ROWS = 4096
+
+
+def knn_jaccard(
+    df: DataFrame, k: int = N_NEIGHBORS, row_id: str = "mol_id", fp: str = "fp", n_bits: int = DEFAULT_BITS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Exact k-nearest-neighbour edges by Jaccard distance: src, dst, dist, rank; ties by smaller id.
+
+    Identical fingerprints are searched once, so a large group of copies costs one search. Distinct
+    fingerprints are dealt to blocks of fixed size, and each pair of blocks is one task that keeps
+    only the k best per row: no pair table is ever built, whatever the data look like. The number
+    of comparisons is quadratic in the distinct fingerprints, as for any exact search.
+    """
+    rows = df.where(F.size(fp) > 0).select(F.col(row_id).alias("src"), F.col(fp).alias("fp"))
+    first = top_k(rows, ["fp"], [F.col("src")], k + 1, "_r")
+    # At most k + 1 ids per group: enough to serve as neighbours of a copy or of another group.
+    unique = first.groupBy("fp").agg(F.array_sort(F.collect_list("src")).alias("ids"))
+    unique = shared_table(unique.withColumn("gid", F.element_at("ids", 1)), "fingerprints")
+
+    found = _nearest_groups(unique.select("gid", "fp"), k, n_bits, block_rows)
+    members = unique.select(F.col("gid").alias("other"), F.col("ids").alias("other_ids"))
+    expanded = found.join(members, "other").groupBy("gid").agg(
+        F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct(F.col("dist"), i.alias("dst"))))).alias("near")
+    )
+    own = F.transform("ids", lambda i: F.struct(F.lit(0.0).alias("dist"), i.alias("dst")))
+    nothing = F.array().cast("array<struct<dist:double,dst:bigint>>")
+    best = unique.join(expanded, "gid", "left").select(
+        "fp", F.slice(F.array_sort(F.concat(own, F.coalesce("near", nothing))), 1, k + 1).alias("near")
+    )
+    others = F.slice(F.filter("near", lambda e: e["dst"] != F.col("src")), 1, k)
+    edges = rows.join(best, "fp").select("src", F.posexplode(others).alias("rank", "edge"))
+    return edges.select("src", "edge.dst", "edge.dist", (F.col("rank") + 1).alias("rank"))
+
+
+NEAREST_SCHEMA = "gid bigint, other bigint, dist double"
+
+
+def _nearest_groups(unique: DataFrame, k: int, n_bits: int, block_rows: int) -> DataFrame:
+    """gid, other, dist: the k nearest other fingerprints of each fingerprint."""
+    n_blocks = max(1, -(-unique.count() // block_rows))
+    block = F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("int")
+    # A row of block b takes part in the pairs (b, j) and (i, b): n_blocks pairs in all.
+    partners = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    placed = unique.withColumn("own", block).withColumn("_p", partners)
+    placed = placed.select("gid", "fp", "own", F.least("own", "_p").alias("left"), F.greatest("own", "_p").alias("right"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group["left"].iloc[0], group["right"].iloc[0]
+        a, b = group[group["own"] == left], group[group["own"] == right]
+        parts = [nearest_jaccard(a, b, k, n_bits)]
+        if left != right:
+            parts.append(nearest_jaccard(b, a, k, n_bits))
+        return pd.concat(parts, ignore_index=True)
+
+    found = placed.groupBy("left", "right").applyInPandas(search, NEAREST_SCHEMA)
+    return top_k(found, ["gid"], [F.col("dist"), F.col("other")], k).drop("rank")
+
+
+def nearest_jaccard(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, n_bits: int, chunk: int = 512) -> pd.DataFrame:
+    """The k nearest candidates of each query, by (distance, id), a chunk of queries at a time."""
+    ids = candidates["gid"].to_numpy()
+    dense = bit_matrix(candidates["fp"], n_bits)
+    sizes = dense.sum(axis=1)
+    out = []
+    for start in range(0, len(queries), chunk):
+        part = queries.iloc[start : start + chunk]
+        x = bit_matrix(part["fp"], n_bits)
+        shared = (x @ dense.T).astype(np.float64)
+        dist = 1.0 - shared / (x.sum(axis=1)[:, None] + sizes[None, :] - shared)
+        for gid, d in zip(part["gid"].to_numpy(), dist):
+            at = np.flatnonzero(ids != gid)
+            if len(at) > k:
+                at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+            at = at[np.lexsort((ids[at], d[at]))[:k]]
+            out.append(pd.DataFrame({"gid": gid, "other": ids[at], "dist": d[at]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"gid": [], "other": [], "dist": []})
+
+
+def bit_matrix(bits: pd.Series, n_bits: int) -> np.ndarray:
+    x = np.zeros((len(bits), n_bits), dtype=np.float32)
+    if len(bits):
+        x[np.repeat(np.arange(len(bits)), bits.str.len()), np.concatenate(bits.to_numpy())] = 1.0
+    return x

@@ -50,6 +50,7 @@ class Backtest:
     history: DataFrame
     models: DataFrame
     pool: DataFrame
+    seeds: tuple[int, ...]
 
 
 def run_backtest(
@@ -92,7 +93,7 @@ def run_backtest(
     scores = score_rows(pool, fitted, seeds, held_out=True)
     quality = auc_by_group(scores, ["campaign", "round"])
     history = _history(campaigns, labeled, quality, n_rounds)
-    return Backtest(campaigns, labeled, history, fitted, pool)
+    return Backtest(campaigns, labeled, history, fitted, pool, tuple(seeds))
 
 
 def _require_enough(pool, seeds, strategies, n_initial, batch_size, n_rounds) -> None:
