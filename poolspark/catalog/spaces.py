@@ -109,7 +109,7 @@ def campaign_panel(spark, sf_dir):
     projected, _ = space.fit_pca(st.pool(spark, sf_dir), 2)
     rows = panels.campaign_panel(small_run(spark, sf_dir), projected, 2)
     return rows.select(
-        "campaign", "mol_id", "tag", "truth_tag", "label", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "roc_auc_mean")]
+        "campaign", "mol_id", "tag", "truth_tag", "active", "label", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "roc_auc_mean")]
     )
 
 

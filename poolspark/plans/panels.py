@@ -24,14 +24,14 @@ def campaign_state(run: Backtest) -> DataFrame:
 
 
 def campaign_panel(run: Backtest, projected: DataFrame, round_id: int) -> DataFrame:
-    """Tags, coordinates and metric annotation of every campaign at a round."""
+    """Tags, coordinates, metric annotation and display label of every campaign at a round."""
     tagged = pool.truth_tags(pool.state_at_round(campaign_state(run), round_id))
-    tagged = tagged.withColumnRenamed("init", "initialization_strategy")
+    tagged = tagged.withColumnRenamed("init", "initialization_strategy").withColumnRenamed("label", "active")
     points = projected.select(
         "target", "mol_id", F.element_at("embedding", 1).alias("pc1"), F.element_at("embedding", 2).alias("pc2")
     )
     placed = space.overlay(tagged, points, ["target", "mol_id"])
-    return report.attach_metric(placed, report.summarize(run.history), round_id).drop("label_default")
+    return report.attach_metric(placed, report.summarize(run.history), round_id)
 
 
 def projection_panel(projected: DataFrame, explained: Sequence[float], neighbours: DataFrame | None = None):
