@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from poolspark.catalog import standins as st
 from poolspark.functions.measures import parse_measure
 from poolspark.operators import clean, targets
+from poolspark.session import shared_table
 
 QUERIES = {}
 SQL = {}
@@ -96,7 +97,7 @@ SELECT target, query, "match", threshold, CAST(sum(n) AS BIGINT) AS n_raw, CAST(
 FROM per_entity GROUP BY target, query, "match", threshold"""
 
 QUERIES["measure_percentiles"] = lambda spark, sf_dir: targets.affinity_percentiles(
-    st.labelled(spark, sf_dir), ["target"], "value_median"
+    shared_table(st.labelled(spark, sf_dir).select("target", "value_median"), "slices"), ["target"], "value_median"
 ).withColumn("value", F.round("value", 6))
 SQL["measure_percentiles"] = f"""WITH {st.LABELLED_SQL},
 ps AS (SELECT unnest([0, 10, 25, 50, 75, 90, 95, 99, 100]) AS percent),

@@ -9,6 +9,7 @@ from poolspark.functions.features import DESCRIPTORS
 from poolspark.operators import features, report, targets
 from poolspark.operators.pool import STRATEGIES
 from poolspark.plans.compare import compare_targets, target_cards
+from poolspark.sources.tables import spread
 
 QUERIES = {}
 SQL = {}
@@ -143,7 +144,9 @@ RATIOS = ("vowel_ratio", "mean_word", "space_ratio")
 
 
 def descriptors(spark, sf_dir):
-    docs = st.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mol_id"), F.col("lang").alias("target"), "text")
+    docs = spread(
+        st.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("mol_id"), F.col("lang").alias("target"), "text")
+    )
     labels = st.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("mol_id"), F.col("quality").alias("label"))
     profiled = features.add_profile(docs, "text").select("target", "mol_id", *DESCRIPTORS)
     return profiled.join(labels, "mol_id", "left").select("target", "mol_id", *DESCRIPTORS, "label")

@@ -11,6 +11,7 @@ from poolspark.operators import features, report, space
 from poolspark.plans import panels
 from poolspark.plans.backtest import run_backtest
 from poolspark.session import shared_dir
+from poolspark.sources.tables import spread
 from poolspark.streaming.clean_stream import clean_stream, read_cleaned
 
 QUERIES = {}
@@ -19,7 +20,7 @@ SQL = {}
 
 def fingerprints(spark, sf_dir, method="md5"):
     """Four-word shingles of whole texts."""
-    docs = st.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(st.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return features.featurize(docs, "text", unit="word", method=method).select("doc_id", "fp")
 
 

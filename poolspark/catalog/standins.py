@@ -11,6 +11,7 @@ from poolspark.functions.scoring import logistic_score
 from poolspark.operators.clean import build_master, clean
 from poolspark.operators.targets import label_targets
 from poolspark.sources.registry import registry_from_rows
+from poolspark.sources.tables import spread
 
 ORDER = ("l_orderkey", "l_linenumber")
 
@@ -31,9 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem joined to part, its numbers dressed up as messy measurement strings."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"
-    )
+    ))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     quantity = F.col("l_quantity").cast("bigint")
     price = F.col("l_extendedprice").cast("bigint")

@@ -32,8 +32,9 @@ def text_units(text: Column, unit: str = "char") -> Column:
 def ngrams(units: Column, size: int, unit: str = "char") -> Column:
     """All runs of ``size`` consecutive units, joined to strings; NULL if there are too few.
 
-    Shifted copies of the array are zipped, which stays linear in the text length; taking a
-    substring per position would rescan a UTF-8 string from its start each time.
+    Shifted copies of the array are zipped, which stays linear in the text length. Taking a
+    substring per position would rescan a UTF-8 string from its start each time, and reading the
+    array inside a lambda would build it again for every position.
     """
     glue = F.lit("" if unit == "char" else " ")
     grams = units

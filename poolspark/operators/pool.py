@@ -144,10 +144,10 @@ def _starting_keys(pool: DataFrame, seeds: Sequence[int], method: str, *columns:
     return open_rows.withColumn("_k", order_key(start, F.col("mol_id"), method))
 
 
-def pool_sizes(pool: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """Rows available per (target, seed), counted in one pass without repeating rows per seed."""
+def pool_sizes(pool: DataFrame, seeds: Sequence[int], held_out: bool = False) -> DataFrame:
+    """Rows available (or held out) per (target, seed), counted in one pass without repeating rows per seed."""
     counted = pool.groupBy("target").agg(
-        *[F.count(F.when(~F.element_at("test_mask", i + 1), 1)).alias(str(s)) for i, s in enumerate(seeds)]
+        *[F.count(F.when(F.element_at("test_mask", i + 1) == F.lit(held_out), 1)).alias(str(s)) for i, s in enumerate(seeds)]
     )
     long = counted.unpivot("target", [str(s) for s in seeds], "seed", "n")
     return long.withColumn("seed", F.col("seed").cast("int"))

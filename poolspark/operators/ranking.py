@@ -28,6 +28,10 @@ MAX_HOT = 100_000
 FANOUT = 32
 
 
+def _group_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys) if keys else F.lit(0).cast("bigint")
+
+
 @dataclass(frozen=True)
 class HotGroups:
     """Hashes of the groups, by ``keys``, that are too large for one task."""
@@ -39,17 +43,19 @@ class HotGroups:
         """(rows of ordinary groups, rows of hot groups or None)."""
         if self.hashes is None:
             return df, None
-        tagged, listed = df.withColumn("_g", F.xxhash64(*self.keys)), F.broadcast(self.hashes)
+        tagged, listed = df.withColumn("_g", _group_hash(self.keys)), F.broadcast(self.hashes)
         return tagged.join(listed, "_g", "left_anti").drop("_g"), tagged.join(listed, "_g", "left_semi").drop("_g")
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> HotGroups:
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, weight: str | None = None) -> HotGroups:
     """Find the groups with more than ``limit`` rows: one counting job that reads the keys only.
 
-    ``keys`` may be a subset of the grouping keys used later, if that is cheaper to read. Groups
-    are identified by a 64-bit hash; two groups that share a hash merely go the same way.
+    ``keys`` may be a subset of the grouping keys used later, and ``df`` any frame whose counts
+    bound theirs, if that is cheaper to read; ``weight`` names a column of row counts. Groups are
+    identified by a 64-bit hash; two groups that share a hash merely go the same way.
     """
-    sizes = df.groupBy(F.xxhash64(*keys).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    sizes = df.groupBy(_group_hash(keys).alias("_g")).agg(rows.alias("_n"))
     found = sizes.where(F.col("_n") > limit).orderBy(F.desc("_n")).select("_g").limit(MAX_HOT).collect()
     return HotGroups(tuple(keys), df.sparkSession.createDataFrame(found, "_g bigint") if found else None)
 
@@ -107,16 +113,20 @@ def _plain_sums(counted: DataFrame, keys: Sequence[str], value: str, columns: Se
 
 
 def running_sums(
-    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Column], hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
-    """One row per (keys, value) with the given sums and ``before_<name>``, the sum over smaller values."""
+    """One row per (keys, value) with the given sums and ``before_<name>``, the sum over smaller values.
+
+    ``hot`` passes on an earlier probe.
+    """
     usable = df.na.drop(subset=[*keys, value])
-    ordinary, hot = hot_groups(usable, keys, hot_rows).split(usable)
+    ordinary, large = (hot or hot_groups(usable, keys, hot_rows)).split(usable)
     columns = ["n", *sums]
     plain = _plain_sums(value_counts(ordinary, keys, value, **sums), keys, value, columns)
-    if hot is None:
+    if large is None:
         return plain
-    counted = shared_table(value_counts(hot, keys, value, **sums), "value-counts")
+    counted = shared_table(value_counts(large, keys, value, **sums), "value-counts")
     return plain.unionByName(_bucketed_sums(counted, keys, value, columns))
 
 
@@ -171,7 +181,8 @@ def exact_percentiles(
 
 
 def auc_by_group(
-    df: DataFrame, keys: Sequence[str], score: str = "p", label: str = "label", hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], score: str = "p", label: str = "label", hot_rows: int = HOT_ROWS,
+    hot: HotGroups | None = None,
 ) -> DataFrame:
     """ROC AUC per group by the rank sum with mid-ranks for ties; NULL if only one class occurs.
 
@@ -179,7 +190,7 @@ def auc_by_group(
     """
     positive = (F.col(label) == 1).cast("bigint")
     sums = {"n_pos": F.sum(positive), "n_neg": F.sum(1 - positive)}
-    ranked = running_sums(df, keys, score, sums, hot_rows)
+    ranked = running_sums(df, keys, score, sums, hot_rows, hot)
     wins = F.col("n_pos") * (F.col("before_n_neg") + F.col("n_neg") / F.lit(2.0))
     sums = ranked.groupBy(*keys).agg(
         F.sum(wins).alias("_wins"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from poolspark.operators.pool import STRATEGIES
-from poolspark.operators.ranking import HOT_ROWS, exact_percentiles, top_k
+from poolspark.operators.ranking import HOT_ROWS, exact_percentiles, hot_groups, top_k
 
 # Fixed values.
 STRATEGY_LABELS = {
@@ -144,14 +144,17 @@ def descriptor_quantiles(
 ) -> DataFrame:
     """target, descriptor and one column per quantile (q01, q25, ...)."""
     long = melt(df, ["target"], columns)
-    found = exact_percentiles(long, ["target", "descriptor"], "value", list(probs), hot_rows)
+    # Rows per target bound rows per (target, descriptor); counting them reads no descriptor.
+    hot = hot_groups(df, ["target"], hot_rows)
+    found = exact_percentiles(long, ["target", "descriptor"], "value", list(probs), hot=hot)
     values = [F.element_at("percentiles", i + 1).alias(f"q{round(p * 100):02d}") for i, p in enumerate(probs)]
     return found.select("target", "descriptor", *values)
 
 
 def clip_limits(df: DataFrame, columns: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Plot limits per descriptor over all targets: 1 % (not below 0) and 99 %."""
-    found = exact_percentiles(melt(df, [], columns), ["descriptor"], "value", [0.01, 0.99], hot_rows)
+    hot = hot_groups(df, [], hot_rows)
+    found = exact_percentiles(melt(df, [], columns), ["descriptor"], "value", [0.01, 0.99], hot=hot)
     low, high = F.element_at("percentiles", 1), F.element_at("percentiles", 2)
     return found.select("descriptor", F.greatest(F.lit(0.0), low).alias("low"), high.alias("high"))
 

@@ -28,7 +28,7 @@ from poolspark.operators.pool import (
     prepare_pool,
     running_actives,
 )
-from poolspark.operators.ranking import auc_by_group, top_k
+from poolspark.operators.ranking import auc_by_group, hot_groups, top_k
 from poolspark.operators.select import BATCH_SIZE, SHORTLIST, select_diverse_subset, select_query_by_committee
 from poolspark.session import cut_lineage, shared_table
 
@@ -91,7 +91,9 @@ def run_backtest(
         labeled = cut_lineage(labeled.unionByName(fresh.select(*labeled.columns)))
 
     scores = score_rows(pool, fitted, seeds, held_out=True)
-    quality = auc_by_group(scores, ["campaign", "round"])
+    # Test rows per (target, seed) are known from the pool, so sizing the groups scores nothing.
+    sizes = campaigns.join(pool_sizes(pool, seeds, held_out=True), ["target", "seed"])
+    quality = auc_by_group(scores, ["campaign", "round"], hot=hot_groups(sizes, ["campaign"], weight="n"))
     history = _history(campaigns, labeled, quality, n_rounds)
     return Backtest(campaigns, labeled, history, fitted, pool, tuple(seeds))
 

@@ -25,6 +25,16 @@ SUMMARY_SCHEMA = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores when the scan has fewer splits than that (few, unsplittable files).
+
+    Ahead of costly per-row work only; a scan that fills the cluster is left alone. Select the
+    needed columns first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def source_columns(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Ordinal and name of every column of a delimited file; only its first line is read."""
     header = spark.read.text(path).limit(1)
