@@ -14,21 +14,24 @@ from poolspark.functions.features import DEFAULT_BITS, DEFAULT_RADIUS, hashed_bi
 
 def add_fingerprint(
     df: DataFrame, text: str, out: str = "fp", radius: int = DEFAULT_RADIUS, n_bits: int = DEFAULT_BITS,
-    unit: str = "char", method: str = "xxhash64",
+    unit: str = "char", method: str = "xxhash64", valid_only: bool = False,
 ) -> DataFrame:
     """On-bits of the n-grams that span ``radius`` units to each side; NULL for rows too short.
 
     The text is split in a projection of its own, so the split is not repeated for every shift.
+    ``valid_only`` drops short rows by their number of units: a filter on the result would be
+    pushed down and compute every fingerprint twice.
     """
     split = df.withColumn("_units", text_units(F.col(text), unit))
+    if valid_only:
+        split = split.where(F.size("_units") >= 2 * radius)
     grams = split.withColumn("_grams", ngrams(F.col("_units"), 2 * radius, unit)).drop("_units")
     return grams.withColumn(out, hashed_bits(F.col("_grams"), n_bits, method)).drop("_grams")
 
 
 def featurize(df: DataFrame, text: str, **options) -> DataFrame:
     """As add_fingerprint, keeping only the rows that could be featurised."""
-    out = options.get("out", "fp")
-    return add_fingerprint(df, text, **options).where(F.col(out).isNotNull())
+    return add_fingerprint(df, text, valid_only=True, **options)
 
 
 def add_profile(df: DataFrame, text: str) -> DataFrame:

@@ -89,7 +89,7 @@ def knn_jaccard(
     of comparisons is quadratic in the distinct fingerprints, as for any exact search.
     """
     # Written once: the rows are read again when the result is expanded to all copies.
-    rows = shared_table(df.where(F.size(fp) > 0).select(F.col(row_id).alias("src"), F.col(fp).alias("fp")), "bits")
+    rows = shared_table(df.select(F.col(row_id).alias("src"), F.col(fp).alias("fp")), "bits").where(F.size("fp") > 0)
     first = top_k(rows, ["fp"], [F.col("src")], k + 1, "_r")
     # At most k + 1 ids per group: enough to serve as neighbours of a copy or of another group.
     unique = first.groupBy("fp").agg(F.array_sort(F.collect_list("src")).alias("ids"))
