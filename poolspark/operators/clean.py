@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolspark.functions.measures import activity_label, best_measure, blank_to_null, free_energy
@@ -88,7 +88,11 @@ def master_totals(master: DataFrame) -> DataFrame:
 
 
 def chunk_counts(raw: DataFrame, chunk: str) -> DataFrame:
-    """Raw and cleaned rows per input piece, in one pass."""
+    """Raw and cleaned rows per input piece, in one pass.
+
+    A plain aggregate rather than an Observation: once a session has observed something, pyspark.ml
+    models can no longer be applied in it, because their closures capture the session.
+    """
     usable = (
         F.col("target_name").isNotNull() & F.col("value").isNotNull() & blank_to_null(F.col("raw_key")).isNotNull()
     )
@@ -98,12 +102,6 @@ def chunk_counts(raw: DataFrame, chunk: str) -> DataFrame:
     )
 
 
-def observe_counts(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Row count of ``df`` as a side effect of whatever action runs on it."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("n_rows")), seen
-
-
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 

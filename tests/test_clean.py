@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from poolspark.operators.clean import (
-    build_master, chunk_counts, clean, label_counts, master_totals, observe_counts, preview,
+    build_master, chunk_counts, clean, label_counts, master_totals, preview,
 )
 
 RAW = [
@@ -65,9 +65,3 @@ def test_reports(raw):
     assert counts == {False: (6, 6), True: (6, 2)}
     assert {r.label: r.n for r in label_counts(master).collect()} == {0: 1, 1: 4}
     assert [r.entity_key for r in preview(master, ["target_name", "entity_key", "measure_type"], 2).collect()] == ["m1", "m1"]
-
-
-def test_observed_counts(raw):
-    df, seen = observe_counts(clean(raw), "clean")
-    df.collect()
-    assert seen.get == {"n_rows": 8}
