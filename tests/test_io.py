@@ -1,7 +1,5 @@
-import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from poolspark.functions.features import DESCRIPTORS
 from poolspark.operators.clean import aggregate_clean, build_master, clean
