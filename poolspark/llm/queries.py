@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_spread, mix_sources, pseudonyms, secret_scan, url_reputation
+import corpus_pipeline
+
+from . import license_scan, line_spread, mix_sources, pseudonyms, secret_scan, shingle_join, sorted_passes, template_leaks, toxic_spans, url_reputation
 
 #: The rules of the url query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -16,6 +18,10 @@ def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_shingle_join(spark, sf_dir):
+    return shingle_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark, sf_dir):
     plan = mix_sources.plan_mix(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -35,17 +41,52 @@ def op4_line_spread(spark, sf_dir):
     return out.select("doc_id", "text", "n_removed")
 
 
+def op5_toxic_spans(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxic_spans.score(docs, toxic_spans.train(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         F.to_json("spans").alias("spans"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return license_scan.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_secret_scan(spark, sf_dir):
     return secret_scan.digest(_read(spark, sf_dir, "documents"))
 
 
+def op8_sorted_passes(spark, sf_dir):
+    return sorted_passes.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(_read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_url_reputation, op4_line_spread, op7_secret_scan, op9_pseudonyms)}
+def op10_template_leaks(spark, sf_dir):
+    found = template_leaks.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "kind", "coverage", "first_word", "last_word")
+
+
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_mix_sources, op3_url_reputation, op4_line_spread, op5_toxic_spans, op6_license_scan, op7_secret_scan, op8_sorted_passes, op9_pseudonyms, op10_template_leaks)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+SQL["op1_shingle_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.v),
+k AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN k ON k.v = d.doc_id
+"""
 
 SQL["op2_mix_sources"] = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -120,3 +161,12 @@ def _secret_sql() -> str:
 
 
 SQL["op7_secret_scan"] = _secret_sql()
+
+# counts of links are sums of cosines over a threshold; no pair of these tables lies at it
+SQL["op8_sorted_passes"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda t: t::DOUBLE * t)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.98),
+c(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.m FROM c JOIN l ON l.a = c.n),
+g AS (SELECT n, min(m) AS component_id FROM c GROUP BY n), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN g ON g.n = vec_id LEFT JOIN k ON k.a = vec_id
+"""
