@@ -15,11 +15,10 @@ QUERIES = {}
 SQL = {}
 
 METRICS = ("roc_auc_mean", "roc_auc_std", "actives_mean", "actives_std")
-TARGET_KEYS = ["target", *report.CAMPAIGN_KEYS]
 AGG_SQL = """avg(roc_auc) AS roc_auc_mean, stddev_samp(roc_auc) AS roc_auc_std,
   avg(n_actives_found) AS actives_mean, stddev_samp(n_actives_found) AS actives_std"""
 SUMMARY_SQL = f"""{st.HISTORY_SQL},
-summary AS (SELECT initialization_strategy, strategy, round, {AGG_SQL} FROM history GROUP BY 1, 2, 3)"""
+summary AS (SELECT target, initialization_strategy, strategy, round, {AGG_SQL} FROM history GROUP BY 1, 2, 3, 4)"""
 BY_TARGET_SQL = f"""{st.HISTORY_SQL},
 summary AS (SELECT target, initialization_strategy, strategy, round, {AGG_SQL} FROM history GROUP BY 1, 2, 3, 4),
 best AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY target, strategy
@@ -33,48 +32,46 @@ LABEL_SQL = """CASE strategy WHEN 'greedy' THEN 'Greedy' WHEN 'random' THEN 'Ran
   WHEN 'uncertainty_diverse' THEN 'Diverse' WHEN 'query_by_committee' THEN 'QBC' END"""
 
 
-def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def rounded_sql(columns=METRICS) -> str:
-    return "* REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in columns) + ")"
+def rounded_sql(columns=METRICS, digits=6) -> str:
+    return "* REPLACE (" + ", ".join(f"round({c}, {digits}) AS {c}" for c in columns) + ")"
 
 
 def summary(spark, sf_dir):
     return report.summarize(st.history(spark, sf_dir))
 
 
-def summary_by_target(spark, sf_dir):
-    return report.summarize(st.history(spark, sf_dir), TARGET_KEYS)
-
-
 def best(spark, sf_dir):
-    return report.best_initialization(summary_by_target(spark, sf_dir))
+    return report.best_initialization(summary(spark, sf_dir))
 
 
-QUERIES["summary"] = lambda spark, sf_dir: rounded(summary(spark, sf_dir), *METRICS)
-SQL["summary"] = f"WITH {SUMMARY_SQL} SELECT {rounded_sql()} FROM summary"
+# Means of up to 64 values of two decimals end exactly at a half of the sixth decimal; nine hold them whole.
+QUERIES["summary"] = lambda spark, sf_dir: rounded(summary(spark, sf_dir), *METRICS, digits=9)
+SQL["summary"] = f"WITH {SUMMARY_SQL} SELECT {rounded_sql(digits=9)} FROM summary"
 
 QUERIES["auc_band"] = lambda spark, sf_dir: rounded(
     report.auc_band(summary(spark, sf_dir)).select(*report.CAMPAIGN_KEYS, "roc_auc_mean", "auc_low", "auc_high"),
-    "roc_auc_mean", "auc_low", "auc_high",
+    "roc_auc_mean", "auc_low", "auc_high", digits=9,
 )
 SQL["auc_band"] = f"""WITH {SUMMARY_SQL}
-SELECT initialization_strategy, strategy, round, round(roc_auc_mean, 6) AS roc_auc_mean,
-  round(roc_auc_mean - roc_auc_std, 6) AS auc_low, round(roc_auc_mean + roc_auc_std, 6) AS auc_high FROM summary"""
+SELECT target, initialization_strategy, strategy, round, round(roc_auc_mean, 9) AS roc_auc_mean,
+  round(roc_auc_mean - roc_auc_std, 9) AS auc_low, round(roc_auc_mean + roc_auc_std, 9) AS auc_high FROM summary"""
 
 QUERIES["round_filter"] = lambda spark, sf_dir: rounded(report.at_round(summary(spark, sf_dir)), *METRICS).orderBy(
-    "initialization_strategy", "strategy"
+    "target", "initialization_strategy", "strategy"
 )
-SQL["round_filter"] = f"WITH {SUMMARY_SQL} SELECT {rounded_sql()} FROM summary WHERE round = 10 ORDER BY 1, 2"
+SQL["round_filter"] = f"WITH {SUMMARY_SQL} SELECT {rounded_sql()} FROM summary WHERE round = 10 ORDER BY 1, 2, 3"
 
 QUERIES["best_init"] = lambda spark, sf_dir: rounded(best(spark, sf_dir), *METRICS)
 SQL["best_init"] = f"WITH {BY_TARGET_SQL} SELECT {rounded_sql()} FROM best"
 
 QUERIES["best_overall"] = lambda spark, sf_dir: rounded(report.best_campaign(summary(spark, sf_dir)), *METRICS)
 SQL["best_overall"] = f"""WITH {SUMMARY_SQL}
-SELECT {rounded_sql()} FROM summary WHERE round = 10 ORDER BY summary.roc_auc_mean DESC, initialization_strategy, strategy LIMIT 1"""
+SELECT {rounded_sql()} FROM (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY target
+  ORDER BY roc_auc_mean DESC, initialization_strategy, strategy) AS r FROM summary WHERE round = 10) WHERE r = 1)"""
 
 QUERIES["metric_matrix"] = lambda spark, sf_dir: rounded(report.metric_matrix(best(spark, sf_dir), "roc_auc_mean"), *STRATEGIES)
 SQL["metric_matrix"] = f"""WITH {BY_TARGET_SQL}
@@ -115,7 +112,7 @@ SQL["metric_join"] = f"""WITH {SUMMARY_SQL}
 SELECT h.target, h.initialization_strategy, h.strategy, h.seed, h.round, round(s.roc_auc_mean, 6) AS roc_auc_mean,
   round(s.roc_auc_std, 6) AS roc_auc_std, round(s.actives_mean, 6) AS actives_mean,
   {LABEL_SQL.replace('CASE strategy', 'CASE h.strategy')} AS label
-FROM history h JOIN summary s ON h.initialization_strategy = s.initialization_strategy AND h.strategy = s.strategy AND s.round = 10"""
+FROM history h JOIN summary s ON h.target = s.target AND h.initialization_strategy = s.initialization_strategy AND h.strategy = s.strategy AND s.round = 10"""
 
 # Descriptors: documents profiled as strings, target = language ---------------------------------
 
@@ -200,7 +197,7 @@ def comparison_report(spark, sf_dir):
     metadata = targets.target_metadata(
         rows.withColumns({"query": F.col("target"), "match": F.lit("exact"), "threshold": F.lit(1000.0)})
     )
-    cards = target_cards(compare_targets(summary_by_target(spark, sf_dir), metadata, profiles, CARD_COLUMNS), CARD_COLUMNS)
+    cards = target_cards(compare_targets(summary(spark, sf_dir), metadata, profiles, CARD_COLUMNS), CARD_COLUMNS)
     return rounded(cards, "best_auc", *[f"median_{c}" for c in CARD_COLUMNS])
 
 

@@ -89,14 +89,10 @@ QUERIES["projection_rows"] = projection_rows
 def projection_panel(spark, sf_dir):
     """Projection rows annotated with the variance their two components explain together."""
     projected, explained = space.fit_pca(st.pool(spark, sf_dir))
-    rows, variance, _ = panels.projection_panel(projected, explained)
-    names = variance.select(F.concat(F.lit("PC"), "component").alias("component"), "explained")
-    parts = F.split("pair", "-")
-    axis = lambda i, name: (
-        rows.select("pair").distinct().withColumn("component", parts[i]).join(names, "component").select("pair", F.col("explained").alias(name))
-    )
-    explained_by = axis(0, "vx").join(axis(1, "vy"), "pair").select("pair", F.round(F.col("vx") + F.col("vy"), 6).alias("variance"))
-    return rows.join(explained_by, "pair").withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    rows, _, _ = panels.projection_panel(projected, explained)
+    share = {f"PC{i}": float(v) for i, v in enumerate(explained, 1)}
+    total = F.create_map(*[F.lit(x) for p in ("PC1-PC2", "PC1-PC3", "PC2-PC3") for x in (p, round(sum(share[c] for c in p.split("-")), 6))])
+    return rows.withColumn("variance", F.element_at(total, F.col("pair"))).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
 QUERIES["projection_panel"] = projection_panel

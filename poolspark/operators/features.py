@@ -39,16 +39,21 @@ def add_profile(df: DataFrame, text: str) -> DataFrame:
 
 
 def dense_bits(df: DataFrame, fp: str = "fp", out: str = "features", n_bits: int = DEFAULT_BITS) -> DataFrame:
-    """0/1 array of fixed width from on-bits, as the model operators expect it.
+    """0/1 array of fixed width from on-bits, as the model operators expect it; NULL without on-bits array.
 
     Parquet stores such a column at about one bit per entry (two distinct values).
     """
 
     @F.pandas_udf("array<double>")
     def spread(bits: pd.Series) -> pd.Series:
-        x = np.zeros((len(bits), n_bits))
-        x[np.repeat(np.arange(len(bits)), bits.str.len()), np.concatenate(bits.to_numpy())] = 1.0
-        return pd.Series(list(x))
+        known = np.flatnonzero(bits.notna())
+        x = np.zeros((len(known), n_bits))
+        if len(known):
+            held = bits.iloc[known]
+            x[np.repeat(np.arange(len(known)), held.str.len()), np.concatenate(held.to_numpy()).astype(np.int64)] = 1.0
+        out = pd.Series([None] * len(bits), dtype=object)
+        out.iloc[known] = pd.Series(list(x), dtype=object).to_numpy()
+        return out
 
     return df.withColumn(out, spread(F.col(fp)))
 

@@ -102,6 +102,7 @@ def score_rows(pool: DataFrame, models: DataFrame, seeds: Sequence[int], held_ou
             for target, rows in block.items()
         }
         parts.append(_score_block(pool, packed, held_out))
+    parts = parts or [_score_block(pool, {}, held_out)]
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)

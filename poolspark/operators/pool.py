@@ -62,7 +62,7 @@ def test_quota(counts: DataFrame, keys: Sequence[str], label: str, test_size: fl
     group = W.partitionBy(*keys)
     total = F.ceil(F.sum("n").over(group) * F.lit(test_size))
     shared = counts.withColumn("_total", total).withColumn(
-        "_share", F.col("n") * F.col("_total") / F.sum("n").over(group)
+        "_share", F.col("n").cast("double") * F.col("_total") / F.sum("n").over(group)
     )
     shared = shared.withColumn("_whole", F.floor("_share"))
     left = F.col("_total") - F.sum("_whole").over(group)
@@ -199,6 +199,7 @@ def farthest_rows(pool: DataFrame, centres: DataFrame, seeds: Sequence[int]) ->
             x = np.array([r["features"] for r in rows], dtype=np.float64)
             groups.setdefault(target, []).append((list(seeds).index(seed), seed, ids, x))
         parts.append(_farthest_block(pool, groups))
+    parts = parts or [_farthest_block(pool, {})]
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

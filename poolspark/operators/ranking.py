@@ -3,8 +3,8 @@
 A plain window or an exact percentile gathers a whole group in one task. So group sizes are
 probed first. Ordinary groups take the plain plan: one shuffle. Groups above the limit are
 counted by value, written once, and cut into ordered buckets: sums over buckets are a small table
-and the order inside a bucket is resolved by a window over (group, bucket). Both ways are exact,
-so the limit decides only how the work is done.
+and the order inside a bucket is resolved by a window over (group, bucket). Both ways use the same
+formulas and are exact, infinities included, so the limit decides only how the work is done.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from poolspark.session import shared_table
 
 # Groups with more rows than this are cut into buckets.
 HOT_ROWS = 1_000_000
-# Longest list of hot groups kept on the driver and broadcast (64-bit hashes). If more groups
-# exceed the limit, the largest are listed; any other group then has at most rows / MAX_HOT rows.
-MAX_HOT = 100_000
+# Longest list of hot groups (64-bit hashes) that is broadcast; a longer one is joined by a salted shuffle.
+BROADCAST_HOT = 100_000
+SALTS = 16
 # Bucket edges form a two-level search tree of FANOUT x FANOUT leaves.
 FANOUT = 32
 
@@ -43,8 +43,14 @@ class HotGroups:
         """(rows of ordinary groups, rows of hot groups or None)."""
         if self.hashes is None:
             return df, None
-        tagged, listed = df.withColumn("_g", _group_hash(self.keys)), F.broadcast(self.hashes)
-        return tagged.join(listed, "_g", "left_anti").drop("_g"), tagged.join(listed, "_g", "left_semi").drop("_g")
+        tagged, on = df.withColumn("_g", _group_hash(self.keys)), ["_g"]
+        if self.hashes.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
+            listed = F.broadcast(self.hashes)
+        else:
+            on = ["_g", "_s"]
+            tagged = tagged.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+            listed = self.hashes.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return tagged.join(listed, on, "left_anti").drop(*on), tagged.join(listed, on, "left_semi").drop(*on)
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, weight: str | None = None) -> HotGroups:
@@ -56,8 +62,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS, weight
     """
     rows = F.sum(weight) if weight else F.count(F.lit(1))
     sizes = df.groupBy(_group_hash(keys).alias("_g")).agg(rows.alias("_n"))
-    found = sizes.where(F.col("_n") > limit).orderBy(F.desc("_n")).select("_g").limit(MAX_HOT).collect()
-    return HotGroups(tuple(keys), df.sparkSession.createDataFrame(found, "_g bigint") if found else None)
+    found = shared_table(sizes.where(F.col("_n") > limit).select("_g"), "hot-groups")
+    return HotGroups(tuple(keys), None if found.isEmpty() else found)
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, **sums: Column) -> DataFrame:
@@ -140,10 +146,11 @@ def _picked(counted: DataFrame, keys: Sequence[str], value: str, probs: Sequence
         rank = F.lit(float(p)) * (F.col("_total") - 1)
         parts.append(F.max(F.when(holds(F.floor(rank)), F.col(value))).alias(f"_lo{i}"))
         parts.append(F.max(F.when(holds(F.ceil(rank)), F.col(value))).alias(f"_hi{i}"))
+        parts.append(F.max(F.ceil(rank) - rank).alias(f"_v{i}"))
         parts.append(F.max(rank - F.floor(rank)).alias(f"_w{i}"))
-    values = [
-        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_w{i}") for i in range(len(probs))
-    ]
+    # As the built-in percentile does it: equal neighbours are not weighted, so infinities stay what they are.
+    lo, hi, v, w = ((lambda i, c=c: F.col(f"_{c}{i}")) for c in ("lo", "hi", "v", "w"))
+    values = [F.when(lo(i) == hi(i), lo(i)).otherwise(v(i) * lo(i) + w(i) * hi(i)) for i in range(len(probs))]
     found = wanted.groupBy(*keys).agg(*parts)
     return found.select(*keys, F.array(*[v.cast("double") for v in values]).alias("percentiles"))
 
@@ -191,11 +198,11 @@ def auc_by_group(
     positive = (F.col(label) == 1).cast("bigint")
     sums = {"n_pos": F.sum(positive), "n_neg": F.sum(1 - positive)}
     ranked = running_sums(df, keys, score, sums, hot_rows, hot)
-    wins = F.col("n_pos") * (F.col("before_n_neg") + F.col("n_neg") / F.lit(2.0))
+    wins = F.col("n_pos").cast("double") * (F.col("before_n_neg") + F.col("n_neg") / F.lit(2.0))
     sums = ranked.groupBy(*keys).agg(
         F.sum(wins).alias("_wins"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg")
     )
-    pairs = F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)).cast("double")
+    pairs = F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))
     return sums.select(*keys, "n_pos", "n_neg", (F.col("_wins") / pairs).alias("roc_auc"))
 
 

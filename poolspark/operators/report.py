@@ -19,7 +19,7 @@ STRATEGY_LABELS = {
     "uncertainty_diverse": "Diverse",
     "query_by_committee": "QBC",
 }
-CAMPAIGN_KEYS = ("initialization_strategy", "strategy", "round")
+CAMPAIGN_KEYS = ("target", "initialization_strategy", "strategy", "round")
 REPORT_ROUND = 10
 
 
@@ -28,7 +28,7 @@ def strategy_label(strategy: Column) -> Column:
 
 
 def summarize(history: DataFrame, keys: Sequence[str] = CAMPAIGN_KEYS) -> DataFrame:
-    """Mean and sample deviation of AUC and actives over seeds; the deviation of one seed is NULL."""
+    """Mean and sample deviation of AUC and actives over the seeds of a target; the deviation of one seed is NULL."""
     return history.groupBy(*keys).agg(
         F.avg("roc_auc").alias("roc_auc_mean"),
         F.stddev_samp("roc_auc").alias("roc_auc_std"),
@@ -54,9 +54,9 @@ def best_initialization(summary: DataFrame, round_id: int = REPORT_ROUND) -> Dat
 
 
 def best_campaign(summary: DataFrame, round_id: int = REPORT_ROUND) -> DataFrame:
-    """The best (init, strategy) of a round over all rows given."""
+    """The best (init, strategy) of a round per target."""
     order = [F.desc("roc_auc_mean"), F.col("initialization_strategy"), F.col("strategy")]
-    return at_round(summary, round_id).orderBy(*order).limit(1)
+    return top_k(at_round(summary, round_id), ["target"], order, 1).drop("rank")
 
 
 def metric_matrix(best: DataFrame, metric: str) -> DataFrame:
@@ -93,10 +93,10 @@ def win_counts(best: DataFrame, metric: str = "roc_auc_mean") -> DataFrame:
 
 
 def heatmap_cells(best: DataFrame, metric: str) -> DataFrame:
-    """Cells scaled to 0..1 over the whole matrix. The bounds are one scalar subquery each."""
+    """Cells scaled to 0..1 over the whole matrix. Both bounds are one scalar subquery."""
     cells = matrix_cells(best, metric)
-    low, high = best.agg(F.min(metric)).scalar(), best.agg(F.max(metric)).scalar()
-    scaled = (F.col("value") - low) / (high - low + F.lit(1e-12))
+    bounds = best.agg(F.struct(F.min(metric).alias("low"), F.max(metric).alias("high"))).scalar()
+    scaled = (F.col("value") - bounds["low"]) / (bounds["high"] - bounds["low"] + F.lit(1e-12))
     return cells.select("target", "strategy", "value", scaled.alias("scaled"))
 
 
@@ -106,11 +106,9 @@ def pareto_points(best: DataFrame) -> DataFrame:
 
 
 def attach_metric(campaigns: DataFrame, summary: DataFrame, round_id: int = REPORT_ROUND) -> DataFrame:
-    """Campaign rows with the metrics of their (init, strategy) at a round."""
-    metrics = at_round(summary, round_id).select(
-        "initialization_strategy", "strategy", "roc_auc_mean", "roc_auc_std", "actives_mean"
-    )
-    joined = campaigns.join(metrics, ["initialization_strategy", "strategy"])
+    """Campaign rows with the metrics of their (target, init, strategy) at a round."""
+    keys = ["target", "initialization_strategy", "strategy"]
+    joined = campaigns.join(at_round(summary, round_id).select(*keys, "roc_auc_mean", "roc_auc_std", "actives_mean"), keys)
     return joined.withColumn("label", strategy_label(F.col("strategy")))
 
 

@@ -150,8 +150,11 @@ def nearest_jaccard(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, n_b
             if len(at) > k:
                 at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
             at = at[np.lexsort((ids[at], d[at]))[:k]]
-            out.append(pd.DataFrame({"gid": gid, "other": ids[at], "dist": d[at]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"gid": [], "other": [], "dist": []})
+            out.append((gid, ids[at], d[at]))
+    if not out:
+        return pd.DataFrame({"gid": [], "other": [], "dist": []})
+    gids, others, dists = zip(*out)
+    return pd.DataFrame({"gid": np.repeat(gids, [len(o) for o in others]), "other": np.concatenate(others), "dist": np.concatenate(dists)})
 
 
 def bit_matrix(bits: pd.Series, n_bits: int) -> np.ndarray:

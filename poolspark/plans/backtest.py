@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from poolspark.functions.ordering import order_key
 from poolspark.operators import committee as qbc
@@ -168,7 +169,11 @@ def _committee_choices(pool, campaigns, labeled, seeds, round_id, batch_size, si
 
 
 def _history(campaigns: DataFrame, labeled: DataFrame, quality: DataFrame, n_rounds: int) -> DataFrame:
-    """Round, labeled and active counts, AUC and the rows chosen (NULL in the last round)."""
+    """Round, labeled and active counts, AUC and the rows chosen (NULL in the last round).
+
+    A round in which a used-up pool gave no row keeps the counts of the round before.
+    """
+    so_far = W.partitionBy("campaign").orderBy("round")
     counts = running_actives(labeled, ["campaign"])
     rounds = campaigns.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(n_rounds))))
     selected = (
@@ -182,6 +187,6 @@ def _history(campaigns: DataFrame, labeled: DataFrame, quality: DataFrame, n_rou
         .join(selected, ["campaign", "round"], "left")
         .select(
             "campaign", "target", F.col("init").alias("initialization_strategy"), "strategy", "seed", "round",
-            "n_labeled", "n_actives_found", "roc_auc", "selected",
+            *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("n_labeled", "n_actives_found")], "roc_auc", "selected",
         )
     )

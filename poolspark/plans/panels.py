@@ -41,16 +41,13 @@ def projection_panel(projected: DataFrame, explained: Sequence[float], neighbour
 
 
 def experiment_card(rows: DataFrame, summary: DataFrame, explained: Sequence[float], round_id: int) -> DataFrame:
-    """One row: size, active fraction, best (init, strategy) with its AUC band, variance of the first components."""
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("active_fraction"))
+    """A row per target: size, active fraction, best (init, strategy) with its AUC band, variance of the first components."""
+    totals = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("active_fraction"))
     best = report.best_campaign(summary, round_id).select(
-        "initialization_strategy", "strategy", "roc_auc_mean", "roc_auc_std", F.col("round")
+        "target", "initialization_strategy", "strategy", "roc_auc_mean", "roc_auc_std", F.col("round")
     )
-    key = F.lit(1).alias("_one")
     return (
-        totals.select("*", key)
-        .join(best.select("*", key), "_one")
-        .drop("_one")
+        totals.join(best, "target")
         .withColumn("variance_2", F.lit(float(sum(explained[:2]))))
         .withColumn("variance_3", F.lit(float(sum(explained[:3]))))
     )

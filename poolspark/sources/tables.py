@@ -20,7 +20,7 @@ MEASUREMENT_COLUMNS = {
 }
 
 SUMMARY_SCHEMA = (
-    "initialization_strategy string, strategy string, round int, "
+    "target string, initialization_strategy string, strategy string, round int, "
     "roc_auc_mean double, roc_auc_std double, actives_mean double, actives_std double"
 )
 
@@ -52,7 +52,7 @@ def read_measurements(
 
     All columns are declared as strings from the header line, so nothing is inferred from the
     data, and the parser only materialises the selected ones. ``path`` names files that share
-    one header.
+    one header; a file with another one is an error.
     """
     first = spark.read.text(path).head()
     if first is None:
@@ -62,7 +62,7 @@ def read_measurements(
     if absent:
         raise ValueError(f"Missing required columns: {absent}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=True, quote='"', escape='"')
+    raw = spark.read.schema(schema).csv(path, sep=sep, header=True, quote='"', escape='"', enforceSchema=False)
     return raw.select(*[missing_to_null_text(F.col(f"`{c}`")).alias(name) for c, name in columns.items()])
 
 

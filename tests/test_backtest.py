@@ -78,6 +78,13 @@ def test_errors(separable):
         run_backtest(separable, ["greedy"], n_initial=96)
 
 
+def test_a_used_up_pool_keeps_its_counts(separable):
+    small = separable.where("target = 'A' and mol_id < 30")
+    run = run_backtest(small, ["greedy"], ["random"], [0], n_initial=8, batch_size=8, n_rounds=4)
+    rounds = [history_of(run)["A/random/greedy/0", r] for r in range(5)]
+    assert [r[0] for r in rounds] == [8, 16, 24, 24, 24] and rounds[4][1] == rounds[2][1]
+
+
 def test_committee_rounds(separable):
     one = separable.where("target = 'A'")
     run = run_backtest(one, ["query_by_committee"], ["random"], [0], n_initial=12, batch_size=4, n_rounds=1, trees=5, boosting_rounds=3)
@@ -91,4 +98,4 @@ def test_panels(run, separable):
     counts = {(r.campaign, r.tag): r["count"] for r in rows.groupBy("campaign", "tag").count().collect()}
     assert counts["A/random/greedy/0", "Initial"] == 10 and counts["A/random/greedy/0", "Untested"] == 96 - 18
     card = panels.experiment_card(separable, summarize(run.history), explained, 2).collect()
-    assert len(card) == 1 and card[0].n == 240 and card[0].variance_3 > card[0].variance_2 > 0
+    assert len(card) == 2 and card[0].n == 120 and card[0].variance_3 > card[0].variance_2 > 0

@@ -79,8 +79,8 @@ def test_required_columns(spark):
 
 
 def test_summary_and_history_round_trip(spark, tmp_path):
-    rows = [("random", "greedy", r, 0.5 + r / 100, 20 + r, [1, 2] if r < 10 else None) for r in range(11)]
-    history = spark.createDataFrame(rows, "initialization_strategy string, strategy string, round int, roc_auc double, n_actives_found int, selected array<bigint>")
+    rows = [("T", "random", "greedy", r, 0.5 + r / 100, 20 + r, [1, 2] if r < 10 else None) for r in range(11)]
+    history = spark.createDataFrame(rows, "target string, initialization_strategy string, strategy string, round int, roc_auc double, n_actives_found int, selected array<bigint>")
     tables.write_table(history, str(tmp_path / "history"), partition_by=())
     back = spark.read.parquet(str(tmp_path / "history"))
     assert back.where("round = 10").head().selected is None and back.where("round = 0").head().selected == [1, 2]
@@ -89,6 +89,16 @@ def test_summary_and_history_round_trip(spark, tmp_path):
     assert len(got) == 1 and got[0].roc_auc_mean == pytest.approx(0.6) and got[0].roc_auc_std is None
 
 
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    columns = list(tables.MEASUREMENT_COLUMNS)
+    (tmp_path / "a.tsv").write_text("\t".join(columns) + "\nT\tC\t1\t2\t3\n")
+    assert tables.read_measurements(spark, str(tmp_path)).collect()[0].ki == "1"
+    swapped = [columns[0], columns[1], columns[4], columns[3], columns[2]]
+    (tmp_path / "b.tsv").write_text("\t".join(swapped) + "\nT\tC\t3\t2\t1\n")
+    with pytest.raises(Exception, match="CSV header"):
+        tables.read_measurements(spark, str(tmp_path)).collect()
+
+
 def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     schema = "target_name string, raw_key string, ki string, kd string, ic50 string"
     first = spark.createDataFrame([("T", f"m{i % 5}", str(i + 1), None, None) for i in range(40)], schema)

@@ -4,6 +4,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from poolspark.operators import ranking
 from poolspark.operators.ranking import auc_by_group, exact_percentiles, key_cutoffs, running_sums, top_k, within_cutoff
 
 
@@ -29,6 +30,16 @@ def test_percentiles_match_numpy_on_both_ways(skewed, hot_rows):
         assert rows[g].size == len(part)
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 1, 0])
+def test_percentiles_keep_infinities(spark, hot_rows, monkeypatch):
+    monkeypatch.setattr(ranking, "BROADCAST_HOT", 1 if hot_rows == 1 else 100)  # the salted way as well
+    inf = float("inf")
+    rows = [(g, v) for g in ("a", "b") for v in (1.0, 2.0, inf, inf, inf)] + [("c", v) for v in (-inf, -0.0, 0.0, 5.0)] + [("d", float("nan")), ("d", None)]
+    found = exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.0, 0.1, 0.5, 1.0], hot_rows)
+    got = {r.g: r.percentiles for r in found.collect()}
+    assert got == {"a": [1.0, 1.4, inf, inf], "b": [1.0, 1.4, inf, inf], "c": [-inf, -inf, 0.0, 5.0]}
+
+
 @pytest.mark.parametrize("hot_rows", [1_000_000, 30])
 def test_running_sums(skewed, hot_rows):
     found = running_sums(skewed, ["g"], "v", {"pos": F.sum("label")}, hot_rows).toPandas().sort_values(["g", "v"])

@@ -28,7 +28,7 @@ def test_best_rows(summary, best):
         ("A", "greedy"): ("random", 50.0), ("A", "random"): ("random", 40.0), ("B", "random"): ("diverse", 35.0),
         ("B", "query_by_committee"): ("random", 20.0),
     }
-    assert report.best_campaign(summary).head().roc_auc_mean == 0.9
+    assert {r.target: r.roc_auc_mean for r in report.best_campaign(summary).collect()}["A"] == 0.9
 
 
 def test_matrix_ranks_wins_heatmap(best):
@@ -45,9 +45,11 @@ def test_matrix_ranks_wins_heatmap(best):
 
 
 def test_summary_of_one_seed_has_no_deviation(spark):
-    rows = [("random", "greedy", 0, 0.5, 3), ("random", "random", 0, 0.5, 3), ("random", "random", 0, 0.7, 5)]
-    history = spark.createDataFrame(rows, "initialization_strategy string, strategy string, round int, roc_auc double, n_actives_found int")
-    got = {r.strategy: r for r in report.auc_band(report.summarize(history)).collect()}
+    rows = [("A", "random", "greedy", 0, 0.5, 3), ("B", "random", "greedy", 0, 0.9, 3), ("A", "random", "random", 0, 0.5, 3), ("A", "random", "random", 0, 0.7, 5)]
+    history = spark.createDataFrame(rows, "target string, initialization_strategy string, strategy string, round int, roc_auc double, n_actives_found int")
+    summary = report.auc_band(report.summarize(history)).collect()
+    assert sorted(r.roc_auc_mean for r in summary if r.strategy == "greedy") == [0.5, 0.9]  # targets are not mixed
+    got = {r.strategy: r for r in summary if r.target == "A"}
     assert got["greedy"].roc_auc_std is None and got["greedy"].auc_low is None
     assert got["random"].actives_std == pytest.approx(2**0.5) and got["random"].auc_high == pytest.approx(0.6 + 0.02**0.5)
 
@@ -82,7 +84,6 @@ def test_quantiles_and_limits(described, hot_rows):
 
 
 def test_attach_metric(summary, spark):
-    runs = spark.createDataFrame([("random", "greedy", 1), ("random", "greedy", 2)], "initialization_strategy string, strategy string, seed int")
-    one = summary.where("target = 'A'")
-    rows = report.attach_metric(runs, one).collect()
+    runs = spark.createDataFrame([("A", "random", "greedy", 1), ("A", "random", "greedy", 2)], "target string, initialization_strategy string, strategy string, seed int")
+    rows = report.attach_metric(runs, summary).collect()
     assert [(r.label, r.roc_auc_mean) for r in rows] == [("Greedy", 0.9)] * 2
