@@ -141,6 +141,69 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 """
 
 
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES)
+    wanted = ", ".join(f"({k}, '{label}', '{x}', {len(set(license_scan.split_words(t)))})"
+                       for k, (t, label) in enumerate(license_scan.TEMPLATES) for x in sorted(set(license_scan.split_words(t))))
+    return f"""
+WITH p(seq, label) AS (VALUES {phrases}), t(k, label, x, size) AS (VALUES {wanted}),
+w AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '{_ALNUM}') AS w FROM documents),
+b AS (SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w), p WHERE w[i:i + len(seq) - 1] = seq),
+l AS (SELECT doc_id, i, unnest(list_distinct(regexp_extract_all({_LOWER.format('line')}, '{_ALNUM}'))) AS x
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT doc_id, i, k, any_value(label) AS label, count(*)::DOUBLE / any_value(size) AS share FROM l JOIN t USING (x) GROUP BY doc_id, i, k HAVING count(*) >= 0.8 * any_value(size)),
+base AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
+own AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
+
+SQL["op6_license_scan"] = _license_sql()
+
+
+def _leak_sql() -> str:
+    """Words and the gaps before them give canonical words; windows are joined as lists."""
+    word = r"(?:[0-9]+(?:[.,][0-9]+)*|[^\x00-\x40\x5B-\x60\x7B-\x7F]+)+"
+    listed = lambda words: "[" + ", ".join(f"'{x}'" for x in words) + "]"
+    size = 8
+
+    def canonical(table: str, key: str) -> str:
+        return f"""
+{table}_w AS (SELECT DISTINCT {key} AS id, text, regexp_extract_all(text, '{word}') AS w, string_split_regex(text, '{word}') AS g FROM {'documents' if key == 'doc_id' else 'benchmark'} WHERE text IS NOT NULL),
+{table}_k AS (SELECT id, i, {_LOWER.format('w[i]')} AS low, w[i] AS raw, regexp_replace(g[i], '[ \t\v\f\r"''(-]+$', '') AS gap FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM {table}_w)),
+{table}_t AS (SELECT id, i, low, CASE WHEN regexp_matches(raw, '^[0-9]') OR low IN {tuple(template_leaks.NUMBER_WORDS)} THEN chr(1) || 'num' WHEN low IN {tuple(template_leaks.UNITS)} THEN chr(1) || 'unit'
+  WHEN regexp_matches(raw, '^[A-Z]') AND NOT (CASE WHEN gap = '' THEN i = 1 ELSE regexp_matches(gap, '[.!?:;\n]$') END) THEN chr(1) || 'name' ELSE low END AS x FROM {table}_k),
+{table}_c AS (SELECT id, list(x ORDER BY i) AS x, list(CASE WHEN x = low THEN NULL ELSE low END ORDER BY i) AS s, count(*) AS n FROM {table}_t GROUP BY id)"""
+
+    widths = f"SELECT unnest(range({template_leaks.LEAST_WORDS}, {size + 1})) AS size"
+    few = "len(list_filter(s[p + 1:p + size], lambda v: v IS NOT NULL)) * 2 <= size"
+    cut = lambda table, more: (
+        f"SELECT id, p, size, x[p + 1:p + size] AS win, s[p + 1:p + size] AS slots FROM (SELECT *, unnest(range(0, n - size + 1)) AS p FROM {table}_c, ({widths}) z WHERE n >= size{more}) WHERE {few}")
+    return f"""
+WITH {canonical('d', 'doc_id')}, {canonical('b', 'item_id')},
+bw AS ({cut('b', f' AND (n = size OR size = {size})')}),
+bn AS (SELECT id, count(*) AS total FROM bw GROUP BY id),
+dw AS ({cut('d', ' AND size IN (SELECT size FROM bw)')}),
+hit AS (SELECT dw.id AS doc_id, bw.id AS item_id, dw.p - bw.p AS shift, bw.p AS pos, bw.size, bw.slots AS a, dw.slots AS b FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+pairs AS (SELECT doc_id, item_id, shift, count(DISTINCT a) AS n_from, count(DISTINCT (a, b)) AS n_pairs, bool_and(a = b) AS same FROM (
+  SELECT doc_id, item_id, shift, unnest(a) AS a, unnest(b) AS b FROM hit) WHERE a IS NOT NULL GROUP BY ALL),
+place AS (SELECT doc_id, item_id, shift, count(DISTINCT pos) AS n, min(pos) AS lo, max(pos + size - 1) AS hi FROM hit GROUP BY ALL),
+good AS (SELECT doc_id, item_id, n / total::DOUBLE AS coverage, coalesce(same, true) AS same, shift, lo, hi
+  FROM place LEFT JOIN pairs USING (doc_id, item_id, shift) JOIN bn ON bn.id = item_id WHERE n >= total * 0.5 AND coalesce(n_pairs = n_from, true))
+SELECT doc_id, item_id, CASE WHEN same THEN 'exact' ELSE 'parameters' END AS kind, coverage, (lo + shift)::BIGINT AS first_word, (hi + shift)::BIGINT AS last_word
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY coverage DESC, same DESC, shift, lo DESC, hi DESC) AS r FROM good) WHERE r = 1"""
+
+
+SQL["op10_template_leaks"] = _leak_sql()
+
+
 def _secret_sql() -> str:
     """Spans by splitting texts at the matches: a match starts after the parts and matches before it."""
     parts = []
