@@ -25,7 +25,7 @@ s AS (SELECT seed, target, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - lab
     sum(CASE WHEN label = 1 THEN mid END) AS ranks FROM r GROUP BY seed, target)
 SELECT seed, target, n_pos, n_neg, round((ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg), 6) AS roc_auc FROM s"""
 
-FIT_SEEDS = (0, 1)
+FIT_SEEDS = st.SEEDS
 
 
 def fit_score(spark, sf_dir):

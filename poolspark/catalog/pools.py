@@ -67,12 +67,10 @@ SELECT target, seed, mol_id, CAST(r AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY target, seed ORDER BY md5(CAST(seed AS VARCHAR) || '-init:' || CAST(mol_id AS VARCHAR)), mol_id) AS r
   FROM split WHERE split = 'pool') WHERE r <= 20"""
 
-DIVERSE_SEEDS = (0, 1)
-
-
 def init_diverse(spark, sf_dir):
-    prepared = pool.without_test(st.pool(spark, sf_dir), len(DIVERSE_SEEDS))
-    return pool.init_diverse(prepared, DIVERSE_SEEDS, n_initial=4, method="md5").select("target", "seed", "mol_id", "rank")
+    """Twenty centres per target and seed among the rows that are not held out."""
+    prepared = pool.prepare_pool(st.pool(spark, sf_dir), st.SEEDS, method="md5")
+    return pool.init_diverse(prepared, st.SEEDS, method="md5").select("target", "seed", "mol_id", "rank")
 
 
 def _next_centre(step: int) -> str:
@@ -80,22 +78,21 @@ def _next_centre(step: int) -> str:
     near = "dist" if step == 1 else f"least(near{step - 1}, dist)"
     source = "rows" if step == 1 else f"d{step - 1}"
     return f"""
-d{step} AS (SELECT r.* EXCLUDE (dist), {near} AS near{step} FROM (
+d{step} AS MATERIALIZED (SELECT r.* EXCLUDE (dist), {near} AS near{step} FROM (
   SELECT s.*, list_sum(list_transform(range(1, 65), lambda i: (s.features[i] - c.features[i]) * (s.features[i] - c.features[i]))) AS dist
   FROM {source} s JOIN c{step} c USING (target, seed)) r),
-c{step + 1} AS (SELECT target, seed, mol_id, features FROM (
+c{step + 1} AS MATERIALIZED (SELECT target, seed, mol_id, features FROM (
   SELECT *, row_number() OVER (PARTITION BY target, seed ORDER BY near{step} DESC, mol_id) AS r FROM d{step}) WHERE r = 1)"""
 
 
 QUERIES["init_diverse"] = init_diverse
-SQL["init_diverse"] = f"""WITH {st.POOL_SQL},
-rows AS (SELECT seed, target, mol_id, features FROM pool CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INTEGER) AS seed)),
+SQL["init_diverse"] = f"""WITH {SPLIT_SQL},
+rows AS (SELECT s.seed, s.target, s.mol_id, p.features FROM split s JOIN pool p USING (target, mol_id) WHERE s.split = 'pool'),
 c1 AS (SELECT target, seed, mol_id, features FROM (
   SELECT *, row_number() OVER (PARTITION BY target, seed ORDER BY md5(CAST(seed AS VARCHAR) || '-init:' || CAST(mol_id AS VARCHAR)), mol_id) AS r
   FROM rows) WHERE r = 1),
-{_next_centre(1)}, {_next_centre(2)}, {_next_centre(3)}
-SELECT target, seed, mol_id, 1 AS rank FROM c1 UNION ALL SELECT target, seed, mol_id, 2 FROM c2
-UNION ALL SELECT target, seed, mol_id, 3 FROM c3 UNION ALL SELECT target, seed, mol_id, 4 FROM c4"""
+{", ".join(_next_centre(k) for k in range(1, pool.N_INITIAL))}
+{" UNION ALL ".join(f"SELECT target, seed, mol_id, {k} AS rank FROM c{k}" for k in range(1, pool.N_INITIAL + 1))}"""
 
 # Pool state: 20 initial rows and ten batches of ten, drawn by key ------------------------------
 

@@ -22,10 +22,17 @@ def write_master(spark: SparkSession, source: str, path: str) -> None:
 
 
 def row_key() -> F.Column:
-    """Stable 64-bit id of a master row; the readable key columns are kept beside it."""
+    """Stable 64-bit id of a master row; the readable key columns are kept beside it. ``require_unique`` tells when two rows share one."""
     return F.xxhash64("target_name", "entity_key", "measure_type")
 
 
+def require_unique(featured: DataFrame) -> None:
+    """Joins by (target, mol_id) rely on one row for each; from billions of rows a 64-bit hash may repeat."""
+    twice = featured.groupBy("target", "mol_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"row ids that stand for several rows: {[(r.target, r.mol_id) for r in twice]}")
+
+
 def featurize_targets(
     sliced: DataFrame, radius: int = DEFAULT_RADIUS, n_bits: int = DEFAULT_BITS, unit: str = "char"
 ) -> DataFrame:
@@ -48,6 +55,7 @@ def prepare_targets(
     absent = missing_targets(featured, wanted).select("target", "query").collect()
     if absent:
         raise ValueError("No rows found for " + ", ".join(f"target '{r.target}' using query '{r.query}'" for r in absent))
+    require_unique(featured)
     _write_prepared(featured, base_dir, radius, n_bits)
 
 

@@ -101,8 +101,9 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("target",)) -> None:
-    """Parquet, zstd. Rows are not regrouped: a hot target is written by as many tasks as hold it."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    """Parquet, zstd. A partitioned table is rebalanced by its keys first: small targets give one file, a hot one
+    is split into files of the advisory size, however many tasks held its rows."""
+    writer = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
