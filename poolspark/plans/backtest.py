@@ -9,6 +9,7 @@ single scan of the test rows at the end.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ from poolspark.session import cut_lineage, shared_table
 
 N_ROUNDS = 10
 COMMITTEE = "query_by_committee"
+COMMITTEES_AT_ONCE = 4
 SCORED = ("greedy", "random", "uncertainty_topk", "uncertainty_diverse")
 
 
@@ -151,10 +153,9 @@ def _choose(pool, campaigns, models, labeled, strategies, seeds, round_id, batch
 
 
 def _committee_choices(pool, campaigns, labeled, seeds, round_id, batch_size, sizes) -> list[DataFrame]:
-    """Forests and boosting are distributed ml fits, three per campaign and round."""
-    parts = []
-    members = campaigns.where(F.col("strategy") == COMMITTEE).orderBy("campaign")
-    for row in members.toLocalIterator():
+    """Forests and boosting are distributed ml fits, three per campaign and round; a few campaigns run side by side."""
+
+    def choose(row) -> DataFrame:
         tested = labeled.where(F.col("campaign") == row["campaign"])
         n_rows = tested.count()
         committee = qbc.train_committee(tested, row["seed"] + round_id, n_rows, **sizes)
@@ -164,8 +165,11 @@ def _committee_choices(pool, campaigns, labeled, seeds, round_id, batch_size, si
         rows = open_rows.select(F.lit(row["campaign"]).alias("campaign"), "mol_id", "label", "features")
         scored = qbc.with_disagreement(qbc.committee_probabilities(committee, rows))
         chosen = select_query_by_committee(scored, ["campaign"], batch_size)
-        parts.append(cut_lineage(chosen.select("campaign", "mol_id", "label", "features")))
-    return parts
+        return cut_lineage(chosen.select("campaign", "mol_id", "label", "features"))
+
+    members = campaigns.where(F.col("strategy") == COMMITTEE).select("campaign", "target", "seed").orderBy("campaign")
+    with ThreadPoolExecutor(COMMITTEES_AT_ONCE) as threads:
+        return list(threads.map(choose, members.collect()))
 
 
 def _history(campaigns: DataFrame, labeled: DataFrame, quality: DataFrame, n_rounds: int) -> DataFrame:
