@@ -17,7 +17,7 @@ HEADLINE = (
     "clean_master", "target_labels", "target_metadata", "measure_percentiles", "log_histogram", "strat_split",
     "init_random", "select_topk", "select_diverse", "qbc_diagnostics", "auc_by_group", "fit_score", "summary",
     "rank_table", "descriptor_quantiles", "descriptor_corr", "fingerprint", "knn_jaccard", "stream_clean",
-    "comparison_report", "backtest",
+    "comparison_report", "backtest", "init_diverse", "campaign_panel", "experiment_card", "committee_backtest",
 )
 
 
