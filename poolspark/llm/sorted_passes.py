@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .joins import shared_table
+from .joins import join_narrow, shared_table
 
 TILE = 512  # classes in one block of a component
 BITS = 96
@@ -108,7 +108,7 @@ def link_counts(heads: DataFrame, comps: DataFrame, least: float = 0.98) -> Data
     """
     rows = comps.select(F.col("node").alias("cls"), "component").join(heads, "cls")
     size = rows.groupBy("component").agg(F.count("*").alias("size")).select("component", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(size, "component").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles").cast("bigint")).cast("int"))
+    rows = join_narrow(rows, shared_table(size, "component-sizes"), ["component"], F.col("cls")).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles").cast("bigint")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("i"), F.greatest("tile", t).alias("j")))
     spread = rows.select("component", "cls", "n", "x", "tile", F.inline(pair))
     ids = heads.schema["cls"].dataType.simpleString()

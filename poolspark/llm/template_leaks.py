@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import shared_table
+from .joins import join_narrow, shared_table
 from .words import ALNUM, Words, hashes, mix, pieces, word_hash, words
 
 #: Fixed values.
@@ -167,7 +167,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0
     items = shared_table(item_windows(benchmark, size), "item-windows")
     bits, sizes = window_filter(items)
     found = document_windows(docs, bits, sizes)
-    hits = found.join(items.select("item_id", "item", F.col("pos").alias("item_pos"), "size", "total", "hash", F.col("slots").alias("item_slots")), "hash")
+    sought = items.select("item_id", "item", F.col("pos").alias("item_pos"), "size", "total", "hash", F.col("slots").alias("item_slots"))
+    hits = join_narrow(found, sought, ["hash"], F.struct("doc_id", "pos"))
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda z: z["a"] != 0)
     hits = hits.select("doc_id", "body", "item_id", "item", "size", "total", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     placed = hits.groupBy("doc_id", "body", "item_id", "item", "shift").agg(
