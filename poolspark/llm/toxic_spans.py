@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .words import ALNUM, Words, hashes, pieces, words
 
-PER_CLASS = 2000
-MAX_CHARS = 20_000
+PER_CLASS = 1000
+MAX_CHARS = 10_000
 VOCABULARY = 20_000
 BATCH = 32  # texts of like length whose chains are run side by side
 
@@ -41,13 +41,17 @@ class Model(NamedTuple):
     prior: float
 
 
-def _emission(w: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = hashes(w)
-    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-    ids = np.where(known[at] == h, at, len(known)) if len(known) else np.zeros(len(h), np.int64)
+def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and whether it is in capitals."""
     upper = np.concatenate([[0], np.cumsum((w.data >= 65) & (w.data <= 90))])
     size = w.end - w.start
-    return ids, (upper[w.end] - upper[w.start] == size) & (size > 2)
+    return hashes(w), (upper[w.end] - upper[w.start] == size) & (size > 2)
+
+
+def _ids(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Place of each word in ``known``; len(known) for all others."""
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    return np.where(known[at] == h, at, len(known)) if len(known) else np.zeros(len(h), np.int64)
 
 
 def chain(odds: np.ndarray, first: np.ndarray, move, side: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,13 +120,16 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
     empty = Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, (1.0, 1.0, 1.0, 1.0), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]), prior)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return empty
-    raw = [t.encode() for t in texts]
-    offset = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
-    w = words(np.frombuffer(b"".join(raw), np.uint8), offset, ALNUM)
-    if not len(w.start):
+    parts = []  # piece by piece, so that only words are held, not arrays over all bytes
+    for begin, data, offset in pieces(pa.array(texts, pa.string())):
+        w = words(data, offset, ALNUM)
+        parts.append((*_tokens(w), w.row + begin, np.diff(w.first)))
+    h, capitals, row, n = (np.concatenate(x) for x in zip(*parts))
+    first = np.concatenate([[0], np.cumsum(n)])
+    if not len(h):
         return empty
-    distinct, ids = np.unique(hashes(w), return_inverse=True)
-    pairs = np.unique(w.row.astype(np.int64) * len(distinct) + ids)
+    distinct, ids = np.unique(h, return_inverse=True)
+    pairs = np.unique(row.astype(np.int64) * len(distinct) + ids)
     in_toxic = np.bincount(pairs[toxic[pairs // len(distinct)] == 1] % len(distinct), minlength=len(distinct))
     in_clean = np.bincount(pairs[toxic[pairs // len(distinct)] == 0] % len(distinct), minlength=len(distinct))
     nt, nc = (toxic == 1).sum(), (toxic == 0).sum()
@@ -134,8 +141,8 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
     known = distinct[keep]
     place = np.full(len(distinct) + 1, len(known))
     place[keep] = np.arange(len(known))
-    ids, capitals = _emission(w, known)
-    target = (telling[np.searchsorted(distinct, known)][np.minimum(ids, len(known) - 1)] & (ids < len(known)) & (toxic[w.row] == 1)).astype(float)
+    ids = _ids(h, known)
+    target = (telling[np.searchsorted(distinct, known)][np.minimum(ids, len(known) - 1)] & (ids < len(known)) & (toxic[row] == 1)).astype(float)
 
     v_n = len(known)
     bias, cap, move = v_n, v_n + 1, slice(v_n + 2, v_n + 6)
@@ -143,7 +150,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
     theta[bias] = -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     inner = np.ones(len(ids), bool)
-    inner[w.first[:-1][w.first[:-1] < len(ids)]] = False  # words with a predecessor in their text
+    inner[first[:-1][first[:-1] < len(ids)]] = False  # words with a predecessor in their text
     now = np.flatnonzero(inner)
     seen = np.bincount((2 * target[now - 1] + target[now]).astype(int), minlength=4)
     scale = max(1.0, target.sum())
@@ -151,7 +158,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
         own = np.append(theta[:v_n], 0.0) + theta[bias]
         odds = np.exp(np.clip(own[ids] + theta[cap] * capitals, -25, 25))
         factors = np.exp(theta[move])
-        f, b, p = chain(odds, w.first, tuple(factors), 256)
+        f, b, p = chain(odds, first, tuple(factors), 256)
         miss = target - p
         grad = np.zeros_like(theta)
         grad[:v_n] = np.bincount(ids, weights=miss, minlength=v_n + 1)[:v_n]
@@ -165,7 +172,7 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
         theta = theta + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weight = np.append(theta[:v_n], 0.0) + theta[bias]
     model = empty._replace(known=known, weight=weight, capitals=float(theta[cap]), move=tuple(np.exp(theta[move]).tolist()))
-    x = _features(marginals(w, model)[2], w.first)
+    x = _features(_marginals(h, capitals, first, model), first)
     return model._replace(score=_logistic(x, toxic, np.where(toxic == 1, toxic_n / nt, clean_n / nc)))
 
 
@@ -181,9 +188,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def marginals(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, capitals = _emission(w, model.known)
-    return chain(np.exp(np.clip(model.weight[ids] + model.capitals * capitals, -25, 25)), w.first, model.move)
+def _marginals(h: np.ndarray, capitals: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+    own = model.weight[_ids(h, model.known)] + model.capitals * capitals
+    return chain(np.exp(np.clip(own, -25, 25)), first, model.move)[2]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
@@ -204,7 +211,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             for begin, data, offset in pieces(batch.column(2)):
                 w = words(data, offset, ALNUM)
-                p = marginals(w, model)[2] if len(model.known) else np.zeros(len(w.start))
+                p = _marginals(*_tokens(w), w.first, model) if len(model.known) else np.zeros(len(w.start))
                 value = 1 / (1 + np.exp(-(_features(p, w.first) @ model.score)))
                 n = w.rows
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array(value), pa.array(_spans(w, p, least), kind)],
