@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from poolspark.session import cut_lineage, shared_table
 
-#: A side of at most this many narrow rows is broadcast; a larger one is joined by a salted shuffle.
+#: A side of at most this many narrow rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Parts into which a shuffled join deals the rows of one key.
+#: In a shuffled join a key with more rows than this is hot: its rows are dealt over SALTS parts.
+HOT_ROWS = 20_000
 SALTS = 16
 
 __all__ = ["BROADCAST_ROWS", "SALTS", "cut_lineage", "join_narrow", "shared_table"]
@@ -19,9 +20,10 @@ def join_narrow(left: DataFrame, right: DataFrame, on: list[str], spread: Column
                 rows: int = BROADCAST_ROWS) -> DataFrame:
     """``left`` joined null-safely with ``right``, a written table of narrow rows, one for each key of ``on``.
 
-    ``right`` is counted first: up to ``rows`` it is broadcast, beyond that both sides are shuffled by the
-    key and a salt, so that no key of ``left`` meets in one task. ``spread`` is hashed for the salt.
-    Either way gives the same rows. The columns of ``on`` come from ``left``.
+    ``right`` is counted first: up to ``rows`` it is broadcast, beyond that both sides are shuffled. The keys
+    with many rows in ``left`` are counted then (their number is at most rows / HOT_ROWS); their rows are dealt
+    by a hash of ``spread`` over SALTS parts, to which only their row of ``right`` is copied.
+    Every way gives the same rows. The columns of ``on`` come from ``left``.
     """
     kept = [c for c in right.columns if c not in on]
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *kept)
@@ -29,8 +31,16 @@ def join_narrow(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     if small:
         match = _match(on)
         return left.join(F.broadcast(renamed), match, how).select(*left.columns, *kept)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = renamed.withColumn("_r__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = left.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    hot = shared_table(counts.select("_h", F.lit(1).alias("_hot")), "hot-keys")
+    n = hot.count()
+    if not n:
+        return left.join(renamed, _match(on), how).select(*left.columns, *kept)
+    listed = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    part = F.when(F.col("_hot") == 1, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = left.withColumn("_h", F.xxhash64(*on)).join(listed, "_h", "left").withColumn("_salt", part)
+    copies = renamed.withColumn("_h", F.xxhash64(*[f"_r_{c}" for c in on])).join(listed, "_h", "left").withColumn(
+        "_r__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot") == 1, SALTS - 1).otherwise(0)))).drop("_h", "_hot")
     return salted.join(copies, _match([*on, "_salt"]), how).select(*left.columns, *kept)
 
 

@@ -89,14 +89,14 @@ def _name(u: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) -> DataFrame:
-    """(doc_id, n, h1, h2, bitmap, tiles): a row for each row of ``docs``; a class repeated in a task has null tiles."""
+    """(doc_id, body, n, h1, h2, bitmap, tiles): a row for each row of ``docs``; a class repeated in a task has null tiles."""
     table = bands(num, den)
     lows = [b[0] for b in table]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            for begin, data, offset in pieces(batch.column(1)):
+            for begin, data, offset in pieces(batch.column(2)):
                 n, h1, h2, bits, tiles = [], [], [], [], []
                 for u in _sets(data, offset, size):
                     a, b = _name(u)
@@ -109,31 +109,30 @@ def signatures(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) ->
                     seen.add((a, b))
                     tiles.append(tiles_of(u, num, den, table, lows).view(np.int64) if fresh else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                     pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "bitmap", "tiles"])
+                    [batch.column(0).slice(begin, len(n)), batch.column(1).slice(begin, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                     pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))], ["doc_id", "body", "n", "h1", "h2", "bitmap", "tiles"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {ids}, n bigint, h1 bigint, h2 bigint, bitmap array<bigint>, tiles array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(work, f"doc_id {ids}, body bigint, n bigint, h1 bigint, h2 bigint, bitmap array<bigint>, tiles array<bigint>")
 
 
 def set_arrays(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, shingles): the sorted arrays of the documents whose doc_id is in ``wanted`` (doc_id), a written table."""
+    """(cid, shingles): the sorted arrays of the classes of ``wanted`` (doc_id, body, cid), a written table.
+
+    A document is found by its doc_id and the hash of its text; rows that repeat both give the array once in a task.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            for begin, data, offset in pieces(batch.column(0)):
+            fresh = [i for i, c in enumerate(batch.column(0).to_pylist()) if not (c in seen or seen.add(c))]
+            cids, texts = batch.column(0).take(pa.array(fresh, pa.int64())), batch.column(1).take(pa.array(fresh, pa.int64()))
+            for begin, data, offset in pieces(texts):
                 sets = _sets(data, offset, size)
-                names = [_name(u) for u in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()),
-                     pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["h1", "h2", "shingles"])
-
-    texts = join_narrow(docs.select("doc_id", "text"), wanted.withColumn("_hit", F.lit(1)), ["doc_id"], F.col("doc_id"))
-    return texts.select("text").mapInArrow(work, "h1 bigint, h2 bigint, shingles array<bigint>").select(_key().alias("key"), "shingles")
-
+                yield pa.RecordBatch.from_arrays([cids.slice(begin, len(sets)), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], ["cid", "shingles"])
 
-def _key() -> Column:
-    return F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
+    texts = join_narrow(docs.select("doc_id", F.xxhash64("text").alias("body"), "text"), wanted.select("doc_id", "body", "cid"), ["doc_id", "body"], F.col("doc_id"))
+    return texts.select("cid", "text").mapInArrow(work, "cid bigint, shingles array<bigint>")
 
 
 def may_link(num: int, den: int) -> Column:
@@ -158,28 +157,28 @@ def decide(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
             out.append(den * common >= num * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    one = arrays.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    two = arrays.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    one = arrays.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
+    two = arrays.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(linked("sa", "sb")).select("a", "b").distinct()
 
 
 def tile_mates(tiles: DataFrame, place: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): pairs of tile mates of different components that sizes and bitmaps let pass.
 
-    ``tiles`` has (tile, h1); ``place`` has (h1, key, n, bitmap, component). Tiles with the same classes count once. A tile is cut
+    ``tiles`` has (tile, h1); ``place`` has (h1, cid, n, bitmap, component). Tiles with the same classes count once. A tile is cut
     into blocks of about BLOCK classes, and each pair of blocks is a join key of its own.
     """
-    spread = join_narrow(tiles, place.select("h1", "key", "component"), ["h1"], F.col("tile")).select("tile", "key", "component")
+    spread = join_narrow(tiles, place.select("h1", "cid", "component"), ["h1"], F.col("tile")).select("tile", "cid", "component")
     mixed = spread.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
-                                       F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.min("key").alias("first")).where("lo <> hi")
+                                       F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("first")).where("lo <> hi")
     mixed = mixed.groupBy("size", "sum", "first").agg(F.min("tile").alias("tile"))
     mixed = shared_table(mixed.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-tiles")
-    rows = join_narrow(spread, mixed, ["tile"], F.col("key"))
-    rows = rows.join(place.select("key", "n", "bitmap"), "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks").cast("bigint")).cast("int"))
+    rows = join_narrow(spread, mixed, ["tile"], F.col("cid")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int"))
+    rows = join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rows.select("tile", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ba"),
+    left = rows.select("tile", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ba"),
                        F.col("block").alias("i"), F.explode(every).alias("j"))
-    right = rows.select("tile", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"),
+    right = rows.select("tile", F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"),
                         F.col("block").alias("j"), F.explode(every).alias("i"))
     met = left.join(right, ["tile", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(num, den))
     return met.select("a", "b").distinct()
@@ -189,9 +188,10 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
     rows = shared_table(signatures(docs, num, den, size), "shingle-signatures")
     named = rows.select("doc_id", "n", "h1", "h2")
-    classes = shared_table(
-        rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("head"), F.max("bitmap").alias("bitmap"))
-        .select("h1", _key().alias("key"), "n", "head", "bitmap"), "shingle-classes")
+    head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
+    classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(head).alias("head"), F.max("bitmap").alias("bitmap"))
+    # numbers of classes are fixed by writing them; results do not depend on which they are
+    classes = shared_table(classes.select("h1", "h2", "n", "head.doc_id", "head.body", "bitmap", F.monotonically_increasing_id().alias("cid")), "shingle-classes")
 
     # neighbours in tiles: one sort, read in a stream however large a tile is
     members = rows.where("tiles is not null").select("n", "h1", F.explode("tiles").alias("tile"))
@@ -199,47 +199,46 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     members = members.select("tile", "h1", F.lag("h1").over(order).alias("before"), F.lead("h1").over(order).alias("after"))
     members = members.where("before <> h1 or after <> h1")  # a class met only by its own copies needs no mate
     tiles = shared_table(members.select("tile", "h1", "before"), "shingle-tiles")
+    met = shared_table(tiles.select("h1").distinct().join(classes, "h1"), "shingle-met")
 
     next_to = tiles.where("before is not null and before <> h1").groupBy("before", "h1").agg(F.count("*").alias("shared"))
-    one = classes.select(F.col("h1").alias("before"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
-    two = classes.select("h1", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    pairs = shared_table(next_to.join(one, "before").join(two, "h1").where(may_link(num, den)).select("a", "b", "shared"), "shingle-pairs")
-
-    met = tiles.select("h1").distinct().join(classes, "h1")
-    met = shared_table(met.select("h1", "key", "n", "head", "bitmap"), "shingle-met")
-    near = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    arrays = shared_table(set_arrays(docs, shared_table(met.join(near, "key", "left_semi").select("head").distinct().withColumnRenamed("head", "doc_id"), "heads"), size), "shingle-arrays")
+    one = met.select(F.col("h1").alias("before"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
+    two = met.select("h1", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
+    pairs = next_to.join(one, "before").join(two, "h1").where(may_link(num, den)).select("a", "b", "shared")
+    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+    pairs = shared_table(pairs.withColumn("rank", F.row_number().over(best)), "shingle-pairs")
+    arrays = _arrays(docs, pairs, met, size)
 
     # first the most promising neighbour of each class, then the others, then all tile mates that are still apart
-    best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    ranked = shared_table(pairs.withColumn("rank", F.row_number().over(best)), "shingle-ranked")
-    links = shared_table(decide(ranked.where("rank = 1"), arrays, num, den), "shingle-links")
-    place = _place(met, links)
-    rest = _apart(ranked.where("rank > 1").select("a", "b"), place)
+    links = shared_table(decide(pairs.where("rank = 1"), arrays, num, den), "shingle-links")
+    rest = shared_table(_apart(pairs.where("rank > 1").select("a", "b"), _place(met, links)), "shingle-rest")
     links = shared_table(links.union(decide(rest, arrays, num, den)), "shingle-links")
-    place = _place(met, links)
-    late = shared_table(tile_mates(tiles.select("tile", "h1").distinct(), place, num, den), "shingle-late")
-    ends = late.select(F.col("a").alias("key")).union(late.select(F.col("b").alias("key"))).distinct()
-    ends = shared_table(met.join(ends, "key", "left_semi").select(F.col("head").alias("doc_id")).distinct(), "heads")
-    links = shared_table(links.union(decide(late, set_arrays(docs, ends, size), num, den)), "shingle-links")
-
-    place = components(links).select(F.col("node").alias("key"), "component")
-    whole = classes.join(place, "key", "left").select("key", "head", F.coalesce("component", "key").alias("component"))
-    least = whole.groupBy("component").agg(F.min("head").alias("component_id"))
-    ids = shared_table(whole.select("key", "component").join(least, "component").select("key", "component_id"), "shingle-ids")
-    out = join_narrow(named.withColumn("key", _key()), ids, ["key"], F.col("doc_id"), "left")
+    late = shared_table(tile_mates(tiles.select("tile", "h1").distinct(), _place(met, links), num, den), "shingle-late")
+    links = shared_table(links.union(decide(late, _arrays(docs, late, met, size), num, den)), "shingle-links")
+
+    place = components(links).select(F.col("node").alias("cid"), "component")
+    whole = classes.select("h1", "h2", "cid", "doc_id").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = shared_table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "shingle-ids")
+    out = join_narrow(named, ids, ["h1", "h2"], F.col("doc_id"), "left")
     own = F.when(F.col("n") > 0, F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
 
 
+def _arrays(docs: DataFrame, pairs: DataFrame, met: DataFrame, size: int) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    wanted = shared_table(met.select("cid", "doc_id", "body").join(ends, "cid", "left_semi"), "shingle-wanted")
+    return shared_table(set_arrays(docs, wanted, size), "shingle-arrays")
+
+
 def _place(met: DataFrame, links: DataFrame) -> DataFrame:
-    comps = components(links).select(F.col("node").alias("key"), F.col("component"))
-    return shared_table(met.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key")), "shingle-place")
+    comps = components(links).select(F.col("node").alias("cid"), F.col("component"))
+    return shared_table(met.join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "shingle-place")
 
 
 def _apart(pairs: DataFrame, place: DataFrame) -> DataFrame:
-    one = place.select(F.col("key").alias("a"), F.col("component").alias("ca"))
-    two = place.select(F.col("key").alias("b"), F.col("component").alias("cb"))
+    one = place.select(F.col("cid").alias("a"), F.col("component").alias("ca"))
+    two = place.select(F.col("cid").alias("b"), F.col("component").alias("cb"))
     return pairs.join(one, "a").join(two, "b").where("ca <> cb").select("a", "b")
 
 

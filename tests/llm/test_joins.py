@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from poolspark.llm import graph, line_spread, mix_sources, shingle_join, sorted_passes, template_leaks, toxic_spans
+from poolspark.llm import graph, joins, line_spread, mix_sources, shingle_join, sorted_passes, template_leaks, toxic_spans
 from poolspark.llm.joins import join_narrow, shared_table
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -37,14 +37,18 @@ def test_components(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
-def test_narrow_join_is_the_same_both_ways(spark):
+def test_narrow_join_is_the_same_every_way(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     left = spark.createDataFrame([(i, i % 5 if i % 7 else None, "l") for i in range(200)], "id bigint, k int, v string")
     right = shared_table(spark.createDataFrame([(k, f"r{k}", 1) for k in (0, 1, 2, 9, None)], "k int, name string, _x int"), "r")
     for how in ("inner", "left"):
-        small, large = (sorted(map(str, join_narrow(left, right, ["k"], F.col("id"), how, rows).collect())) for rows in (100, 2))
-        assert small == large and len(small) == (200 if how == "left" else len([1 for i in range(200) if (i % 5 if i % 7 else None) in (0, 1, 2, None)]))
+        ways = []
+        for rows, hot in ((100, 0), (2, 30), (2, 10**6)):  # broadcast, some keys hot, none
+            monkeypatch.setattr(joins, "HOT_ROWS", hot)
+            ways.append(sorted(map(str, join_narrow(left, right, ["k"], F.col("id"), how, rows).collect())))
+        small = ways[0]
+        assert ways[1] == ways[2] == small and len(small) == (200 if how == "left" else len([1 for i in range(200) if (i % 5 if i % 7 else None) in (0, 1, 2, None)]))
 
 
 def shingles(text, size):
