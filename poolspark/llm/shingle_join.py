@@ -11,7 +11,7 @@ A document's set holds its distinct word shingles. Two documents link when
   of their band as well.
 * Tile mates are bounded by 512-bit parity bitmaps of the sets: the bits in which they differ are no more than the elements in
   which the sets differ, which bounds the overlap from above. Pairs that pass are decided by intersecting the sorted arrays.
-* First neighbours in tiles are decided, the most promising one of each class, then the others between different components;
+* First neighbours in tiles are decided, the most promising one of each class, then, twice, neighbours of different components;
   last every pair of a tile whose classes still are in different components. Tiles are cut into blocks, so no task holds
   a whole tile, and pairs inside a component are never formed. The components are those of all links.
 
@@ -39,6 +39,7 @@ from .words import SPACED, hashes, mix, pieces, windows, words
 BITMAP = 512
 BLOCK = 256  # classes of a tile in one block
 GROWTH = 1.5  # upper to lower size of a band
+ROUNDS = 2  # times that neighbours of different components are decided before all tile mates are
 
 
 def bands(num: int, den: int, top: int = 1 << 40) -> list[tuple[int, int, int]]:
@@ -157,24 +158,45 @@ def decide(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
             out.append(den * common >= num * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    one = arrays.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    two = arrays.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").where(linked("sa", "sb")).select("a", "b").distinct()
+    # only the arrays of the pairs move, both to the task of the pair
+    one, two = (
+        join_narrow(arrays, pairs.select(F.col(end).alias("cid"), "a", "b"), ["cid"], F.col("cid")).select("a", "b", F.col("shingles").alias(name))
+        for end, name in (("a", "sa"), ("b", "sb"))
+    )
+    return one.join(two, ["a", "b"]).where(linked("sa", "sb")).select("a", "b").distinct()
 
 
-def tile_mates(tiles: DataFrame, place: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of tile mates of different components that sizes and bitmaps let pass.
+def mixed_tiles(tiles: DataFrame, place: DataFrame) -> DataFrame:
+    """(tile, cid, component, n, bitmap, blocks), written: the tiles (tile, h1) that hold classes of several components.
 
-    ``tiles`` has (tile, h1); ``place`` has (h1, cid, n, bitmap, component). Tiles with the same classes count once. A tile is cut
-    into blocks of about BLOCK classes, and each pair of blocks is a join key of its own.
+    ``place`` has (h1, cid, n, bitmap, component). Of tiles with the same classes one is kept.
     """
     spread = join_narrow(tiles, place.select("h1", "cid", "component"), ["h1"], F.col("tile")).select("tile", "cid", "component")
     mixed = spread.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
                                        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("first")).where("lo <> hi")
     mixed = mixed.groupBy("size", "sum", "first").agg(F.min("tile").alias("tile"))
     mixed = shared_table(mixed.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-tiles")
-    rows = join_narrow(spread, mixed, ["tile"], F.col("cid")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int"))
-    rows = join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile"))
+    rows = join_narrow(spread, mixed, ["tile"], F.col("cid"))
+    return shared_table(join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile")), "mixed-rows")
+
+
+def strangers_beside(mixed: DataFrame, num: int, den: int, step: int) -> DataFrame:
+    """(a, b): neighbours in a tile that are of different components and may link; one stream over each tile.
+
+    Every tile and step has an order of its own, so a class meets another mate in each of its tiles.
+    """
+    order = Window.partitionBy("tile").orderBy(F.xxhash64("tile", "cid", F.lit(step)), "cid")
+    before = [F.lag(c).over(order).alias(name) for c, name in (("cid", "a"), ("component", "ca"), ("n", "na"), ("bitmap", "ba"))]
+    pairs = mixed.select(F.col("cid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"), *before)
+    return pairs.where((F.col("ca") != F.col("cb")) & may_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def tile_mates(mixed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of tile mates of different components that sizes and bitmaps let pass.
+
+    A tile is cut into blocks of about BLOCK classes, and each pair of blocks is a join key of its own.
+    """
+    rows = mixed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = rows.select("tile", F.col("cid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bitmap").alias("ba"),
                        F.col("block").alias("i"), F.explode(every).alias("j"))
@@ -204,17 +226,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
     next_to = tiles.where("before is not null and before <> h1").groupBy("before", "h1").agg(F.count("*").alias("shared"))
     one = met.select(F.col("h1").alias("before"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
     two = met.select("h1", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
-    pairs = next_to.join(one, "before").join(two, "h1").where(may_link(num, den)).select("a", "b", "shared")
+    pairs = next_to.join(one, "before").join(two, "h1").where(may_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
     pairs = shared_table(pairs.withColumn("rank", F.row_number().over(best)), "shingle-pairs")
-    arrays = _arrays(docs, pairs, met, size)
-
-    # first the most promising neighbour of each class, then the others, then all tile mates that are still apart
-    links = shared_table(decide(pairs.where("rank = 1"), arrays, num, den), "shingle-links")
-    rest = shared_table(_apart(pairs.where("rank > 1").select("a", "b"), _place(met, links)), "shingle-rest")
-    links = shared_table(links.union(decide(rest, arrays, num, den)), "shingle-links")
-    late = shared_table(tile_mates(tiles.select("tile", "h1").distinct(), _place(met, links), num, den), "shingle-late")
-    links = shared_table(links.union(decide(late, _arrays(docs, late, met, size), num, den)), "shingle-links")
+    pairs = pairs.where("rank = 1").select("a", "b").distinct()
+
+    # first the most promising neighbour of each class; then neighbours of different components, while that joins
+    # components; last every pair of tile mates that are still apart
+    links, every = shared_table(decide(pairs, _arrays(docs, pairs, met, size), num, den), "shingle-links"), tiles.select("tile", "h1").distinct()
+    for step in range(ROUNDS + 1):
+        mixed = mixed_tiles(every, _place(met, links))
+        found = strangers_beside(mixed, num, den, step) if step < ROUNDS else tile_mates(mixed, num, den)
+        fresh = shared_table(found.join(pairs, ["a", "b"], "left_anti"), "shingle-fresh")
+        new = shared_table(decide(fresh, _arrays(docs, fresh, met, size), num, den), "shingle-links")
+        links, pairs = shared_table(links.union(new), "shingle-links"), shared_table(pairs.union(fresh), "shingle-decided")
 
     place = components(links).select(F.col("node").alias("cid"), "component")
     whole = classes.select("h1", "h2", "cid", "doc_id").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -236,12 +261,6 @@ def _place(met: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(met.join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "shingle-place")
 
 
-def _apart(pairs: DataFrame, place: DataFrame) -> DataFrame:
-    one = place.select(F.col("cid").alias("a"), F.col("component").alias("ca"))
-    two = place.select(F.col("cid").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(one, "a").join(two, "b").where("ca <> cb").select("a", "b")
-
-
 def keep_one(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Rows that repeat that doc_id stay together;
     rows without doc_id stay unless they are linked with a document that has one."""
