@@ -208,8 +208,18 @@ def tile_mates(mixed: DataFrame, num: int, den: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``."""
+    out = placed(docs, num, den, size)
+    own = F.when(F.col("n") > 0, F.col("first_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
+
+
+def placed(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """(doc_id, body, n, first_id, first_body), a row for each row of ``docs``: the first row of its component.
+
+    ``body`` is xxhash64 of the text. First by doc_id, null last, then body. Rows with an empty set have null there.
+    """
     rows = shared_table(signatures(docs, num, den, size), "shingle-signatures")
-    named = rows.select("doc_id", "n", "h1", "h2")
+    named = rows.select("doc_id", "body", "n", "h1", "h2")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(head).alias("head"), F.max("bitmap").alias("bitmap"))
     # numbers of classes are fixed by writing them; results do not depend on which they are
@@ -242,12 +252,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100, size: int =
         links, pairs = shared_table(links.union(new), "shingle-links"), shared_table(pairs.union(fresh), "shingle-decided")
 
     place = components(links).select(F.col("node").alias("cid"), "component")
-    whole = classes.select("h1", "h2", "cid", "doc_id").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    ids = shared_table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "component_id"), "shingle-ids")
-    out = join_narrow(named, ids, ["h1", "h2"], F.col("doc_id"), "left")
-    own = F.when(F.col("n") > 0, F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(own, F.col("doc_id")).alias("component_id"))
+    whole = classes.select("h1", "h2", "cid", "doc_id", "body").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    least = whole.groupBy("component").agg(F.min(head).alias("first"))
+    least = least.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.body").alias("first_body"))
+    ids = shared_table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "first_id", "first_body"), "shingle-ids")
+    return join_narrow(named, ids, ["h1", "h2"], F.col("doc_id"), "left").select("doc_id", "body", "n", "first_id", "first_body")
 
 
 def _arrays(docs: DataFrame, pairs: DataFrame, met: DataFrame, size: int) -> DataFrame:
@@ -262,8 +271,21 @@ def _place(met: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Rows that repeat that doc_id stay together;
-    rows without doc_id stay unless they are linked with a document that has one."""
-    found = near_duplicates(docs.select("doc_id", "text"), num, den, size)
-    gone = shared_table(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumn("_gone", F.lit(1)), "copies")
-    return join_narrow(docs, gone, ["doc_id"], F.col("doc_id"), "left").where("_gone is null").drop("_gone")
+    """``docs`` with one row of each component: the first by doc_id, null last, then hash of the text, then hash of the row.
+
+    Rows without words link with nothing and all stay; so do rows without doc_id that have no copy and no link.
+    """
+    linked = placed(docs.select("doc_id", "text"), num, den, size).where("n > 0")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("body") == F.col("first_body"))
+    seen = linked.groupBy("doc_id", "body").agg(F.max(first).alias("first"), F.count("*").alias("n"))
+    fate = F.when(~F.col("first"), "gone").when(F.col("n") > 1, "repeated")
+    marks = shared_table(seen.select("doc_id", F.col("body").alias("_body"), fate.alias("_fate")).where("_fate is not null"), "copies")
+    named, key, spread = docs.withColumn("_body", F.xxhash64("text")), ["doc_id", "_body"], F.spark_partition_id()
+    out = join_narrow(named, marks, key, spread, "left").where("_fate is null").select(*docs.columns)
+    again = shared_table(marks.where("_fate = 'repeated'"), "repeated")
+    if again.isEmpty():
+        return out
+    # a task hands on one row for each key, so the copies of a row never meet in one place
+    rows = join_narrow(named, again, key, spread)
+    chosen = rows.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return out.union(chosen.select("row.*"))

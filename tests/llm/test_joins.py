@@ -100,6 +100,23 @@ def test_shingle_join_odd_tables(make_docs):
     assert shingle_join.near_duplicates(docs.limit(0)).count() == 0 and shingle_join.near_duplicates(docs.where("doc_id = 1")).count() == 1
 
 
+def test_keep_one_with_null_and_repeated_ids(make_docs):
+    text = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(9)]
+    rows = [(7, text[0], "s"), (None, text[0], "s"), (None, text[1], "s"), (None, text[2], "t"),  # one row without doc_id is a copy
+            (3, text[3], "s"), (20, text[3], "s"), (20, text[4], "s"),  # one text of 20 is a copy
+            (9, text[5], "s"), (9, text[5], "s"), (9, text[5], "t"), (9, text[6], "s"),  # copies that repeat the doc_id, and another text
+            (None, text[7], "s"), (None, text[7] + " more", "s"), (None, text[7], "s"),  # a group without doc_id
+            (30, None, "s"), (30, None, "s"), (None, None, "s"), (30, " ", "s")]
+    docs = make_docs(rows)
+    kept = shingle_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    group = [g for g in got if g[1] and g[1].startswith(text[7])]
+    assert len(group) == 1
+    want = [(7, text[0]), (None, text[1]), (None, text[2]), (3, text[3]), (20, text[4]), (9, text[5]), (9, text[6]), (30, None), (30, None), (None, None), (30, " ")]
+    assert sorted(map(str, got)) == sorted(map(str, want + group))
+
+
 def test_tiles_lose_no_pair():
     """Sets at the threshold meet in a tile, whatever their sizes."""
     rng = np.random.default_rng(5)
