@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an item of the benchmark, verbatim or with other numbers, names and units."""
-    return _without(docs, template_leaks.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    """Documents without an item of the benchmark, verbatim, in other case, or with other numbers, names and units."""
+    return _without(docs, template_leaks.every_leak(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

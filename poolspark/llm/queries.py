@@ -65,7 +65,7 @@ def op9_pseudonyms(spark, sf_dir):
 
 
 def op10_template_leaks(spark, sf_dir):
-    found = template_leaks.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    found = template_leaks.every_leak(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "kind", "coverage", "first_word", "last_word")
 
 

@@ -142,6 +142,23 @@ def test_template_leaks(spark, make_docs):
     assert template_leaks.leaks(docs.limit(0), items).count() == 0 and template_leaks.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_every_leak(spark, make_docs):
+    train, tom = ITEMS[0][1], ITEMS[1][1]
+    texts = [
+        tom.replace("Anna", "Mary Ann"), train.replace("Boston", "New York").replace("40", "twenty-five"), "x. " + train.lower(), train.upper(),
+        tom.replace("the small shop", "the very small shop"), tom.replace("small ", ""), train.replace("Boston", "New York").replace("toward New York", "toward London"),
+        "plain text about nothing at all, in many words", None, tom, "y. " + tom[:40],
+    ]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)] + [(None, texts[0], "s"), (0, texts[0], "s")])
+    items = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id bigint, text string")
+    got = template_leaks.every_leak(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 2), (1, 1), (2, 1), (3, 1), (4, 2), (5, 2), (9, 2), (None, 2)} and len(got) == 8
+    row = {r.doc_id: r for r in got}
+    assert row[1].kind == "parameters" and row[2].kind == row[3].kind == "exact" and (row[2].first_word, row[2].last_word) == (1, 25)
+    assert {r.doc_id for r in template_leaks.leaks(docs, items).collect()} <= set(row) - {0, 1}
+    assert template_leaks.every_leak(docs.limit(0), items).count() == 0 and template_leaks.every_leak(docs, items.limit(0)).count() == 0
+
+
 def test_template_leaks_on_driver_tables(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
     got = {(r.doc_id, r.item_id, r.kind, round(r.coverage, 9), r.first_word, r.last_word) for r in template_leaks.leaks(read("documents"), read("benchmark")).collect()}
