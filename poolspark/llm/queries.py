@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import license_scan, line_spread, mix_sources, pseudonyms, secret_scan, shingle_join, sorted_passes, template_leaks, toxic_spans, url_reputation
+from . import fill_middle, license_scan, line_spread, merkle, mix_sources, ppm, pseudonyms, secret_scan, shingle_join, sorted_passes, template_leaks, toxic_spans, url_reputation
 
 #: The rules of the url query, (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -69,7 +69,28 @@ def op10_template_leaks(spark, sf_dir):
     return found.select("doc_id", "item_id", "kind", "coverage", "first_word", "last_word")
 
 
-QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_mix_sources, op3_url_reputation, op4_line_spread, op5_toxic_spans, op6_license_scan, op7_secret_scan, op8_sorted_passes, op9_pseudonyms, op10_template_leaks)}
+def op11_fill_middle(spark, sf_dir):
+    cut = fill_middle.transform(_read(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    """Every leaf is requested; where 2 divides the crc32 of doc_id, the text is tampered with."""
+    text = F.col("text")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    proofs = merkle.prove(merkle.build(_read(spark, sf_dir, "documents"), altered))
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join(F.flatten("siblings"), ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_ppm_score(spark, sf_dir):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    scored = ppm.score(_read(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_shingle_join, op2_mix_sources, op3_url_reputation, op4_line_spread, op5_toxic_spans, op6_license_scan, op7_secret_scan, op8_sorted_passes, op9_pseudonyms, op10_template_leaks,
+                                  op11_fill_middle, op12_merkle_manifest, op13_ppm_score)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {}
@@ -233,3 +254,56 @@ c(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.m FROM c J
 g AS (SELECT n, min(m) AS component_id FROM c GROUP BY n), k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN g ON g.n = vec_id LEFT JOIN k ON k.a = vec_id
 """
+
+SQL["op11_fill_middle"] = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y, coalesce(array_to_string(u[b + 1:n], ''), '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+# trees are grown level by level over (place, index), then each leaf is folded along its row of siblings
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+
+def _crc32_sql() -> str:
+    """crc32 of the decimal doc_id, byte by byte; the table follows from the polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    digits = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, c: xor(a >> 8, {table}[1 + (xor(a, c) & 255)]::BIGINT)), 4294967295)"
+
+
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_LEAF.format('text')} AS leaf,
+  CASE WHEN {_crc32_sql()} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format('text')} END AS altered FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source COLLATE C NULLS FIRST) - 1 AS place FROM d),
+t(place, level, i, n, digest) AS (SELECT place, 0, pos, count(*) OVER (PARTITION BY place), leaf FROM r
+  UNION ALL SELECT place, level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY place, level, i // 3),
+s AS (SELECT place, digest, level AS height FROM t WHERE n = 1),
+u(level, i, n, digest) AS (SELECT 0, place, count(*) OVER (), digest FROM s
+  UNION ALL SELECT level + 1, i // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 3),
+nodes AS (SELECT place, level, i, digest FROM t WHERE n > 1),
+low AS (SELECT place, level, i // 3 AS run, list(digest ORDER BY i) AS run_digests FROM nodes GROUP BY ALL),
+high AS (SELECT level, i // 3 AS run, list(digest ORDER BY i) AS run_digests FROM u WHERE n > 1 GROUP BY ALL),
+w(pos, level, place, i, own, proof, up) AS (SELECT pos, 0, place, pos, altered, '', false FROM r
+  UNION ALL SELECT w.pos, CASE WHEN low.run IS NULL AND NOT w.up THEN 0 ELSE w.level + 1 END,
+    w.place, CASE WHEN low.run IS NULL AND NOT w.up THEN w.place ELSE w.i // 3 END,
+    CASE WHEN low.run IS NULL AND high.run IS NULL THEN w.own
+      ELSE sha256(array_to_string(coalesce(low.run_digests, high.run_digests)[1:w.i % 3], '') || w.own || array_to_string(coalesce(low.run_digests, high.run_digests)[w.i % 3 + 2:], '')) END,
+    CASE WHEN low.run IS NULL AND high.run IS NULL THEN w.proof
+      ELSE w.proof || array_to_string(coalesce(low.run_digests, high.run_digests)[1:w.i % 3], '') || array_to_string(coalesce(low.run_digests, high.run_digests)[w.i % 3 + 2:], '') END,
+    w.up OR low.run IS NULL
+  FROM w LEFT JOIN low ON NOT w.up AND low.place = w.place AND low.level = w.level AND low.run = w.i // 3
+    LEFT JOIN high ON w.up AND high.level = w.level AND high.run = w.i // 3 WHERE NOT w.up OR high.run IS NOT NULL),
+f AS (SELECT place, pos, arg_max(own, level) AS own, arg_max(proof, level) AS proof FROM w WHERE up GROUP BY place, pos)
+SELECT k.doc_id, k.leaf, s.digest AS subroot, root.digest AS root, sha256(f.proof) AS proof_sha256, f.own AS folded_root, f.own = root.digest AS verified
+FROM r k JOIN f USING (place, pos) JOIN s ON s.place = k.place, (SELECT digest FROM u WHERE n = 1) root
+"""
