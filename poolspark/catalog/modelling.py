@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from poolspark.catalog import standins as st
-from poolspark.operators import model, pool
+from poolspark.operators import committee, model, pool, select
 from poolspark.operators.ranking import auc_by_group
 from poolspark.plans.backtest import run_backtest
+from poolspark.session import cut_lineage, shared_table
 
 QUERIES = {}
 SQL = {}
@@ -42,28 +43,51 @@ def fit_score(spark, sf_dir):
 QUERIES["fit_score"] = fit_score
 
 
-def backtest(spark, sf_dir):
-    """The full set of model-driven strategies, both initializations, ten rounds."""
-    strategies = ["random", "greedy", "uncertainty_topk", "uncertainty_diverse"]
-    run = run_backtest(st.pool(spark, sf_dir), strategies, pool.INITIALIZATIONS, FIT_SEEDS)
+def history_columns(run):
     return run.history.select(
         "campaign", "target", "initialization_strategy", "strategy", "seed", "round", "n_labeled", "n_actives_found",
         F.round("roc_auc", 6).alias("roc_auc"), F.array_join(F.col("selected").cast("array<string>"), ",").alias("selected"),
     )
 
 
-QUERIES["backtest"] = backtest
+def full_run(spark, sf_dir, strategies=pool.STRATEGIES):
+    """Both initializations, five seeds, ten rounds, committees of 300 trees and 100 boosting rounds."""
+    return run_backtest(st.pool(spark, sf_dir), list(strategies), pool.INITIALIZATIONS, FIT_SEEDS)
 
 
-def committee_backtest(spark, sf_dir):
-    """Committee strategy on both targets, one seed, two rounds; smaller members than the default."""
-    run = run_backtest(
-        st.pool(spark, sf_dir), ["query_by_committee"], ["random"], [0], n_rounds=2, trees=20, boosting_rounds=5
-    )
-    return run.history.select("campaign", "round", "n_labeled", "n_actives_found", F.round("roc_auc", 6).alias("roc_auc"))
+QUERIES["backtest"] = lambda spark, sf_dir: history_columns(full_run(spark, sf_dir))
+QUERIES["committee_backtest"] = lambda spark, sf_dir: history_columns(full_run(spark, sf_dir, ["query_by_committee"]))
+
+
+def trained_committees(spark, sf_dir):
+    """The pool, and a committee per (target, seed) trained on its random starting set."""
+    prepared = pool.prepare_pool(st.pool(spark, sf_dir), FIT_SEEDS)
+    grid = pool.campaign_grid(prepared, ["random"], ["query_by_committee"], FIT_SEEDS)
+    drawn = pool.init_random(prepared, FIT_SEEDS).select("target", "seed", "mol_id")
+    labeled = cut_lineage(drawn.join(prepared, ["target", "mol_id"]).join(grid, ["target", "seed"]))
+    return prepared, labeled, shared_table(committee.fit_committees(labeled), "committees")
+
+
+def committee_scores(spark, sf_dir):
+    """P(active) by each member of a trained committee and their disagreement, for every pool row."""
+    prepared, _, committees = trained_committees(spark, sf_dir)
+    scored = committee.with_disagreement(model.score_committees(prepared, committees, FIT_SEEDS))
+    members = [F.round(F.col("member_p")[i]["p"], 6).alias(f"p_{name}") for i, name in enumerate(committee.MEMBERS)]
+    return scored.select("campaign", "mol_id", "label", *members, F.round("disagreement", 6).alias("disagreement"))
+
+
+def committee_diagnostics(spark, sf_dir):
+    """Every pool row with the disagreement of a trained committee (0 where labeled), and the next batch."""
+    prepared, labeled, committees = trained_committees(spark, sf_dir)
+    rows = shared_table(committee.with_disagreement(model.score_committees(prepared, committees, FIT_SEEDS)).drop("member_p"), "disagreement")
+    fresh = rows.join(labeled.select("campaign", "mol_id"), ["campaign", "mol_id"], "left_anti")
+    chosen = select.select_query_by_committee(fresh, ["campaign"])
+    out = committee.diagnostics(rows.drop("disagreement"), fresh, chosen, ["campaign", "mol_id"])
+    return out.withColumn("disagreement", F.round("disagreement", 6))
 
 
-QUERIES["committee_backtest"] = committee_backtest
+QUERIES["committee_scores"] = committee_scores
+QUERIES["committee_diagnostics"] = committee_diagnostics
 
 
 def history_union(spark, sf_dir):

@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from poolspark.catalog import standins as st
+from poolspark.catalog.modelling import full_run
 from poolspark.operators import features, report, space
 from poolspark.plans import panels
-from poolspark.plans.backtest import run_backtest
 from poolspark.session import shared_dir
 from poolspark.sources.tables import spread
 from poolspark.streaming.clean_stream import clean_stream, read_cleaned
@@ -98,16 +98,13 @@ def projection_panel(spark, sf_dir):
 QUERIES["projection_panel"] = projection_panel
 
 
-def small_run(spark, sf_dir):
-    return run_backtest(st.pool(spark, sf_dir), ["greedy", "uncertainty_topk"], ["random"], [0], n_rounds=2)
-
-
 def campaign_panel(spark, sf_dir):
+    """The rows of the panels of all strategies, starts, seeds and rounds: pool rows once per target, then each campaign's marks."""
     projected, _ = space.fit_pca(st.pool(spark, sf_dir), 2)
-    rows = panels.campaign_panel(small_run(spark, sf_dir), projected, 2)
-    return rows.select(
-        "campaign", "mol_id", "tag", "truth_tag", "active", "label", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2", "roc_auc_mean")]
-    )
+    points, marks = panels.campaign_layers(full_run(spark, sf_dir), projected)
+    rows = points.withColumn("tag", F.lit("Untested")).unionByName(marks, allowMissingColumns=True)
+    shown = [F.round(c, 6).alias(c) for c in ("pc1", "pc2", "roc_auc_mean")]
+    return rows.select("campaign", "target", "mol_id", "tag", "active", "from_round", F.col("strategy"), "initialization_strategy", *shown)
 
 
 QUERIES["campaign_panel"] = campaign_panel

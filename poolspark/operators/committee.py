@@ -1,16 +1,26 @@
-"""Committee of three pyspark.ml classifiers and its disagreement."""
+"""Committees of three classifiers and their disagreement.
+
+The committees of a round are fitted side by side: a labeled set is small, so a task fits one member of one campaign, or a part
+of its forest. One labeled set too large for a task goes to pyspark.ml instead.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolspark.operators.matrix import fit_logistic
 from poolspark.operators.ranking import HOT_ROWS, exact_percentiles
+from poolspark.operators.trees import Trees, fit_boosting, fit_forest, tree_values
 
 # Fixed values.
 FOREST_TREES = 300
@@ -19,6 +29,98 @@ BOOSTING_ROUNDS = 100
 BOOSTING_DEPTH = 3
 BOOSTING_STEP = 0.1
 LOGISTIC_ITERATIONS = 2000
+MEMBERS = ("logistic", "forest", "boosting")
+
+# Trees of a forest that are grown in one task.
+FOREST_PART = 100
+# As for the base model: rows of one campaign that a task takes.
+MAX_GROUP_ROWS = 5_000
+
+MEMBER_COLUMNS = (
+    "member string, part int, weights array<double>, intercept double, feature array<int>, threshold array<double>, "
+    "child array<int>, value array<double>, roots array<int>, depth int"
+)
+COMMITTEE_SCHEMA = f"campaign string, target string, seed int, {MEMBER_COLUMNS}"
+
+
+def fit_committees(
+    labeled: DataFrame, round_id: int = 0, trees: int = FOREST_TREES, boosting_rounds: int = BOOSTING_ROUNDS
+) -> DataFrame:
+    """The members of every campaign's committee, one row each; a forest has a row for each FOREST_PART trees.
+
+    ``labeled``: campaign, target, seed, mol_id, label, features. All campaigns and members are fitted in one job. The draws of a
+    forest follow from campaign, seed, round and part, and rows are sorted, so neither retries nor the layout change them.
+    """
+    parts = [("logistic", 0, 0), ("boosting", 0, boosting_rounds)]
+    parts += [("forest", k, min(FOREST_PART, trees - k * FOREST_PART)) for k in range(-(-trees // FOREST_PART))]
+    tasks = F.array(*[F.struct(F.lit(m).alias("member"), F.lit(k).alias("part"), F.lit(n).alias("size")) for m, k, n in parts])
+    none, no_ints = np.zeros(0), np.zeros(0, np.int32)
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        head = group[["campaign", "target", "seed", "member", "part"]].head(1)
+        campaign, member, size = head["campaign"].iloc[0], head["member"].iloc[0], int(group["size"].iloc[0])
+        if len(group) > MAX_GROUP_ROWS:
+            raise ValueError(f"campaign {campaign}: {len(group)} labeled rows, use train_committee")
+        group = group.sort_values("mol_id")
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in group["features"]])
+        y = group["label"].to_numpy(dtype=np.float64)
+        if len(np.unique(y)) < 2:
+            raise ValueError(f"campaign {campaign}: the labeled rows hold one class only; a classifier needs both")
+        weights, start, grown = none, 0.0, None
+        if member == "logistic":
+            _, _, weights, start = fit_logistic(x, y, scale=False, max_iter=LOGISTIC_ITERATIONS)
+        elif member == "boosting":
+            grown, start = fit_boosting(x, y, size, BOOSTING_DEPTH, BOOSTING_STEP)
+        else:
+            draw = [zlib.crc32(campaign.encode()), int(head["seed"].iloc[0]) & 0xFFFFFFFF, round_id, int(head["part"].iloc[0])]
+            grown = fit_forest(x, y, size, np.random.default_rng(draw))
+        grown = grown or Trees(no_ints, none, no_ints, none, no_ints, 0)
+        arrays = {f: [np.asarray(getattr(grown, f))] for f in ("feature", "threshold", "child", "value", "roots")}
+        return head.assign(weights=[weights], intercept=[start], **arrays, depth=[grown.depth])
+
+    wanted = labeled.select("campaign", "target", "seed", "mol_id", "label", "features", F.explode(tasks).alias("_t"))
+    rows = wanted.select("*", "_t.member", "_t.part", "_t.size").drop("_t")
+    return rows.groupBy("campaign", "member", "part").applyInPandas(fit, COMMITTEE_SCHEMA)
+
+
+class Committee(NamedTuple):
+    weights: np.ndarray
+    intercept: float
+    forest: list[Trees]
+    boosting: Trees
+    start: float
+
+
+def unpack(members: Sequence) -> Committee:
+    """A committee from its rows (MEMBER_COLUMNS)."""
+    kinds: dict[str, list] = {m: [] for m in MEMBERS}
+    for r in sorted(members, key=lambda r: r["part"]):
+        kinds[r["member"]].append(r)
+    grown = {m: [_trees(r) for r in kinds[m]] for m in ("forest", "boosting")}
+    (line,), (boosted,) = kinds["logistic"], kinds["boosting"]
+    return Committee(np.asarray(line["weights"], dtype=np.float64), line["intercept"], grown["forest"], grown["boosting"][0], boosted["intercept"])
+
+
+def _trees(r) -> Trees:
+    as_int = lambda name: np.asarray(r[name], dtype=np.int32)
+    return Trees(as_int("feature"), np.asarray(r["threshold"], dtype=np.float64), as_int("child"),
+                 np.asarray(r["value"], dtype=np.float64), as_int("roots"), r["depth"])
+
+
+def member_cost(members: Sequence) -> int:
+    """Bytes of a committee's rows, about."""
+    return sum(24 * len(r["feature"]) + 4 * len(r["roots"]) + 8 * len(r["weights"]) + 64 for r in members)
+
+
+def member_probabilities(committee: Committee, x: np.ndarray) -> np.ndarray:
+    """P(active) of every row by every member, in the order of MEMBERS."""
+    sigmoid = lambda s: 1.0 / (1.0 + np.exp(-np.clip(s, -500, 500)))
+    n_trees = sum(len(t.roots) for t in committee.forest)
+    forest = sum(tree_values(t, x) for t in committee.forest) / max(n_trees, 1)
+    return np.stack([
+        sigmoid(x @ committee.weights + committee.intercept), forest,
+        sigmoid(committee.start + tree_values(committee.boosting, x)),
+    ])
 
 
 def train_committee(

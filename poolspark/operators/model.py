@@ -14,9 +14,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolspark.operators import committee as qbc
 from poolspark.operators.matrix import fit_logistic, target_slices
-from poolspark.operators.pool import blocks
-from poolspark.session import BROADCAST_BYTES
+from poolspark.operators.pool import blocks, feature_bytes
+from poolspark.session import BROADCAST_BYTES, cut_lineage
 
 # A grouped fit solves an n x n system; larger labeled sets go to the distributed solver.
 MAX_GROUP_ROWS = 5_000
@@ -136,43 +137,56 @@ def _score_block(pool: DataFrame, packed: dict, held_out: bool) -> DataFrame:
     return pool.select("target", "mol_id", "label", "features", "test_mask").mapInArrow(scan, SCORE_SCHEMA)
 
 
-CANDIDATE_SCHEMA = "campaign string, mol_id bigint, label int, features array<double>, score double"
+CANDIDATE_SCHEMA = "campaign string, mol_id bigint, score double"
 
 
 def best_candidates(
     pool: DataFrame, models: DataFrame, labeled: DataFrame, seeds: Sequence[int], keep: dict[str, int],
+    committees: DataFrame | None = None,
 ) -> DataFrame:
-    """The best unlabeled rows per campaign and task, to be ranked further by score, then id.
+    """The best unlabeled rows per campaign and task, ids and scores only, to be ranked further by score, then id.
 
     ``keep`` maps a strategy to the number of rows it needs; low scores are better. ``pool`` may
-    carry ``draw``, one random number per seed, which is the score of the random strategy. A task
-    keeps only the best rows it has seen so far, so the output has at most that many rows per
-    campaign and task. Labeled ids travel with the models: a few per campaign.
+    carry ``draw``, one random number per seed, which is the score of the random strategy; a campaign with members in
+    ``committees`` is scored by their disagreement. A task keeps only the best rows it has seen so far, so the output has
+    at most that many rows per campaign and task. Labeled ids travel with the models: a few per campaign.
+
+    Models go out in blocks of at most BROADCAST_BYTES, each of which is scored in a scan of its own, written, and dropped.
     """
     tested = labeled.groupBy("campaign").agg(F.collect_list("mol_id").alias("tested"))
+    rows = models.join(tested, "campaign")
+    if committees is not None:
+        fields = [c for c in committees.columns if c not in ("campaign", "target", "seed")]
+        members = committees.groupBy("campaign").agg(F.collect_list(F.struct(*fields)).alias("members"))
+        rows = rows.join(members, "campaign", "left")
+    else:
+        rows = rows.withColumn("members", F.lit(None))
     position = {s: i for i, s in enumerate(seeds)}
-    parts = []
-    for block in model_blocks(models.join(tested, "campaign")):
-        packed = {}
-        for target, rows in block.items():
-            heads = [
-                (r["campaign"], r["strategy"], position[r["seed"]], np.array(r["tested"]), keep[r["strategy"]])
-                for r in rows
-            ]
-            packed[target] = (*weights(rows), heads)
-        parts.append(_candidate_block(pool, packed))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def _candidate_block(pool: DataFrame, packed: dict) -> DataFrame:
-    shared = pool.sparkSession.sparkContext.broadcast(packed)
-    columns = ["target", "mol_id", "label", "features", "test_mask"]
+    cost = lambda r: feature_bytes(r) + 8 * len(r["tested"]) + qbc.member_cost(r["members"] or ())
+    found = None
+    for block in blocks(rows.orderBy("target", "campaign").toLocalIterator(), ("target", "campaign"), BROADCAST_BYTES, cost):
+        packed: dict[str, list] = {}
+        for (target, _), own in block:
+            packed.setdefault(target, []).extend(own)
+        shared = pool.sparkSession.sparkContext.broadcast({target: (*weights(own), [_head(r, position, keep) for r in own]) for target, own in packed.items()})
+        part = cut_lineage(_candidate_block(pool, shared))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return pool.sparkSession.createDataFrame([], CANDIDATE_SCHEMA) if found is None else found
+
+
+def _head(row, position: dict[int, int], keep: dict[str, int]) -> tuple:
+    committee = qbc.unpack(row["members"]) if row["members"] else None
+    return row["campaign"], row["strategy"], position[row["seed"]], np.array(row["tested"]), keep[row["strategy"]], committee
+
+
+def _candidate_block(pool: DataFrame, shared) -> DataFrame:
+    columns = ["target", "mol_id", "features", "test_mask"]
     columns += [c for c in ("draw",) if c in pool.columns]
 
-    def scores(strategy, p, draw, seed_no):
+    def scores(strategy, committee, x, p, draw, seed_no):
+        if committee is not None:
+            return -np.var(qbc.member_probabilities(committee, x), axis=0)
         if strategy == "random":
             return draw[:, seed_no]
         return -p if strategy == "greedy" else np.abs(p - 0.5)
@@ -180,7 +194,6 @@ def _candidate_block(pool: DataFrame, packed: dict) -> DataFrame:
     def scan(batches):
         best: dict[str, tuple] = {}
         for batch in batches:
-            labels = batch.column("label").to_numpy(zero_copy_only=False)
             draws = None
             if "draw" in columns:
                 draws = batch.column("draw").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -190,9 +203,9 @@ def _candidate_block(pool: DataFrame, packed: dict) -> DataFrame:
                     continue
                 w, b, heads = shared.value[target]
                 p = probabilities(x, w, b)
-                for column, (campaign, strategy, seed_no, tested, k) in enumerate(heads):
+                for column, (campaign, strategy, seed_no, tested, k, committee) in enumerate(heads):
                     rows = np.flatnonzero(~mask[:, seed_no])
-                    score = scores(strategy, p[rows, column], None if draws is None else draws[at[rows]], seed_no)
+                    score = scores(strategy, committee, x[rows], p[rows, column], None if draws is None else draws[at[rows]], seed_no)
                     if np.isnan(score).any():
                         raise ValueError(f"campaign {campaign}: NaN score")
                     if len(rows) > k + len(tested):
@@ -201,23 +214,57 @@ def _candidate_block(pool: DataFrame, packed: dict) -> DataFrame:
                         close = score <= edge
                         rows, score = rows[close], score[close]
                     fresh = ~np.isin(ids[rows], tested)
-                    rows, score = rows[fresh], score[fresh]
+                    new = (score[fresh], ids[rows[fresh]])
                     old = best.get(campaign)
-                    new = (score, ids[rows], labels[at[rows]], x[rows])
                     if old is not None:
                         new = tuple(np.concatenate([a, c]) for a, c in zip(old, new))
                     order = np.lexsort((new[1], new[0]))[:k]
                     best[campaign] = tuple(part[order] for part in new)
-        for campaign, (score, ids, label, x) in best.items():
+        for campaign, (score, ids) in best.items():
             if len(ids):
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "campaign": [campaign] * len(ids),
-                        "mol_id": ids,
-                        "label": pa.array(label, pa.int32()),
-                        "features": list(x),
-                        "score": score.astype(np.float64),
-                    }
-                )
+                yield pa.RecordBatch.from_pydict({"campaign": [campaign] * len(ids), "mol_id": ids, "score": score.astype(np.float64)})
 
     return pool.select(*columns).mapInArrow(scan, CANDIDATE_SCHEMA)
+
+
+def with_features(pool: DataFrame, chosen: DataFrame, most: int = 200_000) -> DataFrame:
+    """``chosen`` (target, mol_id, ...) with label and features; up to ``most`` chosen rows are sent to the pool, not the pool to them."""
+    narrow = F.broadcast(chosen) if chosen.limit(most + 1).count() <= most else chosen
+    return pool.select("target", "mol_id", "label", "features").join(narrow, ["target", "mol_id"])
+
+
+MEMBER_SCHEMA = "campaign string, mol_id bigint, label int, member_p array<struct<member:string,p:double>>"
+
+
+def score_committees(pool: DataFrame, committees: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """P(active) by each member for every pool row of the campaign's target that its seed does not hold out."""
+    position = {s: i for i, s in enumerate(seeds)}
+    fields = [c for c in committees.columns if c not in ("campaign", "target", "seed")]
+    rows = committees.groupBy("target", "campaign", "seed").agg(F.collect_list(F.struct(*fields)).alias("members")).orderBy("target", "campaign")
+    scored = None
+    for block in blocks(rows.toLocalIterator(), ("target", "campaign"), BROADCAST_BYTES, lambda r: qbc.member_cost(r["members"])):
+        packed: dict[str, list] = {}
+        for (target, campaign), (row,) in block:
+            packed.setdefault(target, []).append((campaign, position[row["seed"]], qbc.unpack(row["members"])))
+        part = _member_block(pool, pool.sparkSession.sparkContext.broadcast(packed))
+        scored = part if scored is None else scored.unionByName(part)
+    return pool.sparkSession.createDataFrame([], MEMBER_SCHEMA) if scored is None else scored
+
+
+def _member_block(pool: DataFrame, shared) -> DataFrame:
+    kind = pa.list_(pa.struct([("member", pa.string()), ("p", pa.float64())]))
+
+    def scan(batches):
+        for batch in batches:
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            for target, at, x, ids, mask in target_slices(batch):
+                for campaign, seed_no, committee in shared.value.get(target, ()):
+                    rows = np.flatnonzero(~mask[:, seed_no])
+                    p = qbc.member_probabilities(committee, x[rows])
+                    entries = pa.StructArray.from_arrays([pa.array(qbc.MEMBERS * len(rows)), pa.array(p.T.ravel())], ["member", "p"])
+                    offsets = pa.array(np.arange(len(rows) + 1) * len(qbc.MEMBERS), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([campaign] * len(rows), pa.string()), pa.array(ids[rows], pa.int64()), pa.array(labels[at[rows]], pa.int32()),
+                         pa.ListArray.from_arrays(offsets, entries).cast(kind)], ["campaign", "mol_id", "label", "member_p"])
+
+    return pool.select("target", "mol_id", "label", "features", "test_mask").mapInArrow(scan, MEMBER_SCHEMA)

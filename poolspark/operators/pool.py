@@ -7,7 +7,7 @@ is what is left of the pool, so no table of campaigns x rows is ever written.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -208,12 +208,18 @@ def farthest_rows(pool: DataFrame, centres: DataFrame, seeds: Sequence[int]) ->
     return found.groupBy("target", "seed").agg(best.alias("_b")).select("target", "seed", "_b.mol_id", "_b.features")
 
 
-def blocks(rows: Iterable, keys: Sequence[str], limit: int) -> Iterator[list[tuple[tuple, list]]]:
+def feature_bytes(row) -> int:
+    return 8 * (len(row["features"]) + 4)
+
+
+def blocks(
+    rows: Iterable, keys: Sequence[str], limit: int, cost_of: Callable[[object], int] = feature_bytes
+) -> Iterator[list[tuple[tuple, list]]]:
     """Whole groups of rows sorted by ``keys``, packed into blocks of about ``limit`` bytes."""
     block, size = [], 0
     for key, members in groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
         members = list(members)
-        cost = sum(8 * (len(r["features"]) + 4) for r in members)
+        cost = sum(cost_of(r) for r in members)
         if block and size + cost > limit:
             yield block
             block, size = [], 0
@@ -277,7 +283,7 @@ def update_pool(state: DataFrame, selection: DataFrame, keys: Sequence[str], rou
     )
 
 
-def state_at_round(state: DataFrame, target_round: int) -> DataFrame:
+def state_at_round(state: DataFrame, target_round: int | Column) -> DataFrame:
     """Campaign view before round ``target_round``: Untested, Initial, New active or New inactive."""
     at = F.col("round_labeled")
     new = at.isNotNull() & (at >= 0) & (at < target_round)

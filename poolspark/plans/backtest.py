@@ -9,7 +9,6 @@ single scan of the test rows at the end.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import Window as W
 
 from poolspark.functions.ordering import order_key
 from poolspark.operators import committee as qbc
-from poolspark.operators.model import best_candidates, fit_campaigns, score_rows
+from poolspark.operators.model import best_candidates, fit_campaigns, score_rows, with_features
 from poolspark.operators.pool import (
     INITIAL_ROUND,
     N_INITIAL,
@@ -31,13 +30,11 @@ from poolspark.operators.pool import (
     running_actives,
 )
 from poolspark.operators.ranking import auc_by_group, hot_groups, top_k
-from poolspark.operators.select import BATCH_SIZE, SHORTLIST, select_diverse_subset, select_query_by_committee
+from poolspark.operators.select import BATCH_SIZE, SHORTLIST, select_diverse_subset
 from poolspark.session import cut_lineage, shared_table
 
 N_ROUNDS = 10
 COMMITTEE = "query_by_committee"
-COMMITTEES_AT_ONCE = 4
-SCORED = ("greedy", "random", "uncertainty_topk", "uncertainty_diverse")
 
 
 @dataclass(frozen=True)
@@ -125,53 +122,28 @@ def _starting_sets(pool, campaigns, inits, seeds, n_initial, method) -> DataFram
 
 
 def _choose(pool, campaigns, models, labeled, strategies, seeds, round_id, batch_size, shortlist, method, sizes):
-    """campaign, mol_id, label, features of this round's batch for every campaign."""
-    parts = []
-    if set(strategies) & set(SCORED):
-        keep = {s: shortlist if s == "uncertainty_diverse" else batch_size for s in SCORED}
-        scored = models.where(F.col("strategy").isin(*SCORED))
-        drawn = pool
-        if "random" in strategies:
-            seed_list = F.array(*[F.lit(int(s) + round_id) for s in seeds])
-            drawn = pool.withColumn("draw", F.transform(seed_list, lambda s: order_key(s, F.col("mol_id"), method)))
-        found = best_candidates(drawn, scored, labeled, seeds, keep)
-        ranked = top_k(found, ["campaign"], [F.col("score"), F.col("mol_id")], shortlist)
-        ranked = ranked.join(campaigns.select("campaign", "strategy", "seed"), "campaign")
-        best = ranked.where((F.col("strategy") != "uncertainty_diverse") & (F.col("rank") <= batch_size))
-        parts.append(best.select("campaign", "mol_id", "label", "features"))
-        if "uncertainty_diverse" in strategies:
-            near = ranked.where(F.col("strategy") == "uncertainty_diverse")
-            near = near.select("campaign", "seed", "mol_id", "label", "features")
-            spread = select_diverse_subset(near, ["campaign"], F.col("seed") + round_id, batch_size, method=method)
-            parts.append(spread.select("campaign", "mol_id", "label", "features"))
+    """campaign, mol_id, label, features of this round's batch for every campaign: one scan of the pool for all."""
+    keep = {s: shortlist if s == "uncertainty_diverse" else batch_size for s in strategies}
+    drawn, committees = pool, None
+    if "random" in strategies:
+        seed_list = F.array(*[F.lit(int(s) + round_id) for s in seeds])
+        drawn = pool.withColumn("draw", F.transform(seed_list, lambda s: order_key(s, F.col("mol_id"), method)))
     if COMMITTEE in strategies:
-        parts.extend(_committee_choices(pool, campaigns, labeled, seeds, round_id, batch_size, sizes))
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
+        own = labeled.where(F.col("strategy") == COMMITTEE)
+        committees = shared_table(qbc.fit_committees(own, round_id, **sizes), "committees")
+    found = best_candidates(drawn, models, labeled, seeds, keep, committees)
+    ranked = top_k(found, ["campaign"], [F.col("score"), F.col("mol_id")], shortlist)
+    ranked = cut_lineage(ranked.join(campaigns.select("campaign", "target", "strategy", "seed"), "campaign"))
+    spread_out = F.col("strategy") == "uncertainty_diverse"
+    rows = with_features(pool, ranked.where(spread_out | (F.col("rank") <= batch_size)))
+    chosen = rows.where(~spread_out).select("campaign", "mol_id", "label", "features")
+    if "uncertainty_diverse" in strategies:
+        near = rows.where(spread_out).select("campaign", "seed", "mol_id", "label", "features")
+        spread = select_diverse_subset(near, ["campaign"], F.col("seed") + round_id, batch_size, method=method)
+        chosen = chosen.unionByName(spread.select("campaign", "mol_id", "label", "features"))
     return chosen
 
 
-def _committee_choices(pool, campaigns, labeled, seeds, round_id, batch_size, sizes) -> list[DataFrame]:
-    """Forests and boosting are distributed ml fits, three per campaign and round; a few campaigns run side by side."""
-
-    def choose(row) -> DataFrame:
-        tested = labeled.where(F.col("campaign") == row["campaign"])
-        n_rows = tested.count()
-        committee = qbc.train_committee(tested, row["seed"] + round_id, n_rows, **sizes)
-        open_rows = pool.where(
-            (F.col("target") == row["target"]) & ~F.element_at("test_mask", seeds.index(row["seed"]) + 1)
-        ).join(tested.select("mol_id"), "mol_id", "left_anti")
-        rows = open_rows.select(F.lit(row["campaign"]).alias("campaign"), "mol_id", "label", "features")
-        scored = qbc.with_disagreement(qbc.committee_probabilities(committee, rows))
-        chosen = select_query_by_committee(scored, ["campaign"], batch_size)
-        return cut_lineage(chosen.select("campaign", "mol_id", "label", "features"))
-
-    members = campaigns.where(F.col("strategy") == COMMITTEE).select("campaign", "target", "seed").orderBy("campaign")
-    with ThreadPoolExecutor(COMMITTEES_AT_ONCE) as threads:
-        return list(threads.map(choose, members.collect()))
-
-
 def _history(campaigns: DataFrame, labeled: DataFrame, quality: DataFrame, n_rounds: int) -> DataFrame:
     """Round, labeled and active counts, AUC and the rows chosen (NULL in the last round).
 

@@ -34,6 +34,26 @@ def campaign_panel(run: Backtest, projected: DataFrame, round_id: int) -> DataFr
     return report.attach_metric(placed, report.summarize(run.history), round_id)
 
 
+def campaign_layers(run: Backtest, projected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The panels of all campaigns and rounds as (points, marks): what a panel shows is the points of its target, under its marks.
+
+    points: target, mol_id, active, pc1, pc2, once per target whatever the number of campaigns. marks: the rows a campaign has
+    labeled, each from the round on in which it is first shown (``from_round``), with its tag, coordinates, and the metric of its
+    (init, strategy) at that round. Rows without a mark up to a round are untested in it.
+    """
+    points = projected.select(
+        "target", "mol_id", F.col("label").alias("active"), F.element_at("embedding", 1).alias("pc1"), F.element_at("embedding", 2).alias("pc2"),
+    )
+    tagged = pool.state_at_round(run.state.drop("features"), F.col("round_labeled") + 1)
+    labeled = tagged.select(
+        "campaign", "target", F.col("init").alias("initialization_strategy"), "strategy", "mol_id", "tag",
+        F.greatest(F.lit(0), F.col("round_labeled") + 1).alias("from_round"),
+    )
+    marks = space.overlay(labeled, points, ["target", "mol_id"])
+    summary = report.summarize(run.history).select("target", "initialization_strategy", "strategy", F.col("round").alias("from_round"), "roc_auc_mean")
+    return points, marks.join(summary, ["target", "initialization_strategy", "strategy", "from_round"], "left")
+
+
 def projection_panel(projected: DataFrame, explained: Sequence[float], neighbours: DataFrame | None = None):
     """(projection rows, variance table, neighbour edges)."""
     rows = space.projection_rows(projected, ["target", "mol_id"])

@@ -6,6 +6,7 @@ from poolspark.operators.report import summarize
 from poolspark.plans import panels
 from poolspark.plans.backtest import run_backtest
 
+STRATEGIES_ALL = ("greedy", "random", "uncertainty_topk", "uncertainty_diverse", "query_by_committee")
 STRATEGIES = ["random", "greedy", "uncertainty_topk", "uncertainty_diverse"]
 SETUP = {"n_initial": 10, "batch_size": 4, "n_rounds": 2, "shortlist": 12}
 
@@ -92,6 +93,20 @@ def test_committee_rounds(separable):
     assert [history["A/random/query_by_committee/0", r][0] for r in (0, 1)] == [12, 16]
 
 
+def test_all_strategies_and_layers_of_their_panels(separable):
+    run = run_backtest(separable, list(STRATEGIES_ALL), ["random", "diverse"], [0], trees=20, boosting_rounds=5, **SETUP)
+    assert run.history.select("campaign").distinct().count() == 2 * 2 * 5
+    projected, _ = space.fit_pca(separable, 2)
+    points, marks = panels.campaign_layers(run, projected)
+    assert points.count() == 240 and marks.count() == run.state.count()
+    # the layers hold the same tags as the panel of all campaigns and rows
+    for r in (0, 1, 2):
+        full = panels.campaign_panel(run, projected, r).where("tag <> 'Untested'").select("campaign", "mol_id", "tag")
+        mine = marks.where(F.col("from_round") <= r).select("campaign", "mol_id", "tag")
+        assert sorted(map(tuple, full.collect())) == sorted(map(tuple, mine.collect()))
+    assert marks.where("roc_auc_mean is null").count() == 0
+
+
 def test_panels(run, separable):
     projected, explained = space.fit_pca(separable, 3)
     rows = panels.campaign_panel(run, projected, 2)
