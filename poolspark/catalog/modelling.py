@@ -31,7 +31,7 @@ FIT_SEEDS = st.SEEDS
 
 def fit_score(spark, sf_dir):
     """One model per (target, seed) on its random starting set; P(active) of every pool row."""
-    prepared = pool.prepare_pool(st.pool(spark, sf_dir), FIT_SEEDS)
+    prepared = shared_table(pool.prepare_pool(st.pool(spark, sf_dir), FIT_SEEDS), "pool")
     grid = pool.campaign_grid(prepared, ["random"], ["greedy"], FIT_SEEDS)
     drawn = pool.init_random(prepared, FIT_SEEDS).select("target", "seed", "mol_id")
     labeled = drawn.join(prepared, ["target", "mol_id"]).join(grid, ["target", "seed"])
@@ -61,7 +61,7 @@ QUERIES["committee_backtest"] = lambda spark, sf_dir: history_columns(full_run(s
 
 def trained_committees(spark, sf_dir):
     """The pool, and a committee per (target, seed) trained on its random starting set."""
-    prepared = pool.prepare_pool(st.pool(spark, sf_dir), FIT_SEEDS)
+    prepared = shared_table(pool.prepare_pool(st.pool(spark, sf_dir), FIT_SEEDS), "pool")
     grid = pool.campaign_grid(prepared, ["random"], ["query_by_committee"], FIT_SEEDS)
     drawn = pool.init_random(prepared, FIT_SEEDS).select("target", "seed", "mol_id")
     labeled = cut_lineage(drawn.join(prepared, ["target", "mol_id"]).join(grid, ["target", "seed"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from poolspark.catalog import standins as st
 from poolspark.functions.scoring import logistic_score
 from poolspark.operators import committee, pool, select, targets
+from poolspark.session import shared_table
 from poolspark.operators.ranking import top_k
 
 QUERIES = {}
@@ -69,7 +70,7 @@ SELECT target, seed, mol_id, CAST(r AS INTEGER) AS rank FROM (
 
 def init_diverse(spark, sf_dir):
     """Twenty centres per target and seed among the rows that are not held out."""
-    prepared = pool.prepare_pool(st.pool(spark, sf_dir), st.SEEDS, method="md5")
+    prepared = shared_table(pool.prepare_pool(st.pool(spark, sf_dir), st.SEEDS, method="md5"), "pool")
     return pool.init_diverse(prepared, st.SEEDS, method="md5").select("target", "seed", "mol_id", "rank")
 
 

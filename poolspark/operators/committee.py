@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from poolspark.operators.matrix import fit_logistic
 from poolspark.operators.ranking import HOT_ROWS, exact_percentiles
 from poolspark.operators.trees import Trees, fit_boosting, fit_forest, tree_values
+from poolspark.session import dealt_by
 
 # Fixed values.
 FOREST_TREES = 300
@@ -36,9 +37,10 @@ FOREST_PART = 100
 # As for the base model: rows of one campaign that a task takes.
 MAX_GROUP_ROWS = 5_000
 
+# Arrays are stored as their bytes (int32 and float64): nobody reads them number by number.
 MEMBER_COLUMNS = (
-    "member string, part int, weights array<double>, intercept double, feature array<int>, threshold array<double>, "
-    "child array<int>, value array<double>, roots array<int>, depth int"
+    "member string, part int, weights binary, intercept double, feature binary, threshold binary, "
+    "child binary, value binary, roots binary, depth int"
 )
 COMMITTEE_SCHEMA = f"campaign string, target string, seed int, {MEMBER_COLUMNS}"
 
@@ -75,12 +77,12 @@ def fit_committees(
             draw = [zlib.crc32(campaign.encode()), int(head["seed"].iloc[0]) & 0xFFFFFFFF, round_id, int(head["part"].iloc[0])]
             grown = fit_forest(x, y, size, np.random.default_rng(draw))
         grown = grown or Trees(no_ints, none, no_ints, none, no_ints, 0)
-        arrays = {f: [np.asarray(getattr(grown, f))] for f in ("feature", "threshold", "child", "value", "roots")}
-        return head.assign(weights=[weights], intercept=[start], **arrays, depth=[grown.depth])
+        arrays = {f: [getattr(grown, f).astype(t).tobytes()] for f, t in TREE_TYPES.items()}
+        return head.assign(weights=[weights.tobytes()], intercept=[start], **arrays, depth=[grown.depth])
 
     wanted = labeled.select("campaign", "target", "seed", "mol_id", "label", "features", F.explode(tasks).alias("_t"))
     rows = wanted.select("*", "_t.member", "_t.part", "_t.size").drop("_t")
-    return rows.groupBy("campaign", "member", "part").applyInPandas(fit, COMMITTEE_SCHEMA)
+    return dealt_by(rows, "campaign", "member", "part").applyInPandas(fit, COMMITTEE_SCHEMA)
 
 
 class Committee(NamedTuple):
@@ -91,6 +93,9 @@ class Committee(NamedTuple):
     start: float
 
 
+TREE_TYPES = {"feature": np.int32, "threshold": np.float64, "child": np.int32, "value": np.float64, "roots": np.int32}
+
+
 def unpack(members: Sequence) -> Committee:
     """A committee from its rows (MEMBER_COLUMNS)."""
     kinds: dict[str, list] = {m: [] for m in MEMBERS}
@@ -98,18 +103,16 @@ def unpack(members: Sequence) -> Committee:
         kinds[r["member"]].append(r)
     grown = {m: [_trees(r) for r in kinds[m]] for m in ("forest", "boosting")}
     (line,), (boosted,) = kinds["logistic"], kinds["boosting"]
-    return Committee(np.asarray(line["weights"], dtype=np.float64), line["intercept"], grown["forest"], grown["boosting"][0], boosted["intercept"])
+    return Committee(np.frombuffer(line["weights"], np.float64), line["intercept"], grown["forest"], grown["boosting"][0], boosted["intercept"])
 
 
 def _trees(r) -> Trees:
-    as_int = lambda name: np.asarray(r[name], dtype=np.int32)
-    return Trees(as_int("feature"), np.asarray(r["threshold"], dtype=np.float64), as_int("child"),
-                 np.asarray(r["value"], dtype=np.float64), as_int("roots"), r["depth"])
+    return Trees(*(np.frombuffer(r[f], t) for f, t in TREE_TYPES.items()), r["depth"])
 
 
 def member_cost(members: Sequence) -> int:
-    """Bytes of a committee's rows, about."""
-    return sum(24 * len(r["feature"]) + 4 * len(r["roots"]) + 8 * len(r["weights"]) + 64 for r in members)
+    """Bytes of a committee's rows."""
+    return sum(64 + len(r["weights"]) + sum(len(r[f]) for f in TREE_TYPES) for r in members)
 
 
 def member_probabilities(committee: Committee, x: np.ndarray) -> np.ndarray:

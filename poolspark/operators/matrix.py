@@ -55,6 +55,25 @@ def farthest_point_order(ids: np.ndarray, x: np.ndarray, first: int, n_select: i
     return chosen
 
 
+def farthest_while(x: np.ndarray, near: np.ndarray, most: int, bound: float) -> list[int]:
+    """Positions of up to ``most`` farthest points, taken as long as none of the rows left out can come before; the first is taken anyway.
+
+    ``near`` holds squared distances to the nearest centre and is brought up to date. Ties go to the first row. Rows left out are at
+    most ``bound`` away; those that are just as far come after the rows that were given with that distance.
+    """
+    chosen: list[int] = []
+    given = near.copy()
+    while len(chosen) < min(most, len(x)):
+        pick = int(np.argmax(near))
+        if chosen and (near[pick] < bound or (near[pick] == bound and given[pick] != bound)):
+            break
+        diff = x - x[pick]
+        np.minimum(near, np.einsum("ij,ij->i", diff, diff), out=near)
+        near[pick] = -np.inf
+        chosen.append(pick)
+    return chosen
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, scale: bool = True, max_iter: int = 100) -> tuple:
     """(mean, scale, weights, intercept) minimising 0.5 |w|^2 + sum of log losses, free intercept.
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from poolspark.operators import committee as qbc
 from poolspark.operators.matrix import fit_logistic, target_slices
 from poolspark.operators.pool import blocks, feature_bytes
-from poolspark.session import BROADCAST_BYTES, cut_lineage
+from poolspark.session import BROADCAST_BYTES, cut_lineage, dealt_by
 
 # A grouped fit solves an n x n system; larger labeled sets go to the distributed solver.
 MAX_GROUP_ROWS = 5_000
@@ -47,7 +47,7 @@ def fit_campaigns(labeled: DataFrame) -> DataFrame:
     wanted = labeled.select("campaign", "target", "strategy", "seed", "mol_id", "label", "features")
     # Sorted rows make the sums, and so the result, independent of the shuffle order.
     ordered = lambda group: fit(group.sort_values("mol_id"))
-    return wanted.groupBy("campaign").applyInPandas(ordered, MODEL_SCHEMA)
+    return dealt_by(wanted, "campaign").applyInPandas(ordered, MODEL_SCHEMA)
 
 
 def fit_large(labeled: DataFrame, n_rows: int, max_iter: int = 100):

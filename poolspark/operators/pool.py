@@ -11,15 +11,16 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from poolspark.functions.ordering import order_key
-from poolspark.operators.matrix import nearest_squared, target_slices
+from poolspark.operators.matrix import farthest_while, nearest_squared, target_slices
 from poolspark.operators.ranking import key_cutoffs, top_k, within_cutoff
-from poolspark.session import BROADCAST_BYTES, cut_lineage
+from poolspark.session import BROADCAST_BYTES, cut_lineage, dealt_by
 
 # Fixed values.
 INITIALIZATIONS = ("random", "diverse")
@@ -28,6 +29,11 @@ TEST_SIZE = 0.2
 N_INITIAL = 20
 INITIAL_ROUND = -1
 
+# Rows per group that a pass of the farthest-point start looks at closely.
+CANDIDATES = 512
+# Narrow candidate rows that are sent to the pool; with more, both sides are shuffled.
+BROADCAST_CANDIDATES = 500_000
+
 
 def check_names(kind: str, given: Sequence[str], known: Sequence[str]) -> None:
     unknown = sorted(set(given) - set(known))
@@ -164,48 +170,65 @@ def init_random(
 
 
 def init_diverse(
-    pool: DataFrame, seeds: Sequence[int], n_initial: int = N_INITIAL, method: str = "xxhash64"
+    pool: DataFrame, seeds: Sequence[int], n_initial: int = N_INITIAL, method: str = "xxhash64", candidates: int = CANDIDATES
 ) -> DataFrame:
-    """target, seed, mol_id, features, ``rank`` 1..n: farthest-point start per (target, seed).
+    """target, seed, mol_id, features, ``rank`` 1..n: farthest-point start per (target, seed); ties go to the smallest id.
 
-    Each step scans the pool once for all groups. Only the centres found so far are kept, one row
-    per group and step; a task remembers the best row per group it has seen, so what is shuffled
-    is one row per group and task. Ties go to the smallest id.
+    A pass over the pool finds, for all groups at once, the ``candidates`` rows farthest from the centres so far and how far the next
+    row is. A row only comes nearer as centres are added, so as long as the farthest candidate is farther than that bound it is
+    the farthest row of the whole pool: a pass yields many centres, not one, and distances to a centre are computed once for
+    each pass that follows it. Where one row a pass is all that can be told, the result is the same.
     """
     require_larger(pool_sizes(pool, seeds), n_initial)
     keyed = _starting_keys(pool, seeds, method, "features")
     first = F.min_by(F.struct("mol_id", "features"), F.struct("_k", "mol_id")).alias("_f")
     centres = keyed.groupBy("target", "seed").agg(first).select("target", "seed", "_f.*", F.lit(1).alias("rank"))
     centres = cut_lineage(centres)
-    for step in range(2, n_initial + 1):
-        found = farthest_rows(pool, centres, seeds)
-        # Every step reads all earlier centres, so the plan must not keep growing.
-        centres = cut_lineage(centres.unionByName(found.withColumn("rank", F.lit(step))))
-    return centres
+    while True:
+        open_groups = centres.groupBy("target", "seed").agg(F.max("rank").alias("have")).where(F.col("have") < n_initial)
+        current = cut_lineage(centres.join(open_groups, ["target", "seed"]))
+        if current.isEmpty():
+            return centres
+        centres = cut_lineage(centres.unionByName(more_centres(pool, current, seeds, n_initial, candidates)))
+
+
+def more_centres(pool: DataFrame, centres: DataFrame, seeds: Sequence[int], n_initial: int, candidates: int) -> DataFrame:
+    """The next centres of every group of ``centres`` (target, seed, mol_id, features, have), at least one for each."""
+    far = farthest_rows(pool, centres.drop("have", "rank"), seeds, candidates + 1)
+    bound = F.max(F.when(F.col("rank") > candidates, F.col("near"))).over(W.partitionBy("target", "seed"))
+    far = far.withColumn("bound", bound).where(F.col("rank") <= candidates).join(centres.select("target", "seed", "have").distinct(), ["target", "seed"])
+    far = cut_lineage(far.drop("rank"))  # ids and distances; features are looked up for these rows only
+    narrow = F.broadcast(far) if far.count() <= BROADCAST_CANDIDATES else far
+    rows = pool.select("target", "mol_id", "features").join(narrow, ["target", "mol_id"])
 
+    def extend(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("mol_id")
+        have, bound = int(group["have"].iloc[0]), group["bound"].iloc[0]
+        order = farthest_while(np.stack(group["features"].to_list()), group["near"].to_numpy(copy=True), n_initial - have, -np.inf if pd.isna(bound) else float(bound))
+        return group.iloc[order][["target", "seed", "mol_id", "features"]].assign(rank=np.arange(have + 1, have + 1 + len(order), dtype="int32"))
 
-def farthest_rows(pool: DataFrame, centres: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    """Per (target, seed) the pool row whose nearest centre is farthest away; centres are excluded.
+    return dealt_by(rows, "target", "seed").applyInPandas(extend, "target string, seed int, mol_id bigint, features array<double>, rank int")
 
-    Centres are read on the driver and broadcast, as MLlib does for k-means, in blocks of whole
-    groups that stay below BROADCAST_BYTES whatever the number of groups.
+
+def farthest_rows(pool: DataFrame, centres: DataFrame, seeds: Sequence[int], n: int) -> DataFrame:
+    """target, seed, mol_id, near, rank: per group the ``n`` pool rows whose nearest centre is farthest away, centres excluded.
+
+    A task keeps the n best rows per group it has seen, ids and squared distances only. Centres are read on the driver and
+    broadcast, as MLlib does for k-means, in blocks of whole groups of at most BROADCAST_BYTES, each dropped after its scan.
     """
-    parts = []
-    ordered = centres.orderBy("target", "seed").select("target", "seed", "mol_id", "features")
+    found = None
+    ordered = centres.orderBy("target", "seed", "mol_id").select("target", "seed", "mol_id", "features")
     for block in blocks(ordered.toLocalIterator(), ("target", "seed"), BROADCAST_BYTES):
         groups: dict[str, list] = {}
         for (target, seed), rows in block:
             ids = np.array([r["mol_id"] for r in rows])
             x = np.array([r["features"] for r in rows], dtype=np.float64)
             groups.setdefault(target, []).append((list(seeds).index(seed), seed, ids, x))
-        parts.append(_farthest_block(pool, groups))
-    parts = parts or [_farthest_block(pool, {})]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    # Largest distance, then smallest id.
-    best = F.max_by(F.struct("mol_id", "features"), F.struct("_d", -F.col("mol_id")))
-    return found.groupBy("target", "seed").agg(best.alias("_b")).select("target", "seed", "_b.mol_id", "_b.features")
+        shared = pool.sparkSession.sparkContext.broadcast(groups)
+        part = cut_lineage(_farthest_block(pool, shared, n))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, ["target", "seed"], [F.desc("near"), F.col("mol_id")], n)
 
 
 def feature_bytes(row) -> int:
@@ -229,35 +252,26 @@ def blocks(
         yield block
 
 
-FARTHEST_SCHEMA = "target string, seed int, mol_id bigint, features array<double>, _d double"
-
+FARTHEST_SCHEMA = "target string, seed int, mol_id bigint, near double"
 
-def _farthest_block(pool: DataFrame, groups: dict[str, list]) -> DataFrame:
-    shared = pool.sparkSession.sparkContext.broadcast(groups)
 
+def _farthest_block(pool: DataFrame, shared, n: int) -> DataFrame:
     def scan(batches):
         best: dict[tuple, tuple] = {}
         for batch in batches:
             for target, at, x, ids, mask in target_slices(batch):
                 for seed_no, seed, centre_ids, centre_x in shared.value.get(target, ()):
-                    near = nearest_squared(x, centre_x)
-                    near[mask[:, seed_no] | np.isin(ids, centre_ids)] = -np.inf
-                    top = near.max()
-                    tied = np.flatnonzero(near == top)
-                    pick = tied[np.argmin(ids[tied])]
+                    rows = np.flatnonzero(~mask[:, seed_no] & ~np.isin(ids, centre_ids))
+                    new = (nearest_squared(x[rows], centre_x), ids[rows])
                     old = best.get((target, seed))
-                    if np.isfinite(top) and (old is None or (top, -ids[pick]) > (old[0], -old[1])):
-                        best[target, seed] = (float(top), int(ids[pick]), x[pick].copy())
-        if best:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "target": [t for t, _ in best],
-                    "seed": pa.array([s for _, s in best], pa.int32()),
-                    "mol_id": [i for _, i, _ in best.values()],
-                    "features": [x for _, _, x in best.values()],
-                    "_d": [d for d, _, _ in best.values()],
-                }
-            )
+                    if old is not None:
+                        new = tuple(np.concatenate([a, c]) for a, c in zip(old, new))
+                    order = np.lexsort((new[1], -new[0]))[:n]
+                    best[target, seed] = tuple(part[order] for part in new)
+        for (target, seed), (near, ids) in best.items():
+            if len(ids):
+                yield pa.RecordBatch.from_pydict(
+                    {"target": [target] * len(ids), "seed": pa.array([seed] * len(ids), pa.int32()), "mol_id": ids, "near": near})
 
     return pool.select("target", "mol_id", "features", "test_mask").mapInArrow(scan, FARTHEST_SCHEMA)
 

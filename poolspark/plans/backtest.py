@@ -32,6 +32,7 @@ from poolspark.operators.pool import (
 from poolspark.operators.ranking import auc_by_group, hot_groups, top_k
 from poolspark.operators.select import BATCH_SIZE, SHORTLIST, select_diverse_subset
 from poolspark.session import cut_lineage, shared_table
+from poolspark.sources.tables import spread
 
 N_ROUNDS = 10
 COMMITTEE = "query_by_committee"
@@ -73,6 +74,8 @@ def run_backtest(
     seeds = list(seeds)
     campaigns = campaign_grid(rows, inits, strategies, seeds)
     pool = shared_table(prepare_pool(rows, seeds, test_size, method), "pool")
+    dealt = spread(pool)  # every round scans the pool: a few large files are cut once, not each time
+    pool = pool if dealt is pool else shared_table(dealt, "pool-spread")
     _require_enough(pool, seeds, strategies, n_initial, batch_size, n_rounds)
     campaigns = cut_lineage(campaigns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 
 # A driver-side block (models, centres) is shipped to every executor. Anything that grows with
 # the number of campaigns is split into blocks of at most this many bytes first.
@@ -66,3 +66,11 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def dealt_by(rows: DataFrame, *keys: str) -> GroupedData:
+    """``rows`` grouped by ``keys`` for grouped work that is long however few the rows are.
+
+    Left to itself, adaptive execution puts groups of few bytes together in one task.
+    """
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys)

@@ -133,7 +133,7 @@ def test_committees_equal_members_fitted_and_scored_one_by_one(side_by_side):
         x, y = np.stack(rows.features), rows.label.to_numpy(float)
         _, _, w, b = fit_logistic(x, y, scale=False)
         boosted, start = trees.fit_boosting(x, y, 12, 3, 0.1)
-        forest = [r for r in committees.where((F.col("campaign") == campaign) & (F.col("member") == "forest")).collect()]
+        forest = [committee._trees(r) for r in committees.where((F.col("campaign") == campaign) & (F.col("member") == "forest")).collect()]
         open_rows = data[(data.target == target) & np.array([not m[seed] for m in data.test_mask])]
         for mol_id, v in zip(open_rows.mol_id, open_rows.features):
             v = np.asarray(v)[None, :]

@@ -61,13 +61,15 @@ def test_starting_sets(separable):
             draw(prepared, [0, 1], 96)
 
 
-@pytest.mark.parametrize("limit", [64 * 1024 * 1024, 300])
-def test_diverse_start_equals_brute_force(spark, separable, monkeypatch, limit):
-    """Also with centres split over many small broadcast blocks."""
+@pytest.mark.parametrize("limit, candidates", [(64 * 1024 * 1024, 256), (64 * 1024 * 1024, 20), (300, 3), (64 * 1024 * 1024, 1)])
+@pytest.mark.parametrize("copies", [False, True])
+def test_diverse_start_equals_brute_force(spark, separable, monkeypatch, limit, candidates, copies):
+    """Also with centres split over many small broadcast blocks, few candidates a pass, and many rows alike."""
     monkeypatch.setattr(pl, "BROADCAST_BYTES", limit)
-    n = 20 if limit > 1000 else 6
-    prepared = pl.prepare_pool(separable, [0, 1]).repartition(5).cache()
-    found = pl.init_diverse(prepared, [0, 1], n).collect()
+    n = 20 if candidates >= 20 else 5
+    rows = separable.withColumn("features", F.transform("features", lambda v: F.round(v / 2))) if copies else separable
+    prepared = pl.prepare_pool(rows, [0, 1]).repartition(5).cache()
+    found = pl.init_diverse(prepared, [0, 1], n, candidates=candidates).collect()
     data = prepared.toPandas()
     for target in "AB":
         for seed in (0, 1):
@@ -78,6 +80,19 @@ def test_diverse_start_equals_brute_force(spark, separable, monkeypatch, limit):
             assert got == [int(i) for i in ids[order]]
 
 
+def test_passes_over_rows_that_are_all_alike(spark, separable, monkeypatch):
+    passes = []
+    plain = pl.more_centres
+    monkeypatch.setattr(pl, "more_centres", lambda *a: passes.append(1) or plain(*a))
+    alike = separable.withColumn("features", F.array(F.lit(1.0), F.lit(2.0)))
+    found = pl.init_diverse(pl.prepare_pool(alike, [0]).cache(), [0], 12, candidates=16)
+    ids = sorted((r.target, r["rank"], r.mol_id) for r in found.collect())
+    assert len(ids) == 24 and len(passes) == 1
+    for target in "AB":
+        later = [m for t, rank, m in ids if t == target and rank > 1]
+        assert later == sorted(later)
+
+
 def test_farthest_points_on_a_line():
     x = np.array([[0.0], [1.0], [2.0], [3.0], [4.0], [10.0]])
     assert farthest_point_order(np.arange(6), x, 0, 4) == [0, 5, 4, 2]
