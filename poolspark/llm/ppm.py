@@ -36,7 +36,7 @@ BITS = 9
 BOUNDARY = 256
 SYMBOLS = 257
 #: Rows of each kind that are broadcast at most, 16 bytes each.
-HOT = 1 << 22
+HOT = 1 << 20
 #: Distinct keys that a task holds before it hands their counts on.
 HELD = 1 << 21
 
@@ -200,7 +200,7 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-_REST = pa.list_(pa.struct([("kind", pa.int8()), ("key", pa.int64()), ("times", pa.int64())]))
+_REST = "array<struct<key:bigint,times:bigint>>"
 
 
 def score(docs: DataFrame, train: Column, order: int = ORDER, hot: int = HOT) -> DataFrame:
@@ -228,52 +228,49 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, hot: int = HOT) ->
                 rows = len(offset) - 1
                 keys, first = edges(data, offset, order)
                 value, found = _look_up(keys, hot_edges)
-                rest = _left_over(EDGE, keys, first, found)
+                rest_edges = _left_over(keys, first, found)
                 total_value = _sums(value, first)
                 keys, first = word_keys(data, offset)
                 # ends are words as well, after the last word of each text
                 keys = np.insert(keys, first[1:], END_WORD)
                 first = first + np.arange(rows + 1)
                 n, found = _look_up(keys, hot_words)
-                for mine, more in zip(rest, _left_over(WORD, keys, first, found)):
-                    mine.extend(more)
                 base_value = _sums(np.where(found, np.log10((n + 1) / base), 0.0), first)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(begin, rows), pa.array(np.diff(first), pa.int64()), pa.array(_sums((found & (n > 0)).astype(np.int64), first)),
-                     pa.array(base_value), pa.array(total_value), pa.array(rest, _REST)],
-                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest"])
+                     pa.array(base_value), pa.array(total_value), rest_edges, _left_over(keys, first, found)],
+                    ["doc_id", "n_tokens", "n_known", "base_score", "score", "rest_edges", "rest_words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     first = docs.select("text", "doc_id").mapInArrow(
-        work, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rest array<struct<kind:tinyint,key:bigint,times:bigint>>")
-    values = prices.select(F.lit(EDGE).cast("tinyint").alias("kind"), "key", "value").unionByName(known.select(F.lit(WORD).cast("tinyint").alias("kind"), "key", "value"))
+        work, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double, rest_edges {_REST}, rest_words {_REST}")
     if max(r["rows"] for r in sizes.values()) > hot:
-        first = _with_rest(first, values, base)
+        first = _with_rest(first, prices, known, base)
     return first.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _left_over(kind: int, keys: np.ndarray, first: np.ndarray, found: np.ndarray) -> list[list[dict]]:
+def _left_over(keys: np.ndarray, first: np.ndarray, found: np.ndarray) -> pa.Array:
     """The keys of each text that are not among the hot ones, and how often each occurs in it."""
-    out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
     at = np.flatnonzero(~found)
-    if len(at):
-        row = np.searchsorted(first, at, "right") - 1
-        cuts = np.flatnonzero(np.diff(row)) + 1
-        for part, r in zip(np.split(keys[at], cuts), row[np.concatenate([[0], cuts])]):
-            distinct, n = np.unique(part, return_counts=True)
-            out[r] = [{"kind": kind, "key": k, "times": t} for k, t in zip(distinct.tolist(), n.tolist())]
-    return out
-
-
-def _with_rest(first: DataFrame, values: DataFrame, base: int) -> DataFrame:
-    """Adds what the keys left over cost: joined with the whole table by a shuffle, and summed for each row."""
+    row, key = np.searchsorted(first, at, "right") - 1, keys[at]
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begin, len(key)))
+    offsets = np.searchsorted(row[begin], np.arange(len(first)))
+    entries = pa.StructArray.from_arrays([pa.array(key[begin], pa.int64()), pa.array(times, pa.int64())], ["key", "times"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)
+
+
+def _with_rest(first: DataFrame, prices: DataFrame, known: DataFrame, base: int) -> DataFrame:
+    """Adds what the keys left over cost: joined with the whole tables by a shuffle, and summed for each row."""
     part = shared_table(first.withColumn("_row", F.monotonically_increasing_id()), "ppm-parts")
-    asked = part.select("_row", F.inline("rest"))
-    word = F.col("kind") == WORD
-    priced = asked.join(values, ["kind", "key"]).groupBy("_row").agg(
-        F.sum(F.when(word, F.log10((F.col("value") + 1) / F.lit(base)) * F.col("times")).otherwise(0.0)).alias("more_base"),
-        F.sum(F.when(word, 0.0).otherwise(F.col("value") * F.col("times"))).alias("more"),
-        F.sum(F.when(word & (F.col("value") > 0), F.col("times")).otherwise(0)).alias("more_known"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return part.join(priced, "_row", "left").withColumns({
-        "base_score": F.col("base_score") + zero("more_base"), "score": F.col("score") + zero("more"), "n_known": F.col("n_known") + zero("more_known")})
+    edge = part.select("_row", F.inline("rest_edges")).join(prices, "key").select(
+        "_row", (F.col("value") * F.col("times")).alias("more"), F.lit(0.0).alias("more_base"), F.lit(0).cast("long").alias("more_known"))
+    word = part.select("_row", F.inline("rest_words")).join(known, "key").select(
+        "_row", F.lit(0.0).alias("more"), (F.log10((F.col("value") + 1) / F.lit(base)) * F.col("times")).alias("more_base"),
+        F.when(F.col("value") > 0, F.col("times")).otherwise(0).alias("more_known"))
+    more = edge.unionByName(word).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("more", "more_base", "more_known")])
+    plus = lambda c, m: F.col(c) + F.coalesce(F.col(m), F.lit(0))
+    return part.join(more, "_row", "left").withColumns(
+        {"base_score": plus("base_score", "more_base"), "score": plus("score", "more"), "n_known": plus("n_known", "more_known")})
