@@ -1,13 +1,14 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels of documents give labels of words: in documents labelled toxic, words found far more often there than in
-clean ones are toxic, all other words are not. The field has a weight for each of the most telling words, for words in capitals, a
-bias and three transition weights; it is fitted by gradient steps on a bounded sample. Over every whole text
+clean ones, or whose first bytes are, are toxic; all other words are not. The field has a weight for each of the most telling words
+and beginnings of words (of PREFIXES bytes, so that one root with many endings is learned from few texts), for words in capitals, a
+bias and three transition weights; it is fitted in one task, by gradient steps on a bounded sample. Over every whole text
 forward-backward gives each word's probability of being toxic; its expected number and maximum make the document's score by a
 logistic fit, and runs of likely words are the offending spans.
 
 The sample: up to ``per_class`` labelled documents of each class, those with the smallest hash of doc_id, with texts of at most
-``max_chars`` characters. Nothing else is bounded. Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased A-Z.
+``max_chars`` characters, one text for each doc_id. Nothing else is bounded. Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased A-Z.
 
 Cases: null and empty texts get the score of a text without toxic words; a doc_id with several labels counts
 as toxic if one says so; null labels and ids are ignored; without labels of both classes every score is the share of toxic labels,
@@ -24,32 +25,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import ALNUM, Words, hashes, pieces, words
+from .words import ALNUM, Words, hashes, mix, pieces, words
 
-PER_CLASS = 1000
-MAX_CHARS = 10_000
+PER_CLASS = 2000
+MAX_CHARS = 20_000
+PREFIXES = (4, 5, 7)
 VOCABULARY = 20_000
 BATCH = 32  # texts of like length whose chains are run side by side
 
 
 class Model(NamedTuple):
     known: np.ndarray  # sorted word hashes
-    weight: np.ndarray  # of each; the last entry is that of all other words
+    weight: np.ndarray  # of each; the last entry is that of all others, 0
+    bias: float
     capitals: float
     move: tuple[float, float, float, float]  # 0-0, 0-1, 1-0, 1-1, as factors
     score: np.ndarray  # logistic weights: bias, log of expected number, maximum
     prior: float
 
 
-def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and whether it is in capitals."""
+def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the distinct words of a piece, as hashes: the word and its beginnings, 0 where it is shorter; which distinct word
+    each word is; whether it is in capitals."""
     upper = np.concatenate([[0], np.cumsum((w.data >= 65) & (w.data <= 90))])
     size = w.end - w.start
-    return hashes(w), (upper[w.end] - upper[w.start] == size) & (size > 2)
+    capitals = (upper[w.end] - upper[w.start] == size) & (size > 2)
+    distinct, first, which = np.unique(hashes(w), return_index=True, return_inverse=True)
+    start, end = w.start[first], w.end[first]
+    cuts = hashes(w, np.tile(start, len(PREFIXES)), np.concatenate([np.minimum(end, start + k) for k in PREFIXES])).reshape(len(PREFIXES), -1)
+    begins = [np.where(end - start >= k, mix(h ^ np.uint64(k)), np.uint64(0)) for k, h in zip(PREFIXES, cuts)]
+    return np.stack([distinct, *begins], axis=1), which, capitals
 
 
 def _ids(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of each word in ``known``; len(known) for all others."""
+    """Place of each feature in ``known``; len(known) for all others."""
     at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
     return np.where(known[at] == h, at, len(known)) if len(known) else np.zeros(len(h), np.int64)
 
@@ -103,46 +112,47 @@ def training_rows(labels: DataFrame, holdout_mod: int = 3, holdout: int = 1) ->
     return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
 
 
-def sample(docs: DataFrame, rows: DataFrame, per_class: int, max_chars: int) -> tuple[list[str], np.ndarray, int, int]:
-    """Texts and labels of the sample, and how many clean and toxic labels there are in all."""
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, rows: DataFrame, per_class: int, max_chars: int) -> DataFrame:
+    """(doc_id, text, toxic): at most 2 * per_class rows, however often a doc_id repeats."""
     picked = None
     for label in (0, 1):
         part = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
-    texts = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
-    got = texts.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").collect()  # at most 2 * per_class labels by construction
-    return [r.text for r in got], np.array([r.toxic for r in got], np.int64), counts.get(0, 0), counts.get(1, 0)
+    texts = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabulary: int = VOCABULARY, steps: int = 40) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, clean_n: int, toxic_n: int, vocabulary: int = VOCABULARY, steps: int = 40) -> Model:
     prior = (toxic_n + 1) / (clean_n + toxic_n + 2)
-    empty = Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, (1.0, 1.0, 1.0, 1.0), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]), prior)
+    empty = Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, 0.0, (1.0, 1.0, 1.0, 1.0), np.array([np.log(prior / (1 - prior)), 0.0, 0.0]), prior)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return empty
     parts = []  # piece by piece, so that only words are held, not arrays over all bytes
-    for begin, data, offset in pieces(pa.array(texts, pa.string())):
+    for begin, data, offset in pieces(texts):
         w = words(data, offset, ALNUM)
-        parts.append((*_tokens(w), w.row + begin, np.diff(w.first)))
+        found, which, capitals = _tokens(w)
+        parts.append((found[which], capitals, w.row + begin, np.diff(w.first)))
     h, capitals, row, n = (np.concatenate(x) for x in zip(*parts))
     first = np.concatenate([[0], np.cumsum(n)])
     if not len(h):
         return empty
     distinct, ids = np.unique(h, return_inverse=True)
-    pairs = np.unique(row.astype(np.int64) * len(distinct) + ids)
+    ids = ids.reshape(h.shape)
+    pairs = np.unique(row.astype(np.int64)[:, None] * len(distinct) + ids)
     in_toxic = np.bincount(pairs[toxic[pairs // len(distinct)] == 1] % len(distinct), minlength=len(distinct))
     in_clean = np.bincount(pairs[toxic[pairs // len(distinct)] == 0] % len(distinct), minlength=len(distinct))
     nt, nc = (toxic == 1).sum(), (toxic == 0).sum()
     gain = np.log((in_toxic + 0.5) / (nt - in_toxic + 0.5)) - np.log((in_clean + 0.5) / (nc - in_clean + 0.5))
     sure = gain / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_clean + 0.5))
-    telling = (gain >= 3.0) & (sure >= 3.2) & (in_toxic >= 3)
-    # the weights kept: the words with the surest gain either way
+    telling = (gain >= 3.0) & (sure >= 3.2) & (in_toxic >= 3) & (distinct > 0)
+    # the weights kept: the features with the surest gain either way
     keep = np.sort(np.argsort(-np.abs(sure), kind="stable")[:vocabulary])
     known = distinct[keep]
-    place = np.full(len(distinct) + 1, len(known))
+    place = np.full(len(distinct), len(known))
     place[keep] = np.arange(len(known))
-    ids = _ids(h, known)
-    target = (telling[np.searchsorted(distinct, known)][np.minimum(ids, len(known) - 1)] & (ids < len(known)) & (toxic[row] == 1)).astype(float)
+    target = (telling[ids].any(axis=1) & (toxic[row] == 1)).astype(float)
+    del h, pairs
+    ids = place[ids].astype(np.int32)
 
     v_n = len(known)
     bias, cap, move = v_n, v_n + 1, slice(v_n + 2, v_n + 6)
@@ -155,13 +165,13 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
     seen = np.bincount((2 * target[now - 1] + target[now]).astype(int), minlength=4)
     scale = max(1.0, target.sum())
     for step in range(1, steps + 1):
-        own = np.append(theta[:v_n], 0.0) + theta[bias]
-        odds = np.exp(np.clip(own[ids] + theta[cap] * capitals, -25, 25))
+        own = np.append(theta[:v_n], 0.0)
+        odds = np.exp(np.clip(own[ids].sum(axis=1) + theta[bias] + theta[cap] * capitals, -25, 25))
         factors = np.exp(theta[move])
         f, b, p = chain(odds, first, tuple(factors), 256)
         miss = target - p
         grad = np.zeros_like(theta)
-        grad[:v_n] = np.bincount(ids, weights=miss, minlength=v_n + 1)[:v_n]
+        grad[:v_n] = sum(np.bincount(column, weights=miss, minlength=v_n + 1) for column in ids.T)[:v_n]
         grad[bias], grad[cap] = miss.sum(), (miss * capitals).sum()
         left, right = f[now - 1], odds[now] * b[now]
         joint = np.stack([np.full(len(now), factors[0]), factors[1] * right, factors[2] * left, factors[3] * left * right])
@@ -170,31 +180,70 @@ def fit(texts: list[str], toxic: np.ndarray, clean_n: int, toxic_n: int, vocabul
         grad = grad / scale - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weight = np.append(theta[:v_n], 0.0) + theta[bias]
-    model = empty._replace(known=known, weight=weight, capitals=float(theta[cap]), move=tuple(np.exp(theta[move]).tolist()))
-    x = _features(_marginals(h, capitals, first, model), first)
+    model = empty._replace(known=known, weight=np.append(theta[:v_n], 0.0), bias=float(theta[bias]), capitals=float(theta[cap]), move=tuple(np.exp(theta[move]).tolist()))
+    own = model.weight[ids].sum(axis=1) + model.bias + model.capitals * capitals
+    x = _features(chain(np.exp(np.clip(own, -25, 25)), first, model.move)[2], first)
     return model._replace(score=_logistic(x, toxic, np.where(toxic == 1, toxic_n / nt, clean_n / nc)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic fit by Newton steps with a small ridge; all but the bias are kept from going below zero."""
+    """Weighted logistic fit by damped Newton steps with a small ridge; all but the bias are kept from going below zero."""
     beta = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(30):
+    ridge = np.diag([1e-3, 1e-1, 1e-1])
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float(weight @ (np.logaddexp(0.0, z) - y * z) + beta @ ridge @ beta / 2)
+
+    now = loss(beta)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (y - p)) - ridge @ beta
-        beta = beta + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(beta)), grad)
-        beta[1:] = np.maximum(beta[1:], 0)
+        # a weight held at zero that would go below stays out of the step
+        free = ~((beta <= 0) & (grad < 0))
+        free[0] = True
+        curve = (x.T * (weight * p * (1 - p))) @ x + ridge
+        step = np.zeros(len(beta))
+        step[free] = np.linalg.solve(curve[np.ix_(free, free)], grad[free])
+        size = 1.0
+        while size > 1e-6:
+            trial = beta + size * step
+            trial[1:] = np.maximum(trial[1:], 0)
+            if loss(trial) <= now:
+                break
+            size /= 2
+        else:
+            break
+        if np.abs(trial - beta).max() < 1e-9:
+            break
+        beta, now = trial, loss(trial)
     return beta
 
 
-def _marginals(h: np.ndarray, capitals: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
-    own = model.weight[_ids(h, model.known)] + model.capitals * capitals
-    return chain(np.exp(np.clip(own, -25, 25)), first, model.move)[2]
+def _marginals(w: Words, model: Model) -> np.ndarray:
+    found, which, capitals = _tokens(w)
+    own = model.weight[_ids(found, model.known)].sum(axis=1)[which] + model.bias + model.capitals * capitals
+    return chain(np.exp(np.clip(own, -25, 25)), w.first, model.move)[2]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return fit(*sample(docs, training_rows(labels), per_class, max_chars))
+    """The field, fitted in a task on the sample; only its weights come to the driver."""
+    rows = training_rows(labels)
+    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("toxic", pa.int32())]))
+        model = fit(got.column("text"), got.column("toxic").to_numpy().astype(np.int64), counts.get(0, 0), counts.get(1, 0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.known.view(np.int64)], pa.list_(pa.int64())), pa.array([model.weight]), pa.array([model.bias]), pa.array([model.capitals]), pa.array([list(model.move)]),
+             pa.array([model.score]), pa.array([model.prior])], list(Model._fields))
+
+    one = sample(docs, rows, per_class, max_chars).repartition(1).sortWithinPartitions("doc_id", "text").select("text", "toxic")
+    kinds = "known array<bigint>, weight array<double>, bias double, capitals double, move array<double>, score array<double>, prior double"
+    r = one.mapInArrow(work, kinds).first()
+    if r is None:  # no partition at all
+        return fit(pa.array([], pa.string()), np.zeros(0, np.int64), counts.get(0, 0), counts.get(1, 0))
+    return Model(np.array(r.known, np.int64).view(np.uint64), np.array(r.weight), r.bias, r.capitals, tuple(r.move), np.array(r.score), r.prior)
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -211,8 +260,8 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for batch in batches:
             for begin, data, offset in pieces(batch.column(2)):
                 w = words(data, offset, ALNUM)
-                p = _marginals(*_tokens(w), w.first, model) if len(model.known) else np.zeros(len(w.start))
-                value = 1 / (1 + np.exp(-(_features(p, w.first) @ model.score)))
+                p = _marginals(w, model) if len(model.known) and len(w.start) else np.zeros(len(w.start))
+                value = 1 / (1 + np.exp(-np.clip(_features(p, w.first) @ model.score, -500, 500)))
                 n = w.rows
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), pa.array(value), pa.array(_spans(w, p, least), kind)],
                                                  ["doc_id", "body", "score", "spans"])
