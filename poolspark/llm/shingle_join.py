@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .joins import join_narrow, shared_table
+from .joins import Scratch, join_narrow, shared_table
 from .words import SPACED, hashes, mix, pieces, windows, words
 
 BITMAP = 512
@@ -89,16 +89,13 @@ def _name(u: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signatures(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) -> DataFrame:
-    """(doc_id, body, n, h1, h2, bitmap, tiles): a row for each row of ``docs``; a class repeated in a task has null tiles."""
-    table = bands(num, den)
-    lows = [b[0] for b in table]
+def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
+    """(doc_id, body, n, h1, h2, bitmap): a row for each row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
             for begin, data, offset in pieces(batch.column(2)):
-                n, h1, h2, bits, tiles = [], [], [], [], []
+                n, h1, h2, bits = [], [], [], []
                 for u in _sets(data, offset, size):
                     a, b = _name(u)
                     n.append(len(u))
@@ -106,15 +103,40 @@ def signatures(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) ->
                     h2.append(b)
                     odd = np.bincount((u & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
                     bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                    fresh = (a, b) not in seen and len(u)
-                    seen.add((a, b))
-                    tiles.append(tiles_of(u, num, den, table, lows).view(np.int64) if fresh else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(n)), batch.column(1).slice(begin, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                     pa.array(bits, pa.list_(pa.int64())), pa.array(tiles, pa.list_(pa.int64()))], ["doc_id", "body", "n", "h1", "h2", "bitmap", "tiles"])
+                     pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "body", "n", "h1", "h2", "bitmap"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(work, f"doc_id {ids}, body bigint, n bigint, h1 bigint, h2 bigint, bitmap array<bigint>, tiles array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(work, f"doc_id {ids}, body bigint, n bigint, h1 bigint, h2 bigint, bitmap array<bigint>")
+
+
+def tile_rows(docs: DataFrame, num: int = 85, den: int = 100, size: int = 4) -> DataFrame:
+    """(n, h1, tile): the tiles of every class, once for each task that meets it. They go straight into a shuffle and are not stored:
+    to find the sets a second time costs less than to write the keys, most of which meet nobody."""
+    table = bands(num, den)
+    lows = [b[0] for b in table]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for _, data, offset in pieces(batch.column(0)):
+                n, h1, tiles = [], [], []
+                for u in _sets(data, offset, size):
+                    if not len(u):
+                        continue
+                    name = _name(u)
+                    if name not in seen:
+                        seen.add(name)
+                        tiles.append(tiles_of(u, num, den, table, lows))
+                        n.append(len(u))
+                        h1.append(name[0])
+                if n:
+                    times = [len(t) for t in tiles]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(np.array(n, np.int64), times)), pa.array(np.repeat(np.array(h1, np.int64), times)), pa.array(np.concatenate(tiles).view(np.int64))], ["n", "h1", "tile"])
+
+    return docs.select("text").mapInArrow(work, "n bigint, h1 bigint, tile bigint")
 
 
 def set_arrays(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -166,7 +188,7 @@ def decide(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
     return one.join(two, ["a", "b"]).where(linked("sa", "sb")).select("a", "b").distinct()
 
 
-def mixed_tiles(tiles: DataFrame, place: DataFrame) -> DataFrame:
+def mixed_tiles(tiles: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
     """(tile, cid, component, n, bitmap, blocks), written: the tiles (tile, h1) that hold classes of several components.
 
     ``place`` has (h1, cid, n, bitmap, component). Of tiles with the same classes one is kept.
@@ -175,9 +197,11 @@ def mixed_tiles(tiles: DataFrame, place: DataFrame) -> DataFrame:
     mixed = spread.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
                                        F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("first")).where("lo <> hi")
     mixed = mixed.groupBy("size", "sum", "first").agg(F.min("tile").alias("tile"))
-    mixed = shared_table(mixed.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-tiles")
+    mixed = scratch.table(mixed.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-tiles")
     rows = join_narrow(spread, mixed, ["tile"], F.col("cid"))
-    return shared_table(join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile")), "mixed-rows")
+    out = scratch.table(join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile")), "mixed-rows")
+    scratch.drop(mixed)
+    return out
 
 
 def strangers_beside(mixed: DataFrame, num: int, den: int, step: int) -> DataFrame:
@@ -218,56 +242,71 @@ def placed(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
 
     ``body`` is xxhash64 of the text. First by doc_id, null last, then body. Rows with an empty set have null there.
     """
-    rows = shared_table(signatures(docs, num, den, size), "shingle-signatures")
+    scratch = Scratch(docs.sparkSession, "shingles")
+    rows = scratch.table(signatures(docs, size), "signatures")
     named = rows.select("doc_id", "body", "n", "h1", "h2")
     head = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(head).alias("head"), F.max("bitmap").alias("bitmap"))
     # numbers of classes are fixed by writing them; results do not depend on which they are
-    classes = shared_table(classes.select("h1", "h2", "n", "head.doc_id", "head.body", "bitmap", F.monotonically_increasing_id().alias("cid")), "shingle-classes")
+    classes = scratch.table(classes.select("h1", "h2", "n", "head.doc_id", "head.body", "bitmap", F.monotonically_increasing_id().alias("cid")), "classes")
 
     # neighbours in tiles: one sort, read in a stream however large a tile is
-    members = rows.where("tiles is not null").select("n", "h1", F.explode("tiles").alias("tile"))
+    members = tile_rows(docs, num, den, size)
     order = Window.partitionBy("tile").orderBy("n", "h1")
     members = members.select("tile", "h1", F.lag("h1").over(order).alias("before"), F.lead("h1").over(order).alias("after"))
     members = members.where("before <> h1 or after <> h1")  # a class met only by its own copies needs no mate
-    tiles = shared_table(members.select("tile", "h1", "before"), "shingle-tiles")
-    met = shared_table(tiles.select("h1").distinct().join(classes, "h1"), "shingle-met")
+    tiles = scratch.table(members.select("tile", "h1", "before"), "tiles")
+    del members
+    met = scratch.table(tiles.select("h1").distinct().join(classes, "h1"), "met")
+    scratch.collect()  # the shuffle of all tile keys
 
     next_to = tiles.where("before is not null and before <> h1").groupBy("before", "h1").agg(F.count("*").alias("shared"))
     one = met.select(F.col("h1").alias("before"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ba"))
     two = met.select("h1", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("bb"))
     pairs = next_to.join(one, "before").join(two, "h1").where(may_link(num, den)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    pairs = shared_table(pairs.withColumn("rank", F.row_number().over(best)), "shingle-pairs")
-    pairs = pairs.where("rank = 1").select("a", "b").distinct()
+    pairs = scratch.table(pairs.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("a", "b").distinct(), "pairs")
+    every = scratch.table(tiles.select("tile", "h1").distinct(), "members")
+    scratch.drop(tiles)
 
     # first the most promising neighbour of each class; then neighbours of different components, while that joins
     # components; last every pair of tile mates that are still apart
-    links, every = shared_table(decide(pairs, _arrays(docs, pairs, met, size), num, den), "shingle-links"), tiles.select("tile", "h1").distinct()
+    links = _decided(docs, pairs, met, scratch, num, den, size)
     for step in range(ROUNDS + 1):
-        mixed = mixed_tiles(every, _place(met, links))
+        place = _place(met, links, scratch)
+        mixed = mixed_tiles(every, place, scratch)
         found = strangers_beside(mixed, num, den, step) if step < ROUNDS else tile_mates(mixed, num, den)
-        fresh = shared_table(found.join(pairs, ["a", "b"], "left_anti"), "shingle-fresh")
-        new = shared_table(decide(fresh, _arrays(docs, fresh, met, size), num, den), "shingle-links")
-        links, pairs = shared_table(links.union(new), "shingle-links"), shared_table(pairs.union(fresh), "shingle-decided")
+        fresh = scratch.table(found.join(pairs, ["a", "b"], "left_anti"), "fresh")
+        scratch.drop(mixed, place)
+        new = _decided(docs, fresh, met, scratch, num, den, size)
+        old, links, pairs = (links, new, pairs, fresh), scratch.table(links.union(new), "links"), scratch.table(pairs.union(fresh), "pairs")
+        scratch.drop(*old)
+        del old, new, fresh, found, mixed, place
+        scratch.collect()
+    scratch.drop(pairs, every, met)
 
     place = components(links).select(F.col("node").alias("cid"), "component")
     whole = classes.select("h1", "h2", "cid", "doc_id", "body").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min(head).alias("first"))
     least = least.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.body").alias("first_body"))
-    ids = shared_table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "first_id", "first_body"), "shingle-ids")
+    ids = scratch.table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "first_id", "first_body"), "ids")
+    scratch.drop(links, classes)
     return join_narrow(named, ids, ["h1", "h2"], F.col("doc_id"), "left").select("doc_id", "body", "n", "first_id", "first_body")
 
 
-def _arrays(docs: DataFrame, pairs: DataFrame, met: DataFrame, size: int) -> DataFrame:
+def _decided(docs: DataFrame, pairs: DataFrame, met: DataFrame, scratch: Scratch, num: int, den: int, size: int) -> DataFrame:
+    """The pairs that link; only the sets of their classes are made again and moved."""
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = shared_table(met.select("cid", "doc_id", "body").join(ends, "cid", "left_semi"), "shingle-wanted")
-    return shared_table(set_arrays(docs, wanted, size), "shingle-arrays")
+    wanted = scratch.table(met.select("cid", "doc_id", "body").join(ends, "cid", "left_semi"), "wanted")
+    arrays = scratch.table(set_arrays(docs, wanted, size), "arrays")
+    out = scratch.table(decide(pairs, arrays, num, den), "links")
+    scratch.drop(wanted, arrays)
+    return out
 
 
-def _place(met: DataFrame, links: DataFrame) -> DataFrame:
+def _place(met: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     comps = components(links).select(F.col("node").alias("cid"), F.col("component"))
-    return shared_table(met.join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "shingle-place")
+    return scratch.table(met.join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "place")
 
 
 def keep_one(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5) -> DataFrame:
