@@ -9,8 +9,9 @@ A document's set holds its distinct word shingles. Two documents link when
   cut into K > d segments, at least K - d segments hold the same elements in both. A tile is (band, segment, content of the segment):
   linked sets meet in K - d tiles at least. Sets with K - d or more empty segments, rare by choice of K, meet in a tile
   of their band as well.
-* Tile mates are bounded by 512-bit parity bitmaps of the sets: the bits in which they differ are no more than the elements in
-  which the sets differ, which bounds the overlap from above. Pairs that pass are decided by intersecting the sorted arrays.
+* Tile mates are bounded by parity bitmaps of the sets, of a bit for each element or more: the bits in which they differ are no more
+  than the elements in which the sets differ, which bounds the overlap from above. A wider bitmap is folded to the width of the other
+  one, which gives the parity bitmap of that width. Pairs that pass are decided by intersecting the sorted arrays.
 * First neighbours in tiles are decided, the most promising one of each class, then, twice, neighbours of different components;
   last every pair of a tile whose classes still are in different components. Tiles are cut into blocks, so no task holds
   a whole tile, and pairs inside a component are never formed. The components are those of all links.
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .joins import Scratch, join_narrow, shared_table
+from .joins import BROADCAST_ROWS, Scratch, join_narrow, shared_table
 from .words import SPACED, hashes, mix, pieces, windows, words
 
-BITMAP = 512
+BITMAP = 512  # bits of the narrowest bitmap; a power of two
+WIDEST = 1 << 16  # beyond that many elements bitmaps stay as wide, and bound less
+BITMAP_BYTES = 32 << 20  # bitmaps of at most this size in all are broadcast
 BLOCK = 256  # classes of a tile in one block
 GROWTH = 1.5  # upper to lower size of a band
 ROUNDS = 2  # times that neighbours of different components are decided before all tile mates are
@@ -89,6 +92,15 @@ def _name(u: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def _bitmap(u: np.ndarray) -> np.ndarray:
+    """Parities of the elements by their low bits, 64 to a number."""
+    width = BITMAP
+    while width < min(len(u), WIDEST):
+        width *= 2
+    odd = np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
     """(doc_id, body, n, h1, h2, bitmap): a row for each row of ``docs``."""
 
@@ -101,8 +113,7 @@ def signatures(docs: DataFrame, size: int = 4) -> DataFrame:
                     n.append(len(u))
                     h1.append(a)
                     h2.append(b)
-                    odd = np.bincount((u & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    bits.append(_bitmap(u))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, len(n)), batch.column(1).slice(begin, len(n)), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
                      pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "body", "n", "h1", "h2", "bitmap"])
@@ -158,9 +169,18 @@ def set_arrays(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.select("cid", "text").mapInArrow(work, "cid bigint, shingles array<bigint>")
 
 
+def _folded(bits: str, other: str) -> Column:
+    """The bitmap ``bits`` folded to the width of ``other`` where that is narrower."""
+    wide, width = F.col(bits), F.size(other)
+    parts = F.sequence(F.lit(1), (F.size(wide) / width).cast("int") - 1)
+    folded = F.aggregate(parts, F.slice(wide, F.lit(1), width),
+                         lambda done, i: F.zip_with(done, F.slice(wide, i * width + 1, width), lambda x, y: x.bitwiseXOR(y)))
+    return F.when(F.size(wide) > width, folded).otherwise(wide)
+
+
 def may_link(num: int, den: int) -> Column:
     """Whether sizes ``na``, ``nb`` and the bitmaps allow a link: the overlap is at most (na + nb - differing bits) / 2."""
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    differ = F.aggregate(F.zip_with(_folded("ba", "bb"), _folded("bb", "ba"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
     return fits & ((F.col("na") + F.col("nb") - differ) * (den + num) >= (F.col("na") + F.col("nb")) * (2 * num))
 
@@ -180,12 +200,11 @@ def decide(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFrame
             out.append(den * common >= num * (len(x) + len(y) - common))
         return pd.Series(out, dtype=bool)
 
-    # only the arrays of the pairs move, both to the task of the pair
-    one, two = (
-        join_narrow(arrays, pairs.select(F.col(end).alias("cid"), "a", "b"), ["cid"], F.col("cid")).select("a", "b", F.col("shingles").alias(name))
-        for end, name in (("a", "sa"), ("b", "sb"))
-    )
-    return one.join(two, ["a", "b"]).where(linked("sa", "sb")).select("a", "b").distinct()
+    # the array of b moves to a once for each pair, that of a once for all its pairs; a hot a is dealt over salts
+    moved = join_narrow(arrays, pairs.select(F.col("b").alias("cid"), "a"), ["cid"], F.col("cid"))
+    moved = moved.select("a", F.col("cid").alias("b"), F.col("shingles").alias("sb"))
+    both = join_narrow(moved, arrays.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), ["a"], F.col("b"), rows=0)
+    return both.where(linked("sa", "sb")).select("a", "b").distinct()
 
 
 def mixed_tiles(tiles: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
@@ -199,7 +218,9 @@ def mixed_tiles(tiles: DataFrame, place: DataFrame, scratch: Scratch) -> DataFra
     mixed = mixed.groupBy("size", "sum", "first").agg(F.min("tile").alias("tile"))
     mixed = scratch.table(mixed.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed-tiles")
     rows = join_narrow(spread, mixed, ["tile"], F.col("cid"))
-    out = scratch.table(join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile")), "mixed-rows")
+    bits = place.agg(F.coalesce(F.sum(F.size("bitmap").cast("long") * 8), F.lit(0))).first()[0]
+    few = BROADCAST_ROWS if bits <= BITMAP_BYTES else 0
+    out = scratch.table(join_narrow(rows, place.select("cid", "n", "bitmap"), ["cid"], F.col("tile"), rows=few), "mixed-rows")
     scratch.drop(mixed)
     return out
 
@@ -271,26 +292,25 @@ def placed(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
 
     # first the most promising neighbour of each class; then neighbours of different components, while that joins
     # components; last every pair of tile mates that are still apart
-    links = _decided(docs, pairs, met, scratch, num, den, size)
+    place = scratch.table(met.withColumn("component", F.col("cid")), "place")
+    place = _place(place, _decided(docs, pairs, met, scratch, num, den, size), scratch)
     for step in range(ROUNDS + 1):
-        place = _place(met, links, scratch)
         mixed = mixed_tiles(every, place, scratch)
         found = strangers_beside(mixed, num, den, step) if step < ROUNDS else tile_mates(mixed, num, den)
         fresh = scratch.table(found.join(pairs, ["a", "b"], "left_anti"), "fresh")
-        scratch.drop(mixed, place)
-        new = _decided(docs, fresh, met, scratch, num, den, size)
-        old, links, pairs = (links, new, pairs, fresh), scratch.table(links.union(new), "links"), scratch.table(pairs.union(fresh), "pairs")
+        scratch.drop(mixed)
+        place = _place(place, _decided(docs, fresh, met, scratch, num, den, size), scratch)
+        old, pairs = (pairs, fresh), scratch.table(pairs.union(fresh), "pairs")
         scratch.drop(*old)
-        del old, new, fresh, found, mixed, place
+        del old, fresh, found, mixed
         scratch.collect()
     scratch.drop(pairs, every, met)
 
-    place = components(links).select(F.col("node").alias("cid"), "component")
-    whole = classes.select("h1", "h2", "cid", "doc_id", "body").join(place, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    whole = classes.select("h1", "h2", "cid", "doc_id", "body").join(place.select("cid", "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = whole.groupBy("component").agg(F.min(head).alias("first"))
     least = least.select("component", F.col("first.doc_id").alias("first_id"), F.col("first.body").alias("first_body"))
     ids = scratch.table(whole.select("h1", "h2", "component").join(least, "component").select("h1", "h2", "first_id", "first_body"), "ids")
-    scratch.drop(links, classes)
+    scratch.drop(place, classes)
     return join_narrow(named, ids, ["h1", "h2"], F.col("doc_id"), "left").select("doc_id", "body", "n", "first_id", "first_body")
 
 
@@ -304,9 +324,19 @@ def _decided(docs: DataFrame, pairs: DataFrame, met: DataFrame, scratch: Scratch
     return out
 
 
-def _place(met: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    comps = components(links).select(F.col("node").alias("cid"), F.col("component"))
-    return scratch.table(met.join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "place")
+def _place(place: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``place`` with the components that ``links`` join made one. Both tables are dropped.
+
+    The graph has a node for each component met by a new link, so it shrinks as components grow.
+    """
+    at = place.select("cid", "component")
+    one, two = (at.select(F.col("cid").alias(end), F.col("component").alias(f"c{end}")) for end in "ab")
+    edges = links.join(one, "a").join(two, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = scratch.table(components(edges).select(F.col("node").alias("component"), F.col("component").alias("into")), "moved")
+    out = join_narrow(place, moved, ["component"], F.col("cid"), "left").withColumn("component", F.coalesce("into", "component")).drop("into")
+    out = scratch.table(out, "place")
+    scratch.drop(place, links, moved)
+    return out
 
 
 def keep_one(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5) -> DataFrame:
