@@ -16,7 +16,15 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 20_000
 SALTS = 16
 
-__all__ = ["BROADCAST_ROWS", "SALTS", "Scratch", "cut_lineage", "join_narrow", "shared_table"]
+__all__ = ["BROADCAST_ROWS", "SALTS", "Scratch", "cut_lineage", "free_name", "join_narrow", "shared_table"]
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, with as many underscores before it as it takes to be no column of ``tables``."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 class Scratch:
@@ -60,26 +68,28 @@ def join_narrow(left: DataFrame, right: DataFrame, on: list[str], spread: Column
     Every way gives the same rows. The columns of ``on`` come from ``left``.
     """
     kept = [c for c in right.columns if c not in on]
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *kept)
+    sides = {c: free_name(f"_r_{c}", left, right) for c in on}
+    renamed = right.select(*[F.col(c).alias(sides[c]) for c in on], *kept)
     small = right.limit(rows + 1).count() <= rows
     if small:
-        match = _match(on)
-        return left.join(F.broadcast(renamed), match, how).select(*left.columns, *kept)
-    counts = left.groupBy(F.xxhash64(*on).alias("_h")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
-    hot = shared_table(counts.select("_h", F.lit(1).alias("_hot")), "hot-keys")
+        return left.join(F.broadcast(renamed), _match(sides), how).select(*left.columns, *kept)
+    h, is_hot, salt = (free_name(name, left, renamed) for name in ("_h", "_hot", "_salt"))
+    counts = left.groupBy(F.xxhash64(*on).alias(h)).agg(F.count("*").alias(is_hot)).where(F.col(is_hot) > HOT_ROWS)
+    hot = shared_table(counts.select(h, F.lit(1).alias(is_hot)), "hot-keys")
     n = hot.count()
     if not n:
-        return left.join(renamed, _match(on), how).select(*left.columns, *kept)
+        return left.join(renamed, _match(sides), how).select(*left.columns, *kept)
     listed = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-    part = F.when(F.col("_hot") == 1, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    salted = left.withColumn("_h", F.xxhash64(*on)).join(listed, "_h", "left").withColumn("_salt", part)
-    copies = renamed.withColumn("_h", F.xxhash64(*[f"_r_{c}" for c in on])).join(listed, "_h", "left").withColumn(
-        "_r__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot") == 1, SALTS - 1).otherwise(0)))).drop("_h", "_hot")
-    return salted.join(copies, _match([*on, "_salt"]), how).select(*left.columns, *kept)
+    part = F.when(F.col(is_hot) == 1, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = left.withColumn(h, F.xxhash64(*on)).join(listed, h, "left").withColumn(salt, part)
+    sides[salt] = free_name(f"_r_{salt}", left, renamed)
+    copies = renamed.withColumn(h, F.xxhash64(*[sides[c] for c in on])).join(listed, h, "left").withColumn(
+        sides[salt], F.explode(F.sequence(F.lit(0), F.when(F.col(is_hot) == 1, SALTS - 1).otherwise(0)))).drop(h, is_hot)
+    return salted.join(copies, _match(sides), how).select(*left.columns, *kept)
 
 
-def _match(on: list[str]) -> Column:
-    tests = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+def _match(sides: dict[str, str]) -> Column:
+    tests = [F.col(c).eqNullSafe(F.col(other)) for c, other in sides.items()]
     out = tests[0]
     for t in tests[1:]:
         out = out & t

@@ -6,7 +6,9 @@ boilerplate: it stays where it occurs first (smallest doc_id, then row text, the
 
 Lines are split at ``\\n`` and compared without outer white space. Lines shorter than ``min_chars`` are never
 removed. Cases: null texts stay null; a null site counts as no site; a null doc_id comes last; rows that
-repeat doc_id and text are changed alike; a text may become empty, its row stays; extra columns are kept.
+repeat doc_id and text are changed alike; a text may become empty, its row stays; an empty table gives an empty result; a
+very long text is cut where it lies, and only hashes of its lines move; extra columns are kept whatever their names, but for
+one named as the count.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_narrow, shared_table
+from .joins import free_name, join_narrow, shared_table
 
 #: log2 of sketch registers; about 6.5 % error, 256 bytes at most.
 SKETCH = 8
@@ -55,13 +57,14 @@ def drop_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 4,
     Only the places to remove are shuffled and gathered per document; texts meet them once.
     """
     found = shared_table(boilerplate(docs, site, min_sites, min_chars), "boilerplate")
+    doc, body, gone = (free_name(name, docs) for name in ("_doc", "_body", "_places"))
     places = join_narrow(_lines(docs, site, min_chars), found.select("h1", "h2", "keep"), ["h1", "h2"], F.struct("doc", "pos"))
     stays = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("body") == F.col("keep.body")) & (F.col("pos") == F.col("keep.pos"))
-    places = places.where(~stays).groupBy(F.col("doc").alias("_doc"), F.col("body").alias("_body")).agg(F.collect_set("pos").alias("_places"))
+    places = places.where(~stays).groupBy(F.col("doc").alias(doc), F.col("body").alias(body)).agg(F.collect_set("pos").alias(gone))
     columns = [c for c in docs.columns if c != removed]
-    out = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_body")), "left")
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_places"), i)), "\n"))
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in columns],
-                      F.coalesce(F.size("_places"), F.lit(0)).cast("long").alias(removed)).withColumn(
+    out = docs.join(places, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(body)), "left")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(
+        F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col(gone), i)), "\n"))
+    return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in columns],
+                      F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed)).withColumn(
                           removed, F.greatest(removed, F.lit(0).cast("long")))

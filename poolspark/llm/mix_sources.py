@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
 Words are summed per source, each source gets a share of the budget by its weight, and every document
-is taken floor(rate) times plus once more with the probability of the fraction, drawn from a hash.
+is taken floor(rate) times plus once more with the probability of the fraction, drawn from a hash of its doc_id and text.
 
-Cases: a null text has size 0 and is never taken; null is a source of its own; sources without words get
-target 0; rows that repeat a doc_id draw alike; an empty table gives an empty result; extra columns are
-kept by ``emit``; a source missing from the weights has weight 0.
+Cases: a null or empty text has size 0 and is taken at the rate of its source; null is a source of its own; sources without words get
+target 0; rows that repeat both doc_id and text draw alike; an empty table gives an empty result; extra columns are
+kept by ``emit``, a column named ``copy`` as ``copy_in`` (with underscores before it if that is taken too); a source
+missing from the weights has weight 0; a very long text is counted and hashed where it lies.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_narrow, shared_table
+from .joins import free_name, join_narrow, shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +23,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _draw(seed: str, body: Column) -> Column:
+    """A number from 0 to 1 by doc_id and the hash of the text, so rows without doc_id draw each on their own."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), body)
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def _body(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def cycle_weights(sources: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
     """(source, weight): the distinct sources in code-point order, null last, weigh ``cycle``, repeating.
 
@@ -63,7 +74,7 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, budget: float =
 
     ``weights`` has (source, weight); without it the weights cycle over the sources.
     """
-    sized = shared_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = shared_table(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _body("text").alias("body")), "mix-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = cycle_weights(sums) if weights is None else weights.select("source", "weight")
     sums = shared_table(sums, "mix-sums")
@@ -73,8 +84,7 @@ def plan_mix(docs: DataFrame, weights: DataFrame | None = None, budget: float =
     shares = shared_table(targets(totals, budget, cap).select("source", "source_size", "target"), "mix-targets")
     joined = join_narrow(sized, shares, ["source"], F.col("doc_id"), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    draw = _draw(seed, F.col("body"))
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
@@ -86,12 +96,12 @@ def emit(docs: DataFrame, weights: DataFrame | None = None, budget: float = 1.5,
     Copies follow from the source's rate and the document's own hash, so documents are not shuffled:
     only the rates, one row per source, are joined to them.
     """
-    named = docs.withColumnRenamed("copy", "copy_in") if "copy" in docs.columns else docs
+    rate = free_name("rate", docs)
+    renamed = {c: free_name("copy_in", docs) for c in docs.columns if c.lower() == "copy"}
+    named = docs.withColumnsRenamed(renamed)
     plan = plan_mix(docs, weights, budget, cap, seed)
     rates = shared_table(plan.groupBy("source").agg(
-        F.max(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias("_rate")), "mix-rates")
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
-    times = F.floor("_rate") + (draw < F.col("_rate") - F.floor("_rate")).cast("long")
+        F.max(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).alias(rate)), "mix-rates")
+    times = F.floor(rate) + (_draw(seed, _body("text")) < F.col(rate) - F.floor(rate)).cast("long")
     out = join_narrow(named, rates, ["source"], F.col("doc_id"))
-    return out.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_rate")
+    return out.where(times >= 1).withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop(rate)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .joins import BROADCAST_ROWS, Scratch, join_narrow, shared_table
+from .joins import BROADCAST_ROWS, Scratch, free_name, join_narrow, shared_table
 from .words import SPACED, hashes, mix, pieces, windows, words
 
 BITMAP = 512  # bits of the narrowest bitmap; a power of two
@@ -348,13 +348,14 @@ def keep_one(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5) -> Data
     first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("body") == F.col("first_body"))
     seen = linked.groupBy("doc_id", "body").agg(F.max(first).alias("first"), F.count("*").alias("n"))
     fate = F.when(~F.col("first"), "gone").when(F.col("n") > 1, "repeated")
-    marks = shared_table(seen.select("doc_id", F.col("body").alias("_body"), fate.alias("_fate")).where("_fate is not null"), "copies")
-    named, key, spread = docs.withColumn("_body", F.xxhash64("text")), ["doc_id", "_body"], F.spark_partition_id()
-    out = join_narrow(named, marks, key, spread, "left").where("_fate is null").select(*docs.columns)
-    again = shared_table(marks.where("_fate = 'repeated'"), "repeated")
+    body, mark = (free_name(name, docs) for name in ("_body", "_fate"))
+    marks = shared_table(seen.select("doc_id", F.col("body").alias(body), fate.alias(mark)).where(F.col(mark).isNotNull()), "copies")
+    named, key, spread = docs.withColumn(body, F.xxhash64("text")), ["doc_id", body], F.spark_partition_id()
+    out = join_narrow(named, marks, key, spread, "left").where(F.col(mark).isNull()).select(*docs.columns)
+    again = shared_table(marks.where(F.col(mark) == "repeated"), "repeated")
     if again.isEmpty():
         return out
     # a task hands on one row for each key, so the copies of a row never meet in one place
     rows = join_narrow(named, again, key, spread)
-    chosen = rows.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
-    return out.union(chosen.select("row.*"))
+    chosen = rows.groupBy(*key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(mark))
+    return out.union(chosen.select(f"{mark}.*"))

@@ -5,7 +5,10 @@ import re
 
 import pytest
 
-from poolspark.llm import line_spread, mix_sources, pseudonyms, queries, secret_scan, trigrams, url_reputation
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from poolspark.llm import line_spread, mix_sources, pseudonyms, queries, secret_scan, shingle_join, trigrams, url_reputation
 
 
 def test_mix_targets_and_copies(make_docs):
@@ -31,6 +34,29 @@ def test_mix_targets_and_copies(make_docs):
     assert sorted(map(str, mix_sources.plan_mix(docs.repartition(7)).collect())) == sorted(map(str, got))
 
 
+def test_mix_draws_rows_without_id_each_on_their_own(make_docs):
+    docs = make_docs([(None, f"w{i} x y", "a") for i in range(1000)] + [(7, f"v{i} x", "b") for i in range(1000)])
+    got = mix_sources.plan_mix(docs, budget=1.37).collect()
+    for source in "ab":
+        rows = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies for r in rows) - rows[0].target) <= 0.05 * rows[0].target
+
+
+def test_own_names_as_columns(make_docs):
+    names = ("_rate", "rate", "copy", "copy_in", "_doc", "_body", "_places", "_removed", "_fate", "_gone", "_h", "_hot", "_salt", "_r_source", "_r_doc_id", "row")
+    texts = ["one two three four five six seven", "a line that stands on many sites here\nx", None, ""]
+    plain = make_docs([(i, texts[i % 4], f"s{i % 6}") for i in range(40)] + [(None, "no id", "s1")])
+    docs = plain.withColumns({n: F.lit(n) for n in names})
+    for stage in (line_spread.drop_boilerplate, shingle_join.keep_one, mix_sources.emit, lambda d: corpus_pipeline.line_dedup(None, d, ""),
+                  lambda d: corpus_pipeline._without(d, d.where("doc_id < 9").select("doc_id", F.xxhash64("text").alias("body")))):
+        out = stage(docs)
+        kept = [c for c in out.columns if c in names and c not in ("copy", "copy_in")]
+        assert set(names) - set(kept) <= {"copy", "copy_in"} and all(r[c] == c for r in out.collect() for c in kept)
+        assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, stage(plain).select("doc_id", "text").collect()))
+        assert stage(docs.limit(0)).count() == 0
+    assert mix_sources.emit(docs).columns[-1] == "copy" and "_copy_in" in mix_sources.emit(docs).columns
+
+
 def test_url_parts_and_rules(spark):
     urls = ["http://A.Example.org/en/12?x", "x", None, "https://example.org/es/a#b", "s://q.com/de/", "s://a.b://c/d", "http://org.com", "http://example.org"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id bigint, url string, share int")
