@@ -1,4 +1,10 @@
-"""From raw documents to a training mix: five stages, each a filter or change over all its predecessor kept."""
+"""From raw documents to a training mix: five stages, each a filter or change over all its predecessor kept.
+
+Rows with null in any column, empty texts and repeated rows go through every stage by the rules of its operator; a null or
+empty text is no copy and no leak, and the mix takes it at the rate of its source. Rows that
+repeat doc_id and text share their fate, but for near duplicates, of which one row stays. An empty table gives an empty one.
+Extra columns are kept, whatever their names; the mix renames an own ``copy`` to ``copy_in``.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolspark.llm import line_spread, mix_sources, shingle_join, template_leaks, toxic_spans
-from poolspark.llm.joins import join_narrow, shared_table
+from poolspark.llm.joins import free_name, join_narrow, shared_table
 
 #: Documents that score this or more are toxic.
 TOXIC = 0.7
@@ -14,10 +20,10 @@ TOXIC = 0.7
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id and text hash are in ``gone`` (doc_id, body). Columns stay as they are."""
-    found = shared_table(gone.select("doc_id", "body").distinct().withColumn("_gone", F.lit(1)), "gone")
-    named = docs.withColumn("_body", F.xxhash64("text"))
-    keys = found.select("doc_id", F.col("body").alias("_body"), "_gone")
-    return join_narrow(named, keys, ["doc_id", "_body"], F.col("doc_id"), "left").where("_gone is null").select(*docs.columns)
+    body, mark = (free_name(name, docs) for name in ("_body", "_gone"))
+    found = shared_table(gone.select("doc_id", F.col("body").alias(body)).distinct().withColumn(mark, F.lit(1)), "gone")
+    named = docs.withColumn(body, F.xxhash64("text"))
+    return join_narrow(named, found, ["doc_id", body], F.col("doc_id"), "left").where(F.col(mark).isNull()).select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +34,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites stay in one place only. ``n_chars`` follows the text; a document that is left empty stays."""
-    kept = line_spread.drop_boilerplate(docs, removed="_removed")
-    size = F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    removed = free_name("_removed", docs)
+    kept = line_spread.drop_boilerplate(docs, removed=removed)
+    size = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", size).select(*docs.columns)
 
 
