@@ -186,7 +186,7 @@ SELECT target, count(*) AS molecules, round(avg(label), 3) AS active_fraction, t
 
 # Comparison of ten targets ----------------------------------------------------------------------
 
-CARD_COLUMNS = ("length", "n_words", "vowel_ratio")
+CARD_COLUMNS = DESCRIPTORS
 
 
 def comparison_report(spark, sf_dir):

@@ -33,6 +33,8 @@ INITIAL_ROUND = -1
 CANDIDATES = 512
 # Narrow candidate rows that are sent to the pool; with more, both sides are shuffled.
 BROADCAST_CANDIDATES = 500_000
+# Cutoffs that are sent to the rows of the pool; with more, both sides are shuffled.
+BROADCAST_CUTOFFS = 500_000
 
 
 def check_names(kind: str, given: Sequence[str], known: Sequence[str]) -> None:
@@ -86,6 +88,17 @@ def split_cutoffs(
     return key_cutoffs(keyed, [*keys, label], order, row_id, quota, method)
 
 
+def meet_cutoffs(rows: DataFrame, cuts: DataFrame, on: Sequence[str], n_cuts: Column) -> DataFrame:
+    """``rows`` with the columns of ``cuts``, which has one row for each value of ``on``; NULL where it has none.
+
+    The cutoffs are computed and counted (``n_cuts`` of them in a row) first. Up to BROADCAST_CUTOFFS they
+    go to the rows, so the pool and its features stay where they are, however many rows a group has.
+    """
+    cuts = cut_lineage(cuts)
+    few = cuts.agg(F.coalesce(F.sum(n_cuts), F.lit(0))).first()[0] <= BROADCAST_CUTOFFS
+    return rows.join(F.broadcast(cuts) if few else cuts, list(on), "left")
+
+
 def stratified_split(
     df: DataFrame, keys: Sequence[str], seed: str = "seed", label: str = "label", row_id: str = "mol_id",
     test_size: float = TEST_SIZE, method: str = "xxhash64",
@@ -95,7 +108,7 @@ def stratified_split(
     cuts = split_cutoffs(keyed, [*keys, seed], label, row_id, test_size, method)
     tested = within_cutoff(F.col("order_key"), F.col(row_id))
     return (
-        keyed.join(cuts, [*keys, seed, label], "left")
+        meet_cutoffs(keyed, cuts, [*keys, seed, label], F.lit(1))
         .withColumn("split", F.when(tested, "test").otherwise("pool"))
         .select(*df.columns, "split")
     )
@@ -130,7 +143,7 @@ def prepare_pool(
         return (key < cut["cut_key"]) | ((key == cut["cut_key"]) & (F.col("mol_id") <= cut["cut_id"]))
 
     none = F.array_repeat(F.lit(False), len(seeds))
-    return df.join(per_class, ["target", "label"], "left").select(
+    return meet_cutoffs(df, per_class, ["target", "label"], F.size("_cuts")).select(
         "target", "mol_id", "label", "features", F.coalesce(F.transform("_cuts", held_out), none).alias("test_mask")
     )
 

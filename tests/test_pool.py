@@ -31,6 +31,21 @@ def test_prepared_mask_agrees_with_split(separable):
         assert r.test_mask == [rows[r.target, s, r.mol_id][0] == "test" for s in (0, 1)]
 
 
+def test_cutoffs_meet_the_pool_the_same_both_ways(separable, monkeypatch, capsys):
+    found, spark = {}, separable.sparkSession
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for limit in (pl.BROADCAST_CUTOFFS, 0):
+        monkeypatch.setattr(pl, "BROADCAST_CUTOFFS", limit)
+        prepared = pl.prepare_pool(separable, [0, 1, 2])
+        prepared.explain()
+        found[limit] = sorted(map(str, prepared.collect()))
+        plan = capsys.readouterr().out
+        assert ("BroadcastHashJoin" in plan) == (limit > 0) and ("hashpartitioning(target" in plan) == (limit == 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert len(set(map(tuple, found.values()))) == 1
+
+
 def test_quota_by_largest_remainder(spark):
     counts = spark.createDataFrame([("t", 0, 7), ("t", 1, 4)], "target string, label int, n bigint")
     assert {r.label: r.take for r in pl.test_quota(counts, ["target"], "label").collect()} == {0: 2, 1: 1}
