@@ -110,7 +110,7 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id FROM doc
 """
 
 SQL["op2_mix_sources"] = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS body, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT source, n, 2.0::DOUBLE * n AS top,
   [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source COLLATE C) - 1) % 3 + 1)::INT] AS weight FROM s),
@@ -119,7 +119,7 @@ o AS (SELECT *, coalesce(sum(top) OVER before, 0) AS capped, sum(weight) OVER ()
 u AS (SELECT min_by((whole - capped) / rest, top / weight) AS unit FROM o WHERE weight * ((whole - capped) / rest) < top),
 t AS (SELECT source, n, least(top, weight * unit) AS target FROM w, u),
 r AS (SELECT d.doc_id, d.size, t.n AS source_size, t.target, CASE WHEN t.n > 0 THEN t.target / t.n ELSE 0 END AS rate,
-  ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
+  ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.body), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
 """
