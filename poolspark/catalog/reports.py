@@ -117,7 +117,7 @@ FROM history h JOIN summary s ON h.target = s.target AND h.initialization_strate
 # Descriptors: documents profiled as strings, target = language ---------------------------------
 
 
-def _count_sql(chars: str) -> str:
+def count_sql(chars: str) -> str:
     return f"length(text) - length(translate(text, '{chars}', ''))"
 
 
@@ -125,8 +125,8 @@ PROFILE_SQL = f"""
 docs AS (
   SELECT doc_id AS mol_id, lang AS target, length(text) AS length,
     length(regexp_replace(regexp_replace(text, '[^ \\t\\r\\n]+', 'w', 'g'), '[ \\t\\r\\n]+', '', 'g')) AS n_words,
-    {_count_sql('0123456789')} AS n_digits, {_count_sql('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper,
-    {_count_sql('.,;:!?()')} AS n_punct, {_count_sql('aeiouAEIOU')} AS n_vowel, {_count_sql(' ')} AS n_space
+    {count_sql('0123456789')} AS n_digits, {count_sql('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper,
+    {count_sql('.,;:!?()')} AS n_punct, {count_sql('aeiouAEIOU')} AS n_vowel, {count_sql(' ')} AS n_space
   FROM documents
 ),
 profiles AS (

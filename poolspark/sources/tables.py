@@ -95,9 +95,12 @@ def read_summary(spark: SparkSession, path: str, round_id: int = 10) -> DataFram
     return spark.read.schema(SUMMARY_SCHEMA).csv(path, header=True).where(F.col("round") == round_id)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata documents of any number of targets; ``path`` may be a glob."""
-    return spark.read.json(path, multiLine=True)
+def read_metadata(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Metadata documents of any number of targets, one per line as ``write_metadata`` leaves them; ``path`` may be a glob.
+
+    ``one_per_file`` reads files that hold a single document over several lines; of further documents nothing would be seen.
+    """
+    return spark.read.json(path, multiLine=one_per_file)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("target",)) -> None:

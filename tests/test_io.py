@@ -63,6 +63,17 @@ def test_prepare_end_to_end(spark, dump, tmp_path):
     assert tables.target_dir(base + "/prepared/", "EGFR") == f"{base}/prepared/target=EGFR"
 
 
+def test_metadata_of_many_targets_in_one_file(spark, tmp_path):
+    docs = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "target string, n int").coalesce(1)
+    tables.write_metadata(docs, str(tmp_path / "lines"))
+    assert sorted(tuple(r) for r in tables.read_metadata(spark, str(tmp_path / "lines")).select("target", "n").collect()) == [("A", 1), ("B", 2), ("C", 3)]
+    (tmp_path / "one").mkdir()
+    for name in "AB":
+        (tmp_path / "one" / f"{name}.json").write_text(f'{{\n  "target": "{name}",\n  "n": 7\n}}\n')
+    whole = tables.read_metadata(spark, str(tmp_path / "one"), one_per_file=True)
+    assert sorted(r.target for r in whole.collect()) == ["A", "B"]
+
+
 def test_prepare_labelled(spark, tmp_path):
     rows = spark.createDataFrame([("CCCCO", 1), ("CC", 0), (None, 1), ("CCCCN", None)], "entity_key string, label int")
     rows.write.parquet(str(tmp_path / "in"))
