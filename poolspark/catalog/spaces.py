@@ -10,7 +10,7 @@ from poolspark.catalog import standins as st
 from poolspark.catalog.modelling import full_run
 from poolspark.operators import features, report, space
 from poolspark.plans import panels
-from poolspark.session import shared_dir
+from poolspark.session import shared_dir, shared_table
 from poolspark.sources.tables import spread
 from poolspark.streaming.clean_stream import clean_stream, read_cleaned
 
@@ -70,14 +70,32 @@ SELECT src, dst, round(dist, 6) AS dist, CAST(r AS INTEGER) AS rank FROM (
 
 
 def pca_variance(spark, sf_dir):
-    projected, explained = space.fit_pca(st.pool(spark, sf_dir))
-    table = space.variance_table(projected, explained)
-    return table.withColumns({c: F.round(c, 6) for c in ("explained", "cumulative")})
+    """Explained variance of the components of each target."""
+    _, variance = space.fit_pca(st.pool(spark, sf_dir))
+    return variance.withColumns({c: F.round(c, 6) for c in ("explained", "cumulative")})
 
 
 QUERIES["pca_variance"] = pca_variance
 
 
+def covariances(spark, sf_dir):
+    """The covariance of every two features in each target, from the blocks that the components are made of."""
+    rows = st.pool(spark, sf_dir).select(F.col("target").alias("key"), "features")
+    blocks = space.covariance_blocks(rows, block_columns=COVARIANCE_COLUMNS)
+    cells = blocks.select(F.col("key").alias("target"), "i", "j", "n", F.size("mean_j").alias("w"), F.posexplode("block").alias("at", "cross"))
+    first, second = F.col("i") * COVARIANCE_COLUMNS + F.floor(F.col("at") / F.col("w")), F.col("j") * COVARIANCE_COLUMNS + F.col("at") % F.col("w")
+    placed = cells.select("target", first.cast("int").alias("a"), second.cast("int").alias("b"), F.round(F.col("cross") / (F.col("n") - 1), 6).alias("covariance"))
+    return placed.where("a <= b")
+
+
+COVARIANCE_COLUMNS = 24
+QUERIES["covariances"] = covariances
+SQL["covariances"] = f"""WITH {st.POOL_SQL},
+x AS (SELECT target, mol_id, generate_subscripts(features, 1) AS a, unnest(features) AS v FROM pool)
+SELECT p.target, CAST(p.a - 1 AS INTEGER) AS a, CAST(q.a - 1 AS INTEGER) AS b, round(covar_samp(p.v, q.v), 6) AS covariance
+FROM x p JOIN x q ON p.target = q.target AND p.mol_id = q.mol_id AND p.a <= q.a GROUP BY ALL"""
+
+
 def projection_rows(spark, sf_dir):
     projected, _ = space.fit_pca(st.pool(spark, sf_dir))
     return space.projection_rows(projected, ["target", "mol_id"]).withColumns({c: F.round(c, 6) for c in ("x", "y")})
@@ -87,17 +105,26 @@ QUERIES["projection_rows"] = projection_rows
 
 
 def projection_panel(spark, sf_dir):
-    """Projection rows annotated with the variance their two components explain together."""
-    projected, explained = space.fit_pca(st.pool(spark, sf_dir))
-    rows, _, _ = panels.projection_panel(projected, explained)
-    share = {f"PC{i}": float(v) for i, v in enumerate(explained, 1)}
-    total = F.create_map(*[F.lit(x) for p in ("PC1-PC2", "PC1-PC3", "PC2-PC3") for x in (p, round(sum(share[c] for c in p.split("-")), 6))])
-    return rows.withColumn("variance", F.element_at(total, F.col("pair"))).withColumns({c: F.round(c, 6) for c in ("x", "y")})
+    """Projection rows annotated with the variance their two components explain together in their target."""
+    rows, _, _ = panels.projection_panel(*space.fit_pca(st.pool(spark, sf_dir)))
+    return rows.withColumns({c: F.round(c, 6) for c in ("x", "y", "variance")})
 
 
 QUERIES["projection_panel"] = projection_panel
 
 
+def neighbour_panel(spark, sf_dir):
+    """The neighbour map of the labelled documents on the first two components of their fingerprints."""
+    labels = st.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = shared_table(features.align(fingerprints(spark, sf_dir), labels, ["doc_id"]), "labelled-bits")
+    projected, _ = space.fit_pca(features.dense_bits(rows).withColumn("target", F.lit("documents")).drop("fp"), 2)
+    drawn = panels.neighbour_panel(space.knn_jaccard(rows, row_id="doc_id"), projected, "doc_id")
+    return drawn.withColumns({c: F.round(c, 6) for c in ("dist", "src_x", "src_y", "dst_x", "dst_y")})
+
+
+QUERIES["neighbour_panel"] = neighbour_panel
+
+
 def campaign_panel(spark, sf_dir):
     """The rows of the panels of all strategies, starts, seeds and rounds: pool rows once per target, then each campaign's marks."""
     projected, _ = space.fit_pca(st.pool(spark, sf_dir), 2)
@@ -112,8 +139,8 @@ QUERIES["campaign_panel"] = campaign_panel
 
 def experiment_card(spark, sf_dir):
     rows = st.pool(spark, sf_dir)
-    _, explained = space.fit_pca(rows, 3)
-    card = panels.experiment_card(rows, report.summarize(st.history(spark, sf_dir)), explained, 10)
+    _, variance = space.fit_pca(rows, 3)
+    card = panels.experiment_card(rows, report.summarize(st.history(spark, sf_dir)), variance, 10)
     return card.withColumns(
         {c: F.round(c, 6) for c in ("active_fraction", "roc_auc_mean", "roc_auc_std", "variance_2", "variance_3")}
     )

@@ -6,50 +6,184 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, StandardScaler
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from poolspark.functions.features import DEFAULT_BITS
-from poolspark.operators.features import as_vector
+from poolspark.operators.matrix import dense_rows
 from poolspark.operators.ranking import top_k
-from poolspark.session import shared_table
+from poolspark.session import BROADCAST_BYTES, cut_lineage, shared_table
 
-# ml's PCA keeps a width x width matrix of doubles on the driver: 512 MB at this width.
-MAX_PCA_WIDTH = 8192
 N_COMPONENTS = 10
 PANEL_PAIRS = ((1, 2), (1, 3), (2, 3))
+# Columns of a covariance block: a block of doubles is 512 KB, so a merge of FAN_IN of them stays small at any width.
+BLOCK_COLUMNS = 256
+FAN_IN = 32
+# A task that scans rows hands its blocks on when they hold this many bytes.
+SCAN_BYTES = 128 * 1024 * 1024
 
+BLOCK_SCHEMA = "key string, i int, j int, n bigint, mean_i array<double>, mean_j array<double>, block array<double>"
+LOADING_SCHEMA = "key string, component int, explained double, cumulative double, mean array<double>, loading array<double>"
 
-def fit_pca(df: DataFrame, n_components: int = N_COMPONENTS, features: str = "features"):
-    """(rows with an array column ``embedding``, explained variance ratios).
 
-    Rows are centred first, since ml's PCA centres when fitting but not when projecting. The sign
-    of a component is arbitrary; it is fixed so that its largest loading is positive.
+def covariance_blocks(rows: DataFrame, block_columns: int = BLOCK_COLUMNS, fan_in: int = FAN_IN, scan_bytes: int = SCAN_BYTES) -> DataFrame:
+    """(key, i, j, n, mean_i, mean_j, block) of rows (key, features): block (i, j), i <= j, of the centred cross products of each key.
+
+    A scan adds up its own rows and hands on blocks, not rows; partial blocks of a key are then merged, ``fan_in`` at a time, by the
+    pairwise formula for sums around different means. No task holds a whole matrix, nothing depends on the order of the rows beyond
+    rounding, and a key that holds all the rows gives no more blocks to a merge than a small one.
+    """
+
+    def scan(batches):
+        held: dict = {}
+        for batch in batches:
+            x = dense_rows(batch.column("features"))
+            codes, keys = pd.factorize(batch.column("key").to_pandas(), use_na_sentinel=False)
+            for code, key in enumerate(keys):
+                key = None if pd.isna(key) else key
+                held[key] = with_rows(held.get(key), x[codes == code])
+            if sum(m[2].nbytes for m in held.values()) >= scan_bytes:
+                yield from _block_batches(held, block_columns)
+                held = {}
+        yield from _block_batches(held, block_columns)
+
+    partial = cut_lineage(rows.select("key", "features").mapInArrow(scan, BLOCK_SCHEMA))
+    most = partial.groupBy("key", "i", "j").count().agg(F.max("count")).head()[0] or 0
+    while most > 1:
+        salt = F.floor(F.rand(17) * -(-most // fan_in)).cast("int") if most > fan_in else F.lit(0)
+        partial = cut_lineage(partial.withColumn("_salt", salt)).groupBy("key", "i", "j", "_salt").applyInPandas(_merge_blocks, BLOCK_SCHEMA)
+        partial = cut_lineage(partial)
+        most = partial.groupBy("key", "i", "j").count().agg(F.max("count")).head()[0]
+    return partial
+
+
+def with_rows(held: tuple | None, rows: np.ndarray) -> tuple:
+    """(n, mean, centred cross products) of what ``held`` sums up and of ``rows``."""
+    mean = rows.mean(axis=0)
+    centred = rows - mean
+    cross = centred.T @ centred
+    if held is None:
+        return len(rows), mean, cross
+    n, delta = held[0] + len(rows), mean - held[1]
+    return n, held[1] + delta * (len(rows) / n), held[2] + cross + np.outer(delta, delta) * (held[0] * len(rows) / n)
+
+
+def _block_batches(held: dict, width: int):
+    """One Arrow batch per key and row of blocks."""
+    schema = pa.schema([
+        ("key", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()),
+        *((c, pa.list_(pa.float64())) for c in ("mean_i", "mean_j", "block")),
+    ])
+    for key, (n, mean, cross) in held.items():
+        starts = range(0, len(mean), width)
+        for i, a in enumerate(starts):
+            rows = [
+                {"key": key, "i": i, "j": j, "n": n, "mean_i": mean[a : a + width], "mean_j": mean[b : b + width],
+                 "block": cross[a : a + width, b : b + width].ravel()}
+                for j, b in enumerate(starts) if j >= i
+            ]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def _merge_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Partial blocks of one place as one."""
+    first, n = group.iloc[0], 0
+    mean_i, mean_j, block = (np.zeros(len(first[c])) for c in ("mean_i", "mean_j", "block"))
+    for row in group.itertuples():
+        d_i, d_j, both = row.mean_i - mean_i, row.mean_j - mean_j, n + row.n
+        block = block + row.block + np.outer(d_i, d_j).ravel() * (n * row.n / both)
+        mean_i, mean_j, n = mean_i + d_i * (row.n / both), mean_j + d_j * (row.n / both), both
+    return pd.DataFrame({
+        "key": [first["key"]], "i": [first["i"]], "j": [first["j"]], "n": [n], "mean_i": [mean_i], "mean_j": [mean_j], "block": [block],
+    })
+
+
+def principal_components(rows: DataFrame, n_components: int = N_COMPONENTS, **options) -> DataFrame:
+    """(key, component, explained, cumulative, mean, loading) of rows (key, features), each key by itself.
+
+    ``explained`` is the share of the variance of the key's own rows (0 where rows do not vary). The sign of a component is
+    arbitrary; it is fixed so that its largest loading is positive. A task decomposes the matrix of one key (width * width doubles).
     """
-    vectors = as_vector(df, features)
-    width = len(vectors.select("vector").head()[0])
-    if width > MAX_PCA_WIDTH:
-        raise ValueError(f"PCA of {width} columns would need {width * width * 8} bytes on the driver")
-    centred = StandardScaler(inputCol="vector", outputCol="centred", withMean=True, withStd=False).fit(vectors)
-    rows = centred.transform(vectors)
-    model = PCA(k=min(n_components, width), inputCol="centred", outputCol="projected").fit(rows)
-    loadings = model.pc.toArray()
-    flip = [1.0 if loadings[abs(loadings[:, j]).argmax(), j] > 0 else -1.0 for j in range(loadings.shape[1])]
-    signs = F.array(*[F.lit(f) for f in flip])
-    embedding = F.zip_with(vector_to_array("projected"), signs, lambda v, s: v * s)
-    projected = model.transform(rows).withColumn("embedding", embedding).drop("vector", "centred", "projected")
-    return projected, [float(v) for v in model.explainedVariance]
-
-
-def variance_table(df: DataFrame, explained: Sequence[float]) -> DataFrame:
-    """component (1-based), explained ratio and its running sum: at most MAX_PCA_WIDTH rows."""
-    rows = [(i + 1, v) for i, v in enumerate(explained)]
-    table = df.sparkSession.createDataFrame(rows, "component int, explained double")
-    past = W.orderBy("component").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return table.withColumn("cumulative", F.sum("explained").over(past))
+    return covariance_blocks(rows, **options).groupBy("key").applyInPandas(_decompose(n_components), LOADING_SCHEMA)
+
+
+def _decompose(n_components: int):
+    def decompose(group: pd.DataFrame) -> pd.DataFrame:
+        means = {row.i: row.mean_i for row in group.itertuples() if row.i == row.j}
+        mean = np.concatenate([means[i] for i in sorted(means)])
+        starts = np.cumsum([0, *(len(means[i]) for i in sorted(means))])
+        cross = np.zeros((len(mean), len(mean)))
+        for row in group.itertuples():
+            a, b = starts[row.i], starts[row.j]
+            block = np.reshape(row.block, (len(row.mean_i), len(row.mean_j)))
+            cross[a : a + block.shape[0], b : b + block.shape[1]] = block
+            cross[b : b + block.shape[1], a : a + block.shape[0]] = block.T
+        values, vectors = np.linalg.eigh(cross)
+        k = min(n_components, len(mean))
+        total = np.trace(cross)
+        explained = np.maximum(values[::-1][:k], 0.0) / total if total > 0 else np.zeros(k)
+        top = vectors[:, ::-1][:, :k].T
+        top = top * np.where(top[np.arange(k), np.abs(top).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame({
+            "key": group["key"].iloc[0], "component": np.arange(1, k + 1), "explained": explained, "cumulative": np.cumsum(explained),
+            "mean": [mean] * k, "loading": list(top),
+        })
+
+    return decompose
+
+
+def fit_pca(df: DataFrame, n_components: int = N_COMPONENTS, features: str = "features", key: str = "target") -> tuple[DataFrame, DataFrame]:
+    """(rows with an array column ``embedding``, variance table), components fitted for each ``key`` by itself.
+
+    Rows without features are left out; rows without ``key`` are a group of their own. The variance table has (key, component from 1,
+    explained ratio, running sum). Loadings go to the executors in blocks of at most BROADCAST_BYTES, a scan each; features are not shuffled.
+    """
+    plain = df.where(F.col(features).isNotNull())
+    if isinstance(df.schema[features].dataType, VectorUDT):
+        plain = plain.withColumn(features, vector_to_array(features))
+    rows = plain.select(F.col(key).cast("string").alias("key"), F.col(features).cast("array<double>").alias("features"))
+    loadings = shared_table(principal_components(rows, n_components), "loadings")
+    variance = loadings.select(F.col("key").cast(df.schema[key].dataType).alias(key), "component", "explained", "cumulative")
+    return _projected(plain, loadings, features, key), variance
+
+
+def _projected(plain: DataFrame, loadings: DataFrame, features: str, key: str) -> DataFrame:
+    size = loadings.agg(F.sum(8 * F.size("loading") + F.when(F.col("component") == 1, 8 * F.size("mean")).otherwise(0))).head()[0] or 0
+    n_parts = max(1, -(-2 * size // BROADCAST_BYTES))  # twice: parts are dealt by hash
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts))
+    out = None
+    for number in range(n_parts):
+        held: dict = {}
+        for row in loadings.where(part(F.col("key")) == number).orderBy("key", "component").toLocalIterator():
+            mean, top = held.setdefault(row.key, (np.array(row.mean), []))
+            top.append(row.loading)
+        sent = plain.sparkSession.sparkContext.broadcast({k: (mean, np.array(top)) for k, (mean, top) in held.items()})
+        own = plain if n_parts == 1 else plain.where(part(F.col(key).cast("string")) == number)
+        embedded = own.withColumn("embedding", _embed(sent)(F.col(key).cast("string"), F.col(features).cast("array<double>")))
+        out = embedded if out is None else out.unionByName(embedded)
+    return out
+
+
+def _embed(sent):
+    @F.pandas_udf("array<double>")
+    def embed(keys: pd.Series, features: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(keys), dtype=object)
+        for key, at in keys.groupby(keys, dropna=False).indices.items():
+            mean, top = sent.value[None if pd.isna(key) else key]
+            points = (np.stack(features.iloc[at].to_numpy()) - mean) @ top.T
+            out.iloc[at] = pd.Series(list(points), dtype=object).to_numpy()
+        return out
+
+    return embed
+
+
+def share_of_variance(variance: DataFrame, key: str = "target", up_to: int = 2) -> DataFrame:
+    """key, variance_<n>: what the first n components explain together (all, where there are fewer)."""
+    first = variance.where(F.col("component") <= up_to)
+    return first.groupBy(key).agg(F.max("cumulative").alias(f"variance_{up_to}"))
 
 
 def projection_rows(projected: DataFrame, keys: Sequence[str], pairs: Sequence[tuple[int, int]] = PANEL_PAIRS) -> DataFrame:

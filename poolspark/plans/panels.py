@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +52,40 @@ def campaign_layers(run: Backtest, projected: DataFrame) -> tuple[DataFrame, Dat
     return points, marks.join(summary, ["target", "initialization_strategy", "strategy", "from_round"], "left")
 
 
-def projection_panel(projected: DataFrame, explained: Sequence[float], neighbours: DataFrame | None = None):
-    """(projection rows, variance table, neighbour edges)."""
+def projection_panel(projected: DataFrame, variance: DataFrame, neighbours: DataFrame | None = None):
+    """(projection rows with the variance their two components explain in their target, variance table, neighbour edges)."""
     rows = space.projection_rows(projected, ["target", "mol_id"])
-    return rows, space.variance_table(projected, explained), neighbours
+    share = variance.select("target", F.concat(F.lit("PC"), "component").alias("axis"), "explained")
+    per_pair = [
+        share.where(F.col("axis").isin(f"PC{i}", f"PC{j}")).groupBy("target").agg(F.sum("explained").alias("variance"))
+        .withColumn("pair", F.lit(f"PC{i}-PC{j}"))
+        for i, j in space.PANEL_PAIRS
+    ]
+    shares = per_pair[0]
+    for more in per_pair[1:]:
+        shares = shares.unionByName(more)
+    return rows.join(shares, ["target", "pair"], "left"), variance, neighbours
+
+
+def neighbour_panel(edges: DataFrame, projected: DataFrame, row_id: str = "mol_id") -> DataFrame:
+    """The neighbour map drawn on the first two components: every edge with the coordinates and labels of both ends."""
 
+    def end(name):
+        return projected.select(
+            F.col(row_id).alias(name), F.element_at("embedding", 1).alias(f"{name}_x"), F.element_at("embedding", 2).alias(f"{name}_y"),
+            F.col("label").alias(f"{name}_label"),
+        )
 
-def experiment_card(rows: DataFrame, summary: DataFrame, explained: Sequence[float], round_id: int) -> DataFrame:
-    """A row per target: size, active fraction, best (init, strategy) with its AUC band, variance of the first components."""
+    return edges.join(end("src"), "src").join(end("dst"), "dst")
+
+
+def experiment_card(rows: DataFrame, summary: DataFrame, variance: DataFrame, round_id: int) -> DataFrame:
+    """A row per target: size, active fraction, best (init, strategy) with its AUC band, variance of its own first components."""
     totals = rows.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("active_fraction"))
     best = report.best_campaign(summary, round_id).select(
         "target", "initialization_strategy", "strategy", "roc_auc_mean", "roc_auc_std", F.col("round")
     )
-    return (
-        totals.join(best, "target")
-        .withColumn("variance_2", F.lit(float(sum(explained[:2]))))
-        .withColumn("variance_3", F.lit(float(sum(explained[:3]))))
-    )
+    card = totals.join(best, "target")
+    for n in (2, 3):
+        card = card.join(space.share_of_variance(variance, up_to=n), "target", "left")
+    return card

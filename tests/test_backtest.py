@@ -108,9 +108,13 @@ def test_all_strategies_and_layers_of_their_panels(separable):
 
 
 def test_panels(run, separable):
-    projected, explained = space.fit_pca(separable, 3)
+    projected, variance = space.fit_pca(separable, 3)
     rows = panels.campaign_panel(run, projected, 2)
     counts = {(r.campaign, r.tag): r["count"] for r in rows.groupBy("campaign", "tag").count().collect()}
     assert counts["A/random/greedy/0", "Initial"] == 10 and counts["A/random/greedy/0", "Untested"] == 96 - 18
-    card = panels.experiment_card(separable, summarize(run.history), explained, 2).collect()
+    card = panels.experiment_card(separable, summarize(run.history), variance, 2).collect()
     assert len(card) == 2 and card[0].n == 120 and card[0].variance_3 > card[0].variance_2 > 0
+    assert card[0].variance_2 != card[1].variance_2
+    shown, _, _ = panels.projection_panel(projected, variance)
+    share = {(r.target, r.pair): r.variance for r in shown.select("target", "pair", "variance").distinct().collect()}
+    assert len(share) == 6 and share[card[0].target, "PC1-PC2"] == pytest.approx(card[0].variance_2)

@@ -1,25 +1,80 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolspark.operators import space
+from poolspark.plans import panels
 
 
-def test_pca_equals_eigen_decomposition(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(80, 5)) @ rng.normal(size=(5, 5)) + 3.0
-    df = spark.createDataFrame([("t", i, v.tolist(), i % 2) for i, v in enumerate(x)], "target string, mol_id bigint, features array<double>, label int")
-    projected, explained = space.fit_pca(df, 3)
+def eigen(x, k):
     values, vectors = np.linalg.eigh(np.cov(x.T))
     values, vectors = values[::-1], vectors[:, ::-1]
-    np.testing.assert_allclose(explained, (values / values.sum())[:3], rtol=1e-8)
-    got = np.array([r.embedding for r in projected.orderBy("mol_id").collect()])
-    for j in range(3):
-        v = vectors[:, j] * (1 if vectors[np.abs(vectors[:, j]).argmax(), j] > 0 else -1)
-        np.testing.assert_allclose(got[:, j], (x - x.mean(axis=0)) @ v, atol=1e-8)
-    table = space.variance_table(df, explained).orderBy("component").collect()
-    assert table[-1].cumulative == pytest.approx(sum(explained))
-    rows = space.projection_rows(projected, ["mol_id"]).where("pair = 'PC2-PC3'").orderBy("mol_id").collect()
-    np.testing.assert_allclose([(r.x, r.y) for r in rows], got[:, 1:3])
+    signs = np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))] > 0, 1, -1)
+    return (values / values.sum())[:k], ((x - x.mean(axis=0)) @ (vectors * signs))[:, :k]
+
+
+POOL_SCHEMA = "target string, mol_id bigint, features array<double>, label int"
+
+
+def test_components_of_each_target_equal_its_eigen_decomposition(spark):
+    """A hot target, a small one and rows without target, far from the origin; rows without features take no part."""
+    rng = np.random.default_rng(2)
+    data = {t: rng.normal(size=(n, 7)) @ rng.normal(size=(7, 7)) + 300.0 for t, n in (("A", 400), ("B", 30), (None, 50))}
+    rows = [(t, i, v.tolist(), i % 2) for t, x in data.items() for i, v in enumerate(x)] + [("A", 999, None, 1)]
+    df = spark.createDataFrame(rows, POOL_SCHEMA).repartition(9)
+    projected, variance = space.fit_pca(df, 3)
+    found, shares = projected.orderBy("mol_id").collect(), variance.orderBy("component").collect()
+    assert len(found) == 480 and len(shares) == 9
+    for t, x in data.items():
+        explained, points = eigen(x, 3)
+        np.testing.assert_allclose([r.explained for r in shares if r.target == t], explained, rtol=1e-8)
+        np.testing.assert_allclose([r.cumulative for r in shares if r.target == t], np.cumsum(explained), rtol=1e-8)
+        np.testing.assert_allclose(np.array([r.embedding for r in found if r.target == t]), points, atol=1e-7)
+    rows = space.projection_rows(projected.where("target = 'B'"), ["mol_id"]).where("pair = 'PC2-PC3'").orderBy("mol_id").collect()
+    np.testing.assert_allclose([(r.x, r.y) for r in rows], eigen(data["B"], 3)[1][:, 1:3], atol=1e-7)
+
+
+@pytest.mark.parametrize("options", [{"block_columns": 3, "fan_in": 2}, {"block_columns": 7, "scan_bytes": 1}, {}])
+def test_blocks_of_any_width_and_merges_of_any_size_agree(spark, options):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 7)) * np.arange(1, 8) + 1e4
+    rows = spark.createDataFrame([("A" if i % 4 else "B", v.tolist()) for i, v in enumerate(x)], "key string, features array<double>").repartition(11)
+    width = options.get("block_columns", 256)
+    blocks = space.covariance_blocks(rows, **options).collect()
+    assert len(blocks) == 2 * {3: 6, 7: 1, 256: 1}[width]
+    for r in blocks:
+        own = x[np.arange(200) % 4 != 0] if r.key == "A" else x[::4]
+        centred = own - own.mean(axis=0)
+        want = (centred.T @ centred)[r.i * width : (r.i + 1) * width, r.j * width : (r.j + 1) * width]
+        assert r.n == len(own)
+        np.testing.assert_allclose(np.reshape(r.block, want.shape), want, atol=1e-6)
+
+
+def test_rows_that_do_not_vary_and_no_rows(spark):
+    df = spark.createDataFrame([("A", 1, [1.0, 2.0], 0), ("A", 2, [1.0, 2.0], 1), ("B", 3, [5.0, 6.0], 1)], POOL_SCHEMA)
+    projected, variance = space.fit_pca(df, 2)
+    assert {tuple(r.embedding) for r in projected.collect()} == {(0.0, 0.0)}
+    assert {(r.explained, r.cumulative) for r in variance.collect()} == {(0.0, 0.0)}
+    projected, variance = space.fit_pca(df.where("mol_id > 9"), 2)
+    assert projected.count() == 0 and variance.count() == 0
+
+
+def test_loadings_in_parts_give_the_same_points(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(t, i, rng.normal(size=4).tolist(), 0) for t in "ABCDEF" for i in range(20)], POOL_SCHEMA)
+    whole = {(r.target, r.mol_id): r.embedding for r in space.fit_pca(df, 2)[0].collect()}
+    monkeypatch.setattr(space, "BROADCAST_BYTES", 200)
+    parts = {(r.target, r.mol_id): r.embedding for r in space.fit_pca(df, 2)[0].collect()}
+    assert whole.keys() == parts.keys()
+    np.testing.assert_allclose([whole[k] for k in whole], [parts[k] for k in whole], atol=1e-9)
+
+
+def test_neighbour_panel_places_both_ends(spark):
+    rows = spark.createDataFrame([(1, [1, 2], 0), (2, [1, 3], 1), (3, [5], 1)], "mol_id bigint, fp array<int>, label int")
+    points = rows.select("mol_id", "label", F.array(F.col("mol_id").cast("double"), -F.col("mol_id").cast("double")).alias("embedding"))
+    drawn = panels.neighbour_panel(space.knn_jaccard(rows, 1, n_bits=8), points).collect()
+    assert {(r.src, r.dst, r.src_x, r.src_y, r.dst_x, r.src_label, r.dst_label) for r in drawn} == {
+        (1, 2, 1.0, -1.0, 2.0, 0, 1), (2, 1, 2.0, -2.0, 1.0, 1, 0), (3, 1, 3.0, -3.0, 1.0, 1, 0)}
 
 
 def brute(fps, k):
