@@ -43,7 +43,7 @@ def nearest_squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def farthest_point_order(ids: np.ndarray, x: np.ndarray, first: int, n_select: int) -> list[int]:
     """Positions of a farthest-point selection that starts at ``first``; ties go to the smallest id."""
     if n_select > len(ids):
-        raise ValueError("n_select cannot exceed number of candidate indices.")
+        raise ValueError(f"{n_select} rows wanted of {len(ids)}")
     chosen = [first]
     near = np.full(len(ids), np.inf)
     while len(chosen) < n_select:

@@ -40,7 +40,7 @@ BROADCAST_CUTOFFS = 500_000
 def check_names(kind: str, given: Sequence[str], known: Sequence[str]) -> None:
     unknown = sorted(set(given) - set(known))
     if unknown:
-        raise ValueError(f"{kind} must be one of: {', '.join(map(repr, known))} (got {unknown})")
+        raise ValueError(f"unknown {kind} {unknown}, known are {list(known)}")
 
 
 def campaign_grid(
@@ -118,7 +118,7 @@ def require_larger(counts: DataFrame, n_initial: int) -> None:
     """Every group (one row with its size ``n``) must exceed the starting set."""
     small = counts.where(F.col("n") <= n_initial).limit(5).collect()
     if small:
-        raise ValueError(f"n_initial must be smaller than the number of samples (n_initial={n_initial}, got {small})")
+        raise ValueError(f"a start of {n_initial} rows leaves nothing to choose from in {small}")
 
 
 def prepare_pool(

@@ -80,7 +80,7 @@ def select_uncertainty_diverse(
 ) -> DataFrame:
     """A spread-out batch from the most uncertain rows, with its ``rank``."""
     if candidate_pool_size < batch_size:
-        raise ValueError("candidate_pool_size must be >= batch_size.")
+        raise ValueError("a batch does not fit into a shortlist of candidate_pool_size rows")
     shortlist = select_uncertainty_topk(candidates, keys, candidate_pool_size, p)
     return select_diverse_subset(shortlist.drop("rank"), keys, seed, batch_size, row_id, features, method)
 

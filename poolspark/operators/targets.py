@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from poolspark.functions.features import DEFAULT_BITS, DEFAULT_RADIUS
 from poolspark.functions.measures import activity_label
 from poolspark.operators.ranking import HOT_ROWS, exact_percentiles
+from poolspark.session import cut_lineage
 from poolspark.sources.registry import MATCH_MODES
 
 # Fixed values.
@@ -22,7 +23,7 @@ AFFINITY_BINS = 60
 def filter_target(df: DataFrame, query: str, match: str = "contains", name: str = "target_name") -> DataFrame:
     """Rows whose target name equals or literally contains the query, ignoring case."""
     if match not in MATCH_MODES:
-        raise ValueError("match must be one of: 'exact', 'contains'")
+        raise ValueError(f"unknown match mode {match!r}, known are {MATCH_MODES}")
     lowered = F.lower(F.col(name))
     wanted = F.lower(F.lit(query))
     return df.where(lowered == wanted if match == "exact" else F.contains(lowered, wanted))
@@ -30,35 +31,67 @@ def filter_target(df: DataFrame, query: str, match: str = "contains", name: str
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
-        raise ValueError(f"No rows found for {what}")
+        raise ValueError(f"no row for {what}")
     return df
 
 
+# Characters of a gram of the name index. Shorter queries are looked up by grams of their own length.
+GRAM = 3
+# Rows of names and their targets that are sent to every executor; more are joined by a shuffle.
+MAX_SENT_ROWS = 200_000
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters; the empty run is in every text."""
+    if size == 0:
+        return F.array(F.lit(""))
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, F.lit(size))))
+
+
+def _names_that_contain(names: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """(name, query_lc) of distinct ``queries`` (query_lc) that a distinct name holds literally.
+
+    Names are listed under their grams; a query is looked up by the one of its grams that the fewest names hold, then verified.
+    """
+    found = None
+    sizes = queries.select(F.least(F.lit(GRAM), F.length("query_lc")).alias("n")).distinct().collect()  # at most 0 to GRAM
+    for size in sorted(r.n for r in sizes):
+        index = names.select(name, F.explode(_grams(F.col(name), size)).alias("gram"))
+        held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        own = queries.where(F.least(F.lit(GRAM), F.length("query_lc")) == size)
+        own = own.select("query_lc", F.explode(_grams(F.col("query_lc"), size)).alias("gram"))
+        rarity = F.struct(F.coalesce("n", F.lit(0)), "gram")
+        rarest = own.join(held, "gram", "left").groupBy("query_lc").agg(F.min_by("gram", rarity).alias("gram"))
+        part = index.join(rarest, "gram").where(F.contains(F.col(name), F.col("query_lc"))).select(name, "query_lc")
+        found = part if found is None else found.unionByName(part)
+    return names.select(name, F.lit("").alias("query_lc")).limit(0) if found is None else found
+
+
 def match_names(names: DataFrame, registry: DataFrame, name: str = "target_lc") -> DataFrame:
     """Which registry target each distinct lower-case name belongs to (possibly several).
 
-    The registry is a configuration of checked size. Exact queries are an equi join; only
-    "contains" needs a comparison per (distinct name, query), never per row of the master.
+    Exact queries are an equi join; "contains" queries are looked up in a gram index of the distinct names. Names are never
+    compared with all queries.
     """
     wanted = registry.withColumn("query_lc", F.lower("query"))
+    contained = wanted.where(F.col("match") == "contains")
+    pairs = _names_that_contain(names, contained.select("query_lc").where("query_lc IS NOT NULL").distinct(), name)
     columns = [name, "target", "query", "match", "threshold"]
-    exact = names.join(
-        F.broadcast(wanted.where(F.col("match") == "exact")), F.col(name) == F.col("query_lc")
-    ).select(*columns)
-    contains = names.join(
-        F.broadcast(wanted.where(F.col("match") == "contains")),
-        F.contains(F.col(name), F.col("query_lc")),
-    ).select(*columns)
-    return exact.unionByName(contains)
+    exact = names.join(wanted.where(F.col("match") == "exact"), F.col(name) == F.col("query_lc")).select(*columns)
+    return exact.unionByName(pairs.join(contained, "query_lc").select(*columns))
 
 
 def label_targets(master: DataFrame, registry: DataFrame) -> DataFrame:
     """Slices of all registry targets at once, labelled at each target's own threshold.
 
-    The master's default label is kept as label_default.
+    The master's default label is kept as label_default. The names and their targets are counted first: up to MAX_SENT_ROWS
+    go to the master's rows, however many rows a name has.
     """
-    names = master.select("target_lc").distinct()
-    mapping = match_names(names, registry)
+    names = cut_lineage(master.select("target_lc").distinct())
+    mapping = cut_lineage(match_names(names, registry))
+    if mapping.count() <= MAX_SENT_ROWS:
+        mapping = F.broadcast(mapping)
     return (
         master.withColumnRenamed("label", "label_default")
         .join(mapping, "target_lc")

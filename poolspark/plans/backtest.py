@@ -70,7 +70,7 @@ def run_backtest(
 ) -> Backtest:
     """``rows``: target, mol_id, label, features."""
     if shortlist < batch_size:
-        raise ValueError("candidate_pool_size must be >= batch_size.")
+        raise ValueError("a batch does not fit into a shortlist of candidate_pool_size rows")
     seeds = list(seeds)
     campaigns = campaign_grid(rows, inits, strategies, seeds)
     pool = shared_table(prepare_pool(rows, seeds, test_size, method), "pool")

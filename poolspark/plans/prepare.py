@@ -54,7 +54,7 @@ def prepare_targets(
     featured = shared_table(featurize_targets(sliced, radius, n_bits), "prepared")
     absent = missing_targets(featured, wanted).select("target", "query").collect()
     if absent:
-        raise ValueError("No rows found for " + ", ".join(f"target '{r.target}' using query '{r.query}'" for r in absent))
+        raise ValueError("no name matches " + ", ".join(f"{r.query!r} (target {r.target})" for r in absent))
     require_unique(featured)
     _write_prepared(featured, base_dir, radius, n_bits)
 

@@ -37,7 +37,7 @@ def registry_from_rows(spark: SparkSession, rows: Sequence[tuple] = SHIPPED_TARG
         raise ValueError(f"A registry holds at most {MAX_REGISTRY_ROWS} targets, got {len(rows)}")
     unknown = sorted({r[2] for r in rows if r[2] is not None} - set(MATCH_MODES))
     if unknown:
-        raise ValueError(f"match must be one of: 'exact', 'contains' (got {unknown})")
+        raise ValueError(f"unknown match modes {unknown}, known are {MATCH_MODES}")
     return spark.createDataFrame(list(rows), REGISTRY_SCHEMA).select(
         "target",
         "query",
@@ -60,5 +60,5 @@ def pick_targets(registry: DataFrame, targets: Sequence[str]) -> DataFrame:
     known = [r["target"] for r in registry.select("target").collect()]
     unknown = [t for t in targets if t not in known]
     if unknown:
-        raise ValueError(f"Targets {unknown} not found in the registry. Available targets: {known}")
+        raise ValueError(f"the registry has no targets {unknown}, it has {known}")
     return registry.where(F.col("target").isin(*targets))

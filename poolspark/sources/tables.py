@@ -60,7 +60,7 @@ def read_measurements(
     header = first[0].rstrip("\r").split(sep)
     absent = [c for c in columns if c not in header]
     if absent:
-        raise ValueError(f"Missing required columns: {absent}")
+        raise ValueError(f"the table has no columns {absent}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = spark.read.schema(schema).csv(path, sep=sep, header=True, quote='"', escape='"', enforceSchema=False)
     return raw.select(*[missing_to_null_text(F.col(f"`{c}`")).alias(name) for c, name in columns.items()])
@@ -70,7 +70,7 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Fails on absent columns, then drops rows that miss one of them."""
     absent = [c for c in required if c not in df.columns]
     if absent:
-        raise ValueError(f"Missing required columns: {absent}")
+        raise ValueError(f"the table has no columns {absent}")
     return df.na.drop(subset=list(required))
 
 
@@ -82,7 +82,7 @@ def read_target(spark: SparkSession, path: str, target: str) -> DataFrame:
     """One target of a table partitioned by ``target``; only its directory is listed for reading."""
     part = spark.read.parquet(path).where(F.col("target") == target)
     if part.isEmpty():
-        raise FileNotFoundError(f"No rows for target '{target}' under {path}")
+        raise FileNotFoundError(f"target {target!r} has no rows below {path}")
     return part
 
 

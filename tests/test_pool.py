@@ -57,9 +57,9 @@ def test_grid_and_names(separable):
     grid = pl.campaign_grid(separable, ["random"], ["greedy", "random"], [3, 4])
     assert grid.count() == 8 and grid.select("campaign").distinct().count() == 8
     assert "Cartesian" not in grid._jdf.queryExecution().executedPlan().toString()
-    with pytest.raises(ValueError, match="strategy must be one of"):
+    with pytest.raises(ValueError, match="unknown strategy"):
         pl.campaign_grid(separable, ["random"], ["best"], [1])
-    with pytest.raises(ValueError, match="initialization must be one of"):
+    with pytest.raises(ValueError, match="unknown initialization"):
         pl.campaign_grid(separable, ["corner"], ["greedy"], [1])
 
 
@@ -72,7 +72,7 @@ def test_starting_sets(separable):
     again = pl.init_random(prepared.repartition(7), [0, 1], 5).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     for draw in (pl.init_random, pl.init_diverse):
-        with pytest.raises(ValueError, match="n_initial must be smaller"):
+        with pytest.raises(ValueError, match="leaves nothing to choose"):
             draw(prepared, [0, 1], 96)
 
 
@@ -113,7 +113,7 @@ def test_farthest_points_on_a_line():
     assert farthest_point_order(np.arange(6), x, 0, 4) == [0, 5, 4, 2]
     same = np.zeros((4, 2))
     assert farthest_point_order(np.array([9, 4, 7, 5]), same, 0, 3) == [0, 1, 3]
-    with pytest.raises(ValueError, match="n_select cannot exceed"):
+    with pytest.raises(ValueError, match="rows wanted of"):
         farthest_point_order(np.arange(3), x[:3], 0, 4)
 
 

@@ -61,7 +61,7 @@ def test_uncertain_and_diverse(candidates):
     with pytest.raises(ValueError, match="candidate_pool_size"):
         select.select_uncertainty_diverse(candidates, K, F.lit(1), 8, 7)
     few = candidates.where(F.col("mol_id") < 5)
-    with pytest.raises(PySparkException, match="n_select cannot exceed"):
+    with pytest.raises(PySparkException, match="rows wanted of"):
         select.select_uncertainty_diverse(few, K, F.lit(1), 8, 40).collect()
 
 

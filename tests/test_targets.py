@@ -29,14 +29,35 @@ def test_registry_defaults_and_errors(spark):
     config = {"A": {"query": "a"}, "B": {"query": "b", "match": "exact", "activity_threshold_nM": 50}}
     got = {r.target: (r["match"], r.threshold) for r in registry_from_mapping(spark, config).collect()}
     assert got == {"A": ("contains", 1000.0), "B": ("exact", 50.0)}
-    with pytest.raises(ValueError, match="match must be"):
+    with pytest.raises(ValueError, match="unknown match modes"):
         registry_from_rows(spark, [("A", "a", "regex", None)])
-    with pytest.raises(ValueError, match="Available targets"):
+    with pytest.raises(ValueError, match="the registry has no targets"):
         pick_targets(registry_from_rows(spark), ["EGFR", "NOPE"])
     assert pick_targets(registry_from_rows(spark), ["EGFR"]).count() == 1
     assert registry_from_rows(spark).count() == len(SHIPPED_TARGETS)
 
 
+def test_names_are_found_by_grams_as_by_comparison(spark):
+    """Queries shorter than a gram, empty, repeated, longer than every name, with brackets and beyond ASCII."""
+    names = ["", "a", "ab", "abc", "abcd", "xabcx", "poly [adp-ribose] polymerase 1", "αβγδ kinase", "kinase", "aaaa", "a\U0001f600b c"]
+    texts = ["", "a", "AB", "abc", "abcd", "[ADP", "ribose]", "βγδ", "Kinase", "aaa", "\U0001f600b", "zz", "abcdefgh", "n" * 60, "ab"]
+    registry = registry_from_rows(spark, [(f"T{i}", q, None, None) for i, q in enumerate(texts)] + [("E", "AB", "exact", 1.0)] * 2)
+    frame = spark.createDataFrame([(n,) for n in [*names, None]], "target_lc string")
+    matched = targets.match_names(frame, registry)
+    want = [(n, f"T{i}") for n in names for i, q in enumerate(texts) if q.lower() in n] + [("ab", "E")] * 2
+    assert sorted((r.target_lc, r.target) for r in matched.collect()) == sorted(want)
+    assert "NestedLoop" not in matched._jdf.queryExecution().executedPlan().toString()
+    only_exact = targets.match_names(frame, registry.where("match = 'exact'"))
+    assert only_exact.count() == 2
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_slices_are_the_same_by_broadcast_and_by_shuffle(spark, named, monkeypatch, sent):
+    monkeypatch.setattr(targets, "MAX_SENT_ROWS", sent)
+    sliced = targets.label_targets(named, registry_from_rows(spark, [("P", "poly", None, 10.0), ("E", "EPIDERMAL growth factor receptor", "exact", None)]))
+    assert sorted((r.target, r.entity_key, r.label) for r in sliced.collect()) == [("E", "m4", 0), ("P", "m0", 1), ("P", "m1", 1), ("P", "m2", 0)]
+
+
 def test_label_targets(spark, named):
     reg = registry_from_rows(spark, [("PARP1", NAMES[0], "exact", 5.0), ("POLY", "POLY", None, None), ("GONE", "zzz", "exact", 1.0)])
     got = targets.label_targets(named, reg)
