@@ -8,7 +8,7 @@ from poolspark.catalog import standins as st
 from poolspark.functions.features import DESCRIPTORS
 from poolspark.operators import features, report, targets
 from poolspark.operators.pool import STRATEGIES
-from poolspark.plans.compare import compare_targets, target_cards
+from poolspark.plans.compare import compare_targets, panel_rows, target_cards
 from poolspark.sources.tables import spread
 
 QUERIES = {}
@@ -190,6 +190,12 @@ CARD_COLUMNS = DESCRIPTORS
 
 
 def comparison_report(spark, sf_dir):
+    """The cards of ten targets."""
+    cards = target_cards(comparison(spark, sf_dir), CARD_COLUMNS)
+    return rounded(cards, "best_auc", *[f"median_{c}" for c in CARD_COLUMNS])
+
+
+def comparison(spark, sf_dir):
     """History, metadata and descriptors of the same ten targets (id modulo ten) put side by side."""
     ten = lambda number: F.concat(F.lit("T"), (number % 10).cast("string"))
     profiles = descriptors(spark, sf_dir).withColumn("target", ten(F.col("mol_id")))
@@ -197,8 +203,7 @@ def comparison_report(spark, sf_dir):
     metadata = targets.target_metadata(
         rows.withColumns({"query": F.col("target"), "match": F.lit("exact"), "threshold": F.lit(1000.0)})
     )
-    cards = target_cards(compare_targets(summary(spark, sf_dir), metadata, profiles, CARD_COLUMNS), CARD_COLUMNS)
-    return rounded(cards, "best_auc", *[f"median_{c}" for c in CARD_COLUMNS])
+    return compare_targets(summary(spark, sf_dir), metadata, profiles, CARD_COLUMNS)
 
 
 QUERIES["comparison_report"] = comparison_report
@@ -212,3 +217,17 @@ med AS (SELECT 'T' || CAST(mol_id % 10 AS VARCHAR) AS target,
   {", ".join(f"round(median(CAST({c} AS DOUBLE)), 6) AS median_{c}" for c in CARD_COLUMNS)} FROM profiles GROUP BY 1)
 SELECT target, molecules, active_fraction, CAST(1000.0 AS DOUBLE) AS threshold, ranks.* EXCLUDE (target), best_auc, med.* EXCLUDE (target)
 FROM meta JOIN ranks USING (target) JOIN top USING (target) JOIN med USING (target)"""
+
+QUERIES["comparison_panels"] = lambda spark, sf_dir: rounded(panel_rows(comparison(spark, sf_dir)), "x", "y")
+PANEL_PARTS = (
+    ("auc_heatmap", "target", "strategy", "value", "scaled", SQL["heatmap_norm"]),
+    ("actives_heatmap", "target", "strategy", "value", "scaled", SQL["heatmap_norm"].replace("b.roc_auc_mean AS value", "b.actives_mean AS value")),
+    ("wins", "NULL", "strategy", "wins", "NULL", SQL["win_counts"]),
+    ("pareto", "target", "strategy", "roc_auc_mean", "actives_mean", SQL["pareto"]),
+    ("limits", "NULL", "descriptor", "low", "high", SQL["clip_limits"]),
+    ("correlation", "NULL", "a || ' ' || b", "r", "NULL", SQL["descriptor_corr"]),
+)
+SQL["comparison_panels"] = " UNION ALL ".join(
+    f"SELECT '{panel}' AS panel, CAST({target} AS VARCHAR) AS target, {item} AS item, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM ({rows})"
+    for panel, target, item, x, y, rows in PANEL_PARTS
+)

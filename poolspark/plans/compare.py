@@ -59,3 +59,27 @@ def target_cards(comparison: Comparison, columns: Sequence[str]) -> DataFrame:
         .join(top, "target")
         .join(medians, "target")
     )
+
+
+def panel_rows(comparison: Comparison) -> DataFrame:
+    """Every panel beside the cards as rows (panel, target, item, x, y).
+
+    Heat maps give a cell and its scaled value, wins a count, pareto a point, limits a range, correlation a pair of descriptors.
+    """
+    none = F.lit(None).cast("double")
+    parts = [
+        ("auc_heatmap", comparison.auc_heatmap, F.col("target"), F.col("strategy"), F.col("value"), F.col("scaled")),
+        ("actives_heatmap", comparison.actives_heatmap, F.col("target"), F.col("strategy"), F.col("value"), F.col("scaled")),
+        ("wins", comparison.wins, F.lit(None), F.col("strategy"), F.col("wins"), none),
+        ("pareto", comparison.pareto, F.col("target"), F.col("strategy"), F.col("roc_auc_mean"), F.col("actives_mean")),
+        ("limits", comparison.limits, F.lit(None), F.col("descriptor"), F.col("low"), F.col("high")),
+        ("correlation", comparison.correlation, F.lit(None), F.concat_ws(" ", "a", "b"), F.col("r"), none),
+    ]
+    rows = None
+    for panel, table, target, item, x, y in parts:
+        own = table.select(
+            F.lit(panel).alias("panel"), target.cast("string").alias("target"), item.alias("item"),
+            x.cast("double").alias("x"), y.cast("double").alias("y"),
+        )
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
