@@ -72,12 +72,13 @@ SELECT * EXCLUDE (raw_key) REPLACE (round(dg, 6) AS dg) FROM master WHERE entity
 
 def prepared(spark, sf_dir):
     base = fresh_path(spark, "targets")
-    prepare_targets(spark, dump_master(spark, sf_dir), st.registry(spark), base, TARGETS)
+    prepare_targets(spark, dump_master(spark, sf_dir), st.registry(spark), base, TARGETS, radius=RADIUS)
     return base
 
 
-# Keys shorter than the four characters of an n-gram have no features.
-VALID_SQL = "length(entity_key) >= 4"
+# Keys are short numbers: n-grams of two characters. Those of one digit have no features.
+RADIUS = 1
+VALID_SQL = f"length(entity_key) >= {2 * RADIUS}"
 
 
 def target_slice(spark, sf_dir):
@@ -135,7 +136,7 @@ QUERIES["metadata_round_trip"] = metadata_round_trip
 SQL["metadata_round_trip"] = f"""WITH {st.LABELLED_SQL}
 SELECT target, query, "match", count(*) AS n_molecules_raw, count(*) FILTER (WHERE {VALID_SQL}) AS n_molecules_valid,
   round(avg(label) FILTER (WHERE {VALID_SQL}), 6) AS active_fraction, threshold AS "activity_threshold_nM",
-  CAST(2 AS INTEGER) AS radius, CAST(2048 AS INTEGER) AS n_bits, 'target=' || target AS directory
+  CAST({RADIUS} AS INTEGER) AS radius, CAST(2048 AS INTEGER) AS n_bits, 'target=' || target AS directory
 FROM labelled GROUP BY target, query, "match", threshold"""
 
 

@@ -24,6 +24,12 @@ SUMMARY_SCHEMA = (
     "roc_auc_mean double, roc_auc_std double, actives_mean double, actives_std double"
 )
 
+METADATA_SCHEMA = (
+    "target string, query string, n_molecules_raw bigint, n_molecules_valid bigint, active_fraction double, "
+    "fingerprint struct<type: string, radius: int, n_bits: int>, activity_threshold_nM double, match string, descriptor_set string, "
+    "created_at string, files struct<prepared: string, descriptors: string>"
+)
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt to all cores when the scan has fewer splits than that (few, unsplittable files).
@@ -99,8 +105,9 @@ def read_metadata(spark: SparkSession, path: str, one_per_file: bool = False) ->
     """Metadata documents of any number of targets, one per line as ``write_metadata`` leaves them; ``path`` may be a glob.
 
     ``one_per_file`` reads files that hold a single document over several lines; of further documents nothing would be seen.
+    The schema is declared, since a field that is NULL in all documents is not written.
     """
-    return spark.read.json(path, multiLine=one_per_file)
+    return spark.read.schema(METADATA_SCHEMA).json(path, multiLine=one_per_file)
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("target",)) -> None:

@@ -64,9 +64,10 @@ def test_prepare_end_to_end(spark, dump, tmp_path):
 
 
 def test_metadata_of_many_targets_in_one_file(spark, tmp_path):
-    docs = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "target string, n int").coalesce(1)
+    docs = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "target string, n_molecules_raw int").coalesce(1)
     tables.write_metadata(docs, str(tmp_path / "lines"))
-    assert sorted(tuple(r) for r in tables.read_metadata(spark, str(tmp_path / "lines")).select("target", "n").collect()) == [("A", 1), ("B", 2), ("C", 3)]
+    assert sorted(tuple(r) for r in tables.read_metadata(spark, str(tmp_path / "lines")).select("target", "n_molecules_raw").collect()) == [("A", 1), ("B", 2), ("C", 3)]
+    assert tables.read_metadata(spark, str(tmp_path / "lines")).where("active_fraction IS NULL").count() == 3
     (tmp_path / "one").mkdir()
     for name in "AB":
         (tmp_path / "one" / f"{name}.json").write_text(f'{{\n  "target": "{name}",\n  "n": 7\n}}\n')
