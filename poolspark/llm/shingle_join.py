@@ -7,8 +7,9 @@ A document's set holds its distinct word shingles. Two documents link when
 * Classes are put into bands by size. A pair belongs to the band of its larger set; a class near the upper end of
   its band also goes to the next. Within a band two linked sets differ in ``d`` elements at most, so if the hash range is
   cut into K > d segments, at least K - d segments hold the same elements in both. A tile is (band, segment, content of the segment):
-  linked sets meet in K - d tiles at least. Sets with K - d or more empty segments, rare by choice of K, meet in a tile
-  of their band as well.
+  linked sets meet in K - d tiles at least. Segments that are empty in both make no tile. A set of n elements differs from linked
+  ones of its band in e <= d elements at most, e by its own size; with K - e or more empty segments it is in a tile of the band as well.
+  Few have: in a simulation of 4 / 5 and 85 / 100, at most one in a thousand of the sets of six or more elements.
 * Tile mates are bounded by parity bitmaps of the sets, of a bit for each element or more: the bits in which they differ are no more
   than the elements in which the sets differ, which bounds the overlap from above. A wider bitmap is folded to the width of the other
   one, which gives the parity bitmap of that width. Pairs that pass are decided by intersecting the sorted arrays.
@@ -63,13 +64,15 @@ def tiles_of(u: np.ndarray, num: int, den: int, table: list[tuple[int, int, int]
     largest = n * den // num
     while band < len(table) and table[band][0] <= max(n, largest):
         _, d, k = table[band]
+        high = table[band + 1][0] if band + 1 < len(table) else largest + 1
         if d:
             part = ((u >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             content = np.add.reduceat(mix(u ^ np.uint64(0x2545F4914F6CDD1D)), at)
             salt = mix(np.array([band + 1], np.uint64))[0]
             keys.append(mix(content + part[at] * np.uint64(0x9E3779B97F4A7C15) + salt))
-            if k - len(at) >= k - d:
+            # the largest set of the band that may link with this one bounds what differs more tightly than d
+            if len(at) <= (n + min(high - 1, largest)) * (den - num) // (den + num):
                 keys.append(mix(np.array([salt], np.uint64)))
         band += 1
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)

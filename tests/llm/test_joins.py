@@ -135,6 +135,20 @@ def test_tiles_lose_no_pair():
                 assert set(shingle_join.tiles_of(a, num, den, table, lows).tolist()) & set(shingle_join.tiles_of(b, num, den, table, lows).tolist())
 
 
+def test_unlike_sets_share_no_tile():
+    """Sets without a common element are not gathered in a tile of their band, at any place of the band."""
+    rng = np.random.default_rng(6)
+    for num, den in ((85, 100), (4, 5)):
+        table = shingle_join.bands(num, den)
+        lows = [b[0] for b in table]
+        for n in (30, 110, 380, 400, 474, 600, 1500, 2000):
+            met = {}
+            for _ in range(200):
+                for key in set(shingle_join.tiles_of(np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)), num, den, table, lows).tolist()):
+                    met[key] = met.get(key, 0) + 1
+            assert max(met.values()) <= 3, (num, den, n)
+
+
 def brute_vectors(rows, least):
     fit = {}
     for i, x, label in rows:
