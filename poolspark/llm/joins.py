@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from poolspark.session import cut_lineage, shared_dir, shared_table
+from poolspark.session import Scratch, cut_lineage, shared_table
 
 #: A side of at most this many narrow rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -27,37 +24,6 @@ def free_name(name: str, *tables: DataFrame) -> str:
     return name
 
 
-class Scratch:
-    """Written tables of a job, in a folder of its own below the shared one, that can be dropped before the job ends.
-
-    A table may be dropped once all that is derived from it has been written: then no task, retried or not, reads it again.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.written = 0
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        self.written += 1
-        path = f"{self.base}/{name}-{self.written}"
-        df.write.parquet(path)
-        out = self.spark.read.parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t)))
-            path.getFileSystem(conf).delete(path, True)
-
-    def collect(self) -> None:
-        """Lets Spark drop the shuffle files and checkpoints of plans that nothing refers to any more, which waits for the driver's garbage collector."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
 def join_narrow(left: DataFrame, right: DataFrame, on: list[str], spread: Column, how: str = "inner",
                 rows: int = BROADCAST_ROWS) -> DataFrame:
     """``left`` joined null-safely with ``right``, a written table of narrow rows, one for each key of ``on``.

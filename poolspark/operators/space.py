@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from poolspark.functions.features import DEFAULT_BITS
 from poolspark.operators.matrix import dense_rows
 from poolspark.operators.ranking import top_k
-from poolspark.session import BROADCAST_BYTES, cut_lineage, shared_table
+from poolspark.session import BROADCAST_BYTES, Scratch, cut_lineage, shared_table
 
 N_COMPONENTS = 10
 PANEL_PAIRS = ((1, 2), (1, 3), (2, 3))
@@ -207,8 +207,14 @@ def overlay(projected: DataFrame, tags: DataFrame, keys: Sequence[str]) -> DataF
 # Nearest neighbours -----------------------------------------------------------------------------
 
 N_NEIGHBORS = 15
-# Rows per block; two blocks meet in one task.
-BLOCK_ROWS = 4096
+# Rows per block; two blocks meet in one task, which holds a bit for each entry of them.
+BLOCK_ROWS = 65536
+# Small tables have more and smaller blocks than that, so that all cores have work.
+LEAST_BLOCKS, LEAST_ROWS = 8, 2048
+# Steps between blocks that meet in one round; a row is copied twice for each.
+ROUND_STEPS = 5
+# Rows of a block that are compared at once, as 0/1 numbers: queries and candidates.
+TILE_ROWS = (1024, 4096)
 
 
 def knn_jaccard(
@@ -218,18 +224,20 @@ def knn_jaccard(
     """Exact k-nearest-neighbour edges by Jaccard distance: src, dst, dist, rank; ties by smaller id.
 
     Identical fingerprints are searched once, so a large group of copies costs one search. Distinct
-    fingerprints are dealt to blocks of fixed size, and each pair of blocks is one task that keeps
-    only the k best per row: no pair table is ever built, whatever the data look like. The number
-    of comparisons is quadratic in the distinct fingerprints, as for any exact search.
+    fingerprints, a bit for each entry, are dealt to blocks of fixed size, and each pair of blocks is one task
+    that keeps only the k best per row: no pair table is ever built, whatever the data look like. Blocks meet in
+    rounds, each of which copies a row to a fixed number of tasks and leaves the k best found so far, so what is
+    stored grows with the rows. The number of comparisons is quadratic in the distinct fingerprints.
     """
+    scratch = Scratch(df.sparkSession, "neighbours")
     # Written once: the rows are read again when the result is expanded to all copies.
-    rows = shared_table(df.select(F.col(row_id).alias("src"), F.col(fp).alias("fp")), "bits").where(F.size("fp") > 0)
+    rows = scratch.table(df.select(F.col(row_id).alias("src"), _packed(n_bits)(F.col(fp)).alias("fp")), "bits").where("fp is not null")
     first = top_k(rows, ["fp"], [F.col("src")], k + 1, "_r")
     # At most k + 1 ids per group: enough to serve as neighbours of a copy or of another group.
     unique = first.groupBy("fp").agg(F.array_sort(F.collect_list("src")).alias("ids"))
-    unique = shared_table(unique.withColumn("gid", F.element_at("ids", 1)), "fingerprints")
+    unique = scratch.table(unique.withColumn("gid", F.element_at("ids", 1)), "fingerprints")
 
-    found = _nearest_groups(unique.select("gid", "fp"), k, n_bits, block_rows)
+    found = _nearest_groups(unique.select("gid", "fp"), k, n_bits, block_rows, scratch)
     members = unique.select(F.col("gid").alias("other"), F.col("ids").alias("other_ids"))
     expanded = found.join(members, "other").groupBy("gid").agg(
         F.flatten(F.collect_list(F.transform("other_ids", lambda i: F.struct(F.col("dist"), i.alias("dst"))))).alias("near")
@@ -244,55 +252,120 @@ def knn_jaccard(
     return edges.select("src", "edge.dst", "edge.dist", (F.col("rank") + 1).alias("rank"))
 
 
+def _packed(n_bits: int):
+    """On-bits as bytes, a bit for each entry; NULL where there are none."""
+
+    @F.pandas_udf("binary")
+    def packed(bits: pd.Series) -> pd.Series:
+        held = np.flatnonzero(bits.str.len().fillna(0) > 0)
+        x = np.zeros((len(held), n_bits), np.uint8)
+        if len(held):
+            on = bits.iloc[held]
+            x[np.repeat(np.arange(len(held)), on.str.len().astype(int)), np.concatenate(on.to_numpy())] = 1
+        out = np.full(len(bits), None, dtype=object)
+        out[held] = [row.tobytes() for row in np.packbits(x, axis=1)]
+        return pd.Series(out)
+
+    return packed
+
+
 NEAREST_SCHEMA = "gid bigint, other bigint, dist double"
 
 
-def _nearest_groups(unique: DataFrame, k: int, n_bits: int, block_rows: int) -> DataFrame:
+def _nearest_groups(unique: DataFrame, k: int, n_bits: int, block_rows: int, scratch: Scratch) -> DataFrame:
     """gid, other, dist: the k nearest other fingerprints of each fingerprint."""
-    n_blocks = max(1, -(-unique.count() // block_rows))
-    block = F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("int")
-    # A row of block b takes part in the pairs (b, j) and (i, b): n_blocks pairs in all.
-    partners = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    placed = unique.withColumn("own", block).withColumn("_p", partners)
-    placed = placed.select("gid", "fp", "own", F.least("own", "_p").alias("left"), F.greatest("own", "_p").alias("right"))
+    n = unique.count()
+    n_blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
+    own = F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("int")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = group["left"].iloc[0], group["right"].iloc[0]
-        a, b = group[group["own"] == left], group[group["own"] == right]
-        parts = [nearest_jaccard(a, b, k, n_bits)]
-        if left != right:
-            parts.append(nearest_jaccard(b, a, k, n_bits))
-        return pd.concat(parts, ignore_index=True)
-
-    found = placed.groupBy("left", "right").applyInPandas(search, NEAREST_SCHEMA)
-    return top_k(found, ["gid"], [F.col("dist"), F.col("other")], k).drop("rank")
-
-
-def nearest_jaccard(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, n_bits: int, chunk: int = 512) -> pd.DataFrame:
-    """The k nearest candidates of each query, by (distance, id), a chunk of queries at a time."""
-    ids = candidates["gid"].to_numpy()
-    dense = bit_matrix(candidates["fp"], n_bits)
-    sizes = dense.sum(axis=1)
-    out = []
-    for start in range(0, len(queries), chunk):
-        part = queries.iloc[start : start + chunk]
-        x = bit_matrix(part["fp"], n_bits)
-        shared = (x @ dense.T).astype(np.float64)
-        dist = 1.0 - shared / (x.sum(axis=1)[:, None] + sizes[None, :] - shared)
-        for gid, d in zip(part["gid"].to_numpy(), dist):
-            at = np.flatnonzero(ids != gid)
-            if len(at) > k:
-                at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
-            at = at[np.lexsort((ids[at], d[at]))[:k]]
-            out.append((gid, ids[at], d[at]))
-    if not out:
-        return pd.DataFrame({"gid": [], "other": [], "dist": []})
-    gids, others, dists = zip(*out)
-    return pd.DataFrame({"gid": np.repeat(gids, [len(o) for o in others]), "other": np.concatenate(others), "dist": np.concatenate(dists)})
-
-
-def bit_matrix(bits: pd.Series, n_bits: int) -> np.ndarray:
-    x = np.zeros((len(bits), n_bits), dtype=np.float32)
-    if len(bits):
-        x[np.repeat(np.arange(len(bits)), bits.str.len()), np.concatenate(bits.to_numpy())] = 1.0
-    return x
+        a, b = (group[group["right"] == side] for side in (False, True))
+        return nearest_jaccard(a, b if group["step"].iloc[0] else None, k, n_bits)
+
+    best = None
+    for start in range(0, n_blocks // 2 + 1, ROUND_STEPS):
+        # Block b meets block b + step, counted in a ring; half a ring away each pair would come twice.
+        sides = []
+        for step in range(start, min(start + ROUND_STEPS, n_blocks // 2 + 1)):
+            for right in (False, True)[: 2 if step else 1]:
+                left = F.pmod(F.col("own") - (step if right else 0), F.lit(n_blocks))
+                met = left < step if 2 * step == n_blocks else F.lit(True)
+                sides.append(F.struct(left.alias("left"), F.lit(step).alias("step"), F.lit(right).alias("right"), met.alias("met")))
+        placed = unique.withColumn("own", own).select("gid", "fp", F.inline(F.filter(F.array(*sides), lambda s: s["met"]))).drop("met")
+        pairs = n_blocks * min(ROUND_STEPS, n_blocks // 2 + 1 - start)
+        found = placed.repartition(pairs, "left", "step").groupBy("left", "step").applyInPandas(search, NEAREST_SCHEMA)
+        if best is not None:
+            found = found.unionByName(best)
+        old, best = best, scratch.table(top_k(found, ["gid"], [F.col("dist"), F.col("other")], k).drop("rank"), "nearest")
+        if old is not None:
+            scratch.drop(old)
+        del found, placed
+        scratch.collect()
+    return best
+
+
+def nearest_jaccard(left: pd.DataFrame, right: pd.DataFrame | None, k: int, n_bits: int) -> pd.DataFrame:
+    """The k nearest in ``right`` of each row of ``left`` and the other way round, by (distance, id); without ``right``, within ``left``.
+
+    Rows (gid, fp) come as packed bits. A tile of counts of shared bits serves both sides. Both are in order of ids, so of a later tile
+    only rows that are nearer than the k-th best so far can matter.
+    """
+    sides = [s.sort_values("gid", kind="stable") for s in (left, right) if s is not None]
+    ids = [s["gid"].to_numpy() for s in sides]
+    bits = [np.frombuffer(b"".join(s["fp"]), np.uint8).reshape(len(s), -(-n_bits // 8)) for s in sides]
+    best = [Nearest(len(i), k) for i in ids]
+    # A quotient of whole numbers up to 2048 has its own place among numbers of single precision.
+    real = np.float32 if n_bits <= 2048 else np.float64
+    sizes = [np.bitwise_count(b).sum(axis=1, dtype=np.int64).astype(real) for b in bits]
+    dense = lambda part: np.unpackbits(part, axis=1).astype(np.float32)
+    high, wide = TILE_ROWS
+    for c in range(0, len(ids[-1]), wide):
+        columns = dense(bits[-1][c : c + wide]).T
+        for r in range(0, len(ids[0]), high):
+            shared = (dense(bits[0][r : r + high]) @ columns).astype(real, copy=False)
+            either = sizes[0][r : r + high, None] + sizes[-1][None, c : c + wide] - shared
+            near = shared / either
+            if right is None:
+                near[ids[0][r : r + high, None] == ids[0][None, c : c + wide]] = -1
+            best[0].meet(r, near, shared, either, ids[-1][c : c + wide])
+            if right is not None:
+                best[1].meet(c, near.T, shared.T, either.T, ids[0][r : r + high])
+    parts = [b.rows(i) for b, i in zip(best, ids)]
+    gid, other, near = (np.concatenate(x) for x in zip(*parts))
+    return pd.DataFrame({"gid": gid, "other": other, "dist": 1.0 - near})
+
+
+class Nearest:
+    """The k nearest of each of ``n`` rows among those met so far, which come in order of their ids."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.near, self.ids = k, np.full((n, k), -1.0), np.zeros((n, k), np.int64)
+
+    def meet(self, start: int, near: np.ndarray, shared: np.ndarray, either: np.ndarray, ids: np.ndarray) -> None:
+        """``near`` = shared / either: similarity of the rows from ``start`` on to ``ids``, -1 for those to be left out."""
+        k, own = self.k, slice(start, start + len(near))
+        least = self.near[own, -1].astype(near.dtype)
+        if least.max() < 0 and near.shape[1] > k:
+            near = np.ascontiguousarray(near)
+            least = np.partition(near, -k, axis=1)[:, -k]
+            ties = (near == least[:, None]) & (least >= 0)[:, None]
+            mask = (near > least[:, None]) | ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k)
+        else:
+            mask = near > least[:, None]
+        at, column = np.nonzero(mask) if mask.flags.c_contiguous else np.nonzero(mask.T)[::-1]  # in the order of memory
+        if not len(at):
+            return
+        rows = np.unique(at)
+        row = np.concatenate([np.repeat(rows, k), at])
+        value = np.concatenate([self.near[own][rows].ravel(), shared[at, column].astype(np.float64) / either[at, column]])
+        id_ = np.concatenate([self.ids[own][rows].ravel(), ids[column]])
+        order = np.lexsort((id_, -value, row))
+        row, value, id_ = row[order], value[order], id_[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < k
+        self.near[start + row[kept], place[kept]] = value[kept]
+        self.ids[start + row[kept], place[kept]] = id_[kept]
+
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = self.near >= 0
+        return np.repeat(ids, known.sum(axis=1)), self.ids[known], self.near[known]

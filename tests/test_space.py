@@ -104,6 +104,29 @@ def test_neighbours_equal_brute_force(spark, block_rows):
         assert [(round(d, 12), j) for _, d, j in rows] == [(round(d, 12), j) for d, j in want[i]]
 
 
+@pytest.mark.parametrize("n_bits", [2048, 4000])
+def test_neighbours_in_rounds_equal_brute_force(spark, monkeypatch, n_bits):
+    """Each round copies a row to a fixed number of tasks as a bit for each entry, and leaves one table; tiles are smaller than blocks."""
+    for name, value in (("ROUND_STEPS", 1), ("LEAST_ROWS", 9), ("TILE_ROWS", (4, 5))):
+        monkeypatch.setattr(space, name, value)
+    made, table = [], space.Scratch.table
+
+    def kept(scratch, df, name):
+        made.append((scratch, name, df.dtypes))
+        return table(scratch, df, name)
+
+    monkeypatch.setattr(space.Scratch, "table", kept)
+    rng = np.random.default_rng(8)
+    fps = {int(i): frozenset(int(b) for b in rng.choice(24 if i % 3 else n_bits, rng.integers(1, 20), replace=False)) for i in rng.permutation(90)}
+    rows = [(i, sorted(bits)) for i, bits in fps.items()] + [(999, []), (998, None)]
+    found = {}
+    for r in space.knn_jaccard(spark.createDataFrame(rows, "mol_id bigint, fp array<int>"), 4, n_bits=n_bits).collect():
+        found.setdefault(r.src, []).append((r["rank"], r.dist, r.dst))
+    assert {i: [(d, j) for _, d, j in sorted(v)] for i, v in found.items()} == brute(fps, 4)
+    assert ("fp", "binary") in made[0][2] and [name for _, name, _ in made].count("nearest") == 5
+    assert sum("nearest" in path for path in made[0][0].paths.values()) == 1
+
+
 def test_single_row_has_no_neighbours(spark):
     df = spark.createDataFrame([(1, [3])], "mol_id bigint, fp array<int>")
     assert space.knn_jaccard(df, 3).count() == 0
