@@ -18,9 +18,11 @@ QUERIES = {}
 SQL = {}
 
 
-def fingerprints(spark, sf_dir, method="md5"):
-    """Four-word shingles of whole texts."""
+def fingerprints(spark, sf_dir, method="md5", wanted=None):
+    """Four-word shingles of whole texts; of the documents in ``wanted`` (doc_id), where given."""
     docs = spread(st.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    if wanted is not None:
+        docs = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
     return features.featurize(docs, "text", unit="word", method=method).select("doc_id", "fp")
 
 
@@ -116,7 +118,7 @@ QUERIES["projection_panel"] = projection_panel
 def neighbour_panel(spark, sf_dir):
     """The neighbour map of the labelled documents on the first two components of their fingerprints."""
     labels = st.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = shared_table(features.align(fingerprints(spark, sf_dir), labels, ["doc_id"]), "labelled-bits")
+    rows = shared_table(features.align(fingerprints(spark, sf_dir, wanted=labels), labels, ["doc_id"]), "labelled-bits")
     projected, _ = space.fit_pca(features.dense_bits(rows).withColumn("target", F.lit("documents")).drop("fp"), 2)
     drawn = panels.neighbour_panel(space.knn_jaccard(rows, row_id="doc_id"), projected, "doc_id")
     return drawn.withColumns({c: F.round(c, 6) for c in ("dist", "src_x", "src_y", "dst_x", "dst_y")})

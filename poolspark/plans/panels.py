@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from poolspark.operators import pool, report, space
 from poolspark.plans.backtest import Backtest
+from poolspark.session import shared_table
 
 
 def campaign_state(run: Backtest) -> DataFrame:
@@ -70,11 +71,12 @@ def projection_panel(projected: DataFrame, variance: DataFrame, neighbours: Data
 def neighbour_panel(edges: DataFrame, projected: DataFrame, row_id: str = "mol_id") -> DataFrame:
     """The neighbour map drawn on the first two components: every edge with the coordinates and labels of both ends."""
 
+    # Written once: both ends read the coordinates, and a projection makes them from all features.
+    x, y = (F.element_at("embedding", i).alias(name) for i, name in ((1, "x"), (2, "y")))
+    points = shared_table(projected.select(F.col(row_id).alias("at"), x, y, "label"), "points")
+
     def end(name):
-        return projected.select(
-            F.col(row_id).alias(name), F.element_at("embedding", 1).alias(f"{name}_x"), F.element_at("embedding", 2).alias(f"{name}_y"),
-            F.col("label").alias(f"{name}_label"),
-        )
+        return points.select(F.col("at").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("x", "y", "label")])
 
     return edges.join(end("src"), "src").join(end("dst"), "dst")
 

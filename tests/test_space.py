@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from poolspark.operators import space
+from poolspark.catalog import spaces
+from poolspark.operators import features, space
 from poolspark.plans import panels
 
 
@@ -77,6 +78,30 @@ def test_neighbour_panel_places_both_ends(spark):
         (1, 2, 1.0, -1.0, 2.0, 0, 1), (2, 1, 2.0, -2.0, 1.0, 1, 0), (3, 1, 3.0, -3.0, 1.0, 1, 0)}
 
 
+def test_neighbour_panel_projects_each_row_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def embedding(i):
+        made.add(1)
+        return [float(i), 0.0]
+
+    rows = spark.createDataFrame([(i, [i, i + 1], 0) for i in range(6)], "mol_id bigint, fp array<int>, label int")
+    assert panels.neighbour_panel(space.knn_jaccard(rows, 2, n_bits=8), rows.withColumn("embedding", embedding("mol_id"))).count() == 12
+    assert made.value == 6
+
+
+def test_fingerprints_of_wanted_documents(spark, tmp_path):
+    """Only their texts are read through; the rows are those of all fingerprints joined to the labels, repeats included."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(6))
+    spark.createDataFrame([(i, text(i)) for i in (1, 2, 2, 3)] + [(4, "too short"), (None, text(5))], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id bigint, label int")
+    few = spaces.fingerprints(spark, str(tmp_path), wanted=labels)
+    assert sorted(r.doc_id for r in few.collect()) == [2, 2, 3]
+    rows = lambda fps: sorted(map(str, features.align(fps, labels, ["doc_id"]).collect()))
+    assert rows(few) == rows(spaces.fingerprints(spark, str(tmp_path))) and len(rows(few)) == 5
+
+
 def brute(fps, k):
     out = {}
     for i, a in fps.items():
