@@ -208,13 +208,17 @@ def overlay(projected: DataFrame, tags: DataFrame, keys: Sequence[str]) -> DataF
 
 N_NEIGHBORS = 15
 # Rows per block; two blocks meet in one task, which holds a bit for each entry of them.
-BLOCK_ROWS = 65536
+BLOCK_ROWS = 32768
 # Small tables have more and smaller blocks than that, so that all cores have work.
 LEAST_BLOCKS, LEAST_ROWS = 8, 2048
 # Steps between blocks that meet in one round; a row is copied twice for each.
 ROUND_STEPS = 5
-# Rows of a block that are compared at once, as 0/1 numbers: queries and candidates.
-TILE_ROWS = (1024, 4096)
+# Rows of a block that are compared at once: queries, entry by entry, and candidates, 64 to a word.
+TILE_ROWS = (128, 4096)
+# Rows that are compared with each other as 0/1 numbers, for a first bound of their k-th best.
+SEED_ROWS = 1024
+# Up to so many new neighbours of a row are put in place one by one, more are sorted with those it has.
+FEW = 8
 
 
 def knn_jaccard(
@@ -225,9 +229,10 @@ def knn_jaccard(
 
     Identical fingerprints are searched once, so a large group of copies costs one search. Distinct
     fingerprints, a bit for each entry, are dealt to blocks of fixed size, and each pair of blocks is one task
-    that keeps only the k best per row: no pair table is ever built, whatever the data look like. Blocks meet in
-    rounds, each of which copies a row to a fixed number of tasks and leaves the k best found so far, so what is
-    stored grows with the rows. The number of comparisons is quadratic in the distinct fingerprints.
+    that keeps only the k best per row: no pair table is ever built, whatever the data look like. Blocks meet
+    themselves first and then each other in rounds, each of which copies a row to a fixed number of tasks, with the
+    similarity that it has to reach by now, and leaves the k best found so far, so what is stored grows with the
+    rows. The number of comparisons is quadratic in the distinct fingerprints.
     """
     scratch = Scratch(df.sparkSession, "neighbours")
     # Written once: the rows are read again when the result is expanded to all copies.
@@ -277,95 +282,226 @@ def _nearest_groups(unique: DataFrame, k: int, n_bits: int, block_rows: int, scr
     n = unique.count()
     n_blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, -(-n // LEAST_ROWS)))
     own = F.pmod(F.xxhash64("gid"), F.lit(n_blocks)).cast("int")
+    tiles, seed_rows = TILE_ROWS, SEED_ROWS
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         a, b = (group[group["right"] == side] for side in (False, True))
-        return nearest_jaccard(a, b if group["step"].iloc[0] else None, k, n_bits)
+        return nearest_jaccard(a, b if group["step"].iloc[0] else None, k, n_bits, tiles, seed_rows)
 
-    best = None
-    for start in range(0, n_blocks // 2 + 1, ROUND_STEPS):
+    best, last = None, n_blocks // 2
+    for start, end in [(0, 1), *((i, min(i + ROUND_STEPS, last + 1)) for i in range(1, last + 1, ROUND_STEPS))]:
         # Block b meets block b + step, counted in a ring; half a ring away each pair would come twice.
         sides = []
-        for step in range(start, min(start + ROUND_STEPS, n_blocks // 2 + 1)):
+        for step in range(start, end):
             for right in (False, True)[: 2 if step else 1]:
                 left = F.pmod(F.col("own") - (step if right else 0), F.lit(n_blocks))
                 met = left < step if 2 * step == n_blocks else F.lit(True)
                 sides.append(F.struct(left.alias("left"), F.lit(step).alias("step"), F.lit(right).alias("right"), met.alias("met")))
-        placed = unique.withColumn("own", own).select("gid", "fp", F.inline(F.filter(F.array(*sides), lambda s: s["met"]))).drop("met")
-        pairs = n_blocks * min(ROUND_STEPS, n_blocks // 2 + 1 - start)
-        found = placed.repartition(pairs, "left", "step").groupBy("left", "step").applyInPandas(search, NEAREST_SCHEMA)
+        rows = unique.withColumn("least", F.lit(-1.0))
+        if best is not None:
+            least = F.when(F.count("dist") == k, 1 - F.max("dist")).otherwise(-1.0)
+            rows = unique.join(best.groupBy("gid").agg(least.alias("least")), "gid", "left")
+        placed = rows.withColumn("own", own).select("gid", "fp", "least", F.inline(F.filter(F.array(*sides), lambda s: s["met"]))).drop("met")
+        # Four times as many partitions as pairs of blocks, so that few tasks get several of them.
+        found = placed.repartition(4 * n_blocks * (end - start), "left", "step").groupBy("left", "step").applyInPandas(search, NEAREST_SCHEMA)
         if best is not None:
             found = found.unionByName(best)
         old, best = best, scratch.table(top_k(found, ["gid"], [F.col("dist"), F.col("other")], k).drop("rank"), "nearest")
         if old is not None:
             scratch.drop(old)
-        del found, placed
+        del found, placed, rows
         scratch.collect()
     return best
 
 
-def nearest_jaccard(left: pd.DataFrame, right: pd.DataFrame | None, k: int, n_bits: int) -> pd.DataFrame:
+def nearest_jaccard(
+    left: pd.DataFrame, right: pd.DataFrame | None, k: int, n_bits: int, tiles: tuple[int, int] = TILE_ROWS, seed_rows: int = SEED_ROWS,
+) -> pd.DataFrame:
     """The k nearest in ``right`` of each row of ``left`` and the other way round, by (distance, id); without ``right``, within ``left``.
 
-    Rows (gid, fp) come as packed bits. A tile of counts of shared bits serves both sides. Both are in order of ids, so of a later tile
-    only rows that are nearer than the k-th best so far can matter.
+    Rows (gid, fp, least) come as packed bits with the similarity below which a neighbour is of no use (-1: none is known). Rows are
+    in order of their numbers of bits; of two groups, the one with fewer is read entry by entry. Shared bits are counted 64 pairs to a
+    word; only pairs that can be among the k nearest of either row are then looked at one by one.
     """
-    sides = [s.sort_values("gid", kind="stable") for s in (left, right) if s is not None]
-    ids = [s["gid"].to_numpy() for s in sides]
-    bits = [np.frombuffer(b"".join(s["fp"]), np.uint8).reshape(len(s), -(-n_bits // 8)) for s in sides]
-    best = [Nearest(len(i), k) for i in ids]
-    # A quotient of whole numbers up to 2048 has its own place among numbers of single precision.
-    real = np.float32 if n_bits <= 2048 else np.float64
-    sizes = [np.bitwise_count(b).sum(axis=1, dtype=np.int64).astype(real) for b in bits]
-    dense = lambda part: np.unpackbits(part, axis=1).astype(np.float32)
-    high, wide = TILE_ROWS
-    for c in range(0, len(ids[-1]), wide):
-        columns = dense(bits[-1][c : c + wide]).T
-        for r in range(0, len(ids[0]), high):
-            shared = (dense(bits[0][r : r + high]) @ columns).astype(real, copy=False)
-            either = sizes[0][r : r + high, None] + sizes[-1][None, c : c + wide] - shared
-            near = shared / either
-            if right is None:
-                near[ids[0][r : r + high, None] == ids[0][None, c : c + wide]] = -1
-            best[0].meet(r, near, shared, either, ids[-1][c : c + wide])
-            if right is not None:
-                best[1].meet(c, near.T, shared.T, either.T, ids[0][r : r + high])
-    parts = [b.rows(i) for b, i in zip(best, ids)]
-    gid, other, near = (np.concatenate(x) for x in zip(*parts))
+    high, wide = tiles
+    sides = [Fingerprints(s, k, n_bits, wide) for s in (left, right) if s is not None]
+    a, b = sides[0], sides[-1]
+    if right is None:
+        # Rows of all sizes meet first: the nearest of a small row need not be small.
+        chunk = np.arange(len(a.ids)) % -(-len(a.ids) // seed_rows)
+        for number in range(chunk.max() + 1):
+            a.meet_all(np.flatnonzero(chunk == number))
+    for one, other in ((a, b), (b, a))[: len(sides)]:
+        for g, rows in enumerate(one.groups):
+            met = [
+                t for t, tile in enumerate(other.groups)
+                if (t >= g if one is other else one.middle[g] < other.middle[t] or one.middle[g] == other.middle[t] and one is a)
+            ]
+            for start in range(rows.start, rows.stop, high) if met else ():
+                batch = np.arange(start, min(start + high, rows.stop))
+                entries = one.entries(batch)
+                for t in met:
+                    i, j, shared = one.may_be_near(batch, entries, other, t)
+                    if one is other:
+                        new = (j > i) & (chunk[i] != chunk[j]) & (one.ids[i] != one.ids[j])
+                        i, j, shared = i[new], j[new], shared[new]
+                    near = shared / (one.sizes[i] + other.sizes[j] - shared)
+                    one.add(i, near, other.ids[j])
+                    other.add(j, near, one.ids[i])
+    gid, other, near = (np.concatenate(x) for x in zip(*(s.rows() for s in sides)))
     return pd.DataFrame({"gid": gid, "other": other, "dist": 1.0 - near})
 
 
-class Nearest:
-    """The k nearest of each of ``n`` rows among those met so far, which come in order of their ids."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.near, self.ids = k, np.full((n, k), -1.0), np.zeros((n, k), np.int64)
-
-    def meet(self, start: int, near: np.ndarray, shared: np.ndarray, either: np.ndarray, ids: np.ndarray) -> None:
-        """``near`` = shared / either: similarity of the rows from ``start`` on to ``ids``, -1 for those to be left out."""
-        k, own = self.k, slice(start, start + len(near))
-        least = self.near[own, -1].astype(near.dtype)
-        if least.max() < 0 and near.shape[1] > k:
-            near = np.ascontiguousarray(near)
-            least = np.partition(near, -k, axis=1)[:, -k]
-            ties = (near == least[:, None]) & (least >= 0)[:, None]
-            mask = (near > least[:, None]) | ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= k)
-        else:
-            mask = near > least[:, None]
-        at, column = np.nonzero(mask) if mask.flags.c_contiguous else np.nonzero(mask.T)[::-1]  # in the order of memory
-        if not len(at):
+class Fingerprints:
+    """Rows in order of their numbers of bits, in groups of ``wide`` at most, with the k nearest of each among those met so far."""
+
+    def __init__(self, rows: pd.DataFrame, k: int, n_bits: int, wide: int) -> None:
+        self.k, n = k, len(rows)
+        bits = np.frombuffer(b"".join(rows["fp"]), np.uint8).reshape(n, -(-n_bits // 8))
+        sizes = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        order = np.argsort(sizes, kind="stable")
+        self.bits, self.sizes, self.ids = bits[order], sizes[order], rows["gid"].to_numpy()[order]
+        self.least = rows["least"].fillna(-1.0).to_numpy()[order] if "least" in rows else np.full(n, -1.0)
+        self.near, self.others = np.full((n, k), -1.0), np.zeros((n, k), np.int64)
+        cuts = np.linspace(0, n, -(-n // wide) + 1).astype(int) if n else [0]
+        self.groups = [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:])]
+        self.middle = [int(self.sizes[(g.start + g.stop) // 2]) for g in self.groups]
+        self.words = [bit_columns(self.bits[g]) for g in self.groups]
+
+    def entries(self, batch: np.ndarray) -> np.ndarray:
+        """On-bits of the rows, a column for each row, filled up with the number of a column without bits."""
+        row, bit = np.nonzero(np.unpackbits(self.bits[batch], axis=1))
+        size = self.sizes[batch]
+        out = np.full((size.max(), len(batch)), 8 * self.bits.shape[1])
+        out[np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), row] = bit
+        return out
+
+    def bound(self, rows) -> np.ndarray:
+        """A similarity that the k nearest of these rows reach."""
+        return np.maximum(self.near[rows, -1], self.least[rows])
+
+    def may_be_near(self, batch: np.ndarray, entries: np.ndarray, other: Fingerprints, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, row of ``other``, shared bits) of all pairs of the batch and group ``t`` whose similarity reaches the bound of either."""
+        tile = other.groups[t]
+        starts = np.arange(tile.start, tile.stop, 64)
+        size, fewest, most = self.sizes[batch, None], other.sizes[starts], other.sizes[np.minimum(starts + 63, tile.stop - 1)]
+        bound = np.minimum(self.bound(batch)[:, None], np.minimum.reduceat(other.bound(tile), starts - tile.start))
+        bound = np.maximum(bound, 0.0)
+        # For each word: shared / (size + other size - shared) >= bound, with room for rounding.
+        wanted = np.ceil(bound * (size + fewest) / (1.0 + bound) - 1e-6).astype(np.int64)
+        can = wanted <= np.minimum(size, most)
+        kept = np.flatnonzero(can.any(axis=1))
+        if not len(kept):
+            return (np.zeros(0, np.int64),) * 3
+        planes = column_counts(other.words[t], entries[: self.sizes[batch[kept]].max(), kept])
+        wanted, can = wanted[kept], can[kept] & (wanted[kept] >> len(planes) == 0)
+        reached = np.where(can, ~np.uint64(0), np.uint64(0))
+        for w, plane in enumerate(planes):
+            needs = -(wanted >> w & 1).view(np.uint64)
+            reached = plane & reached | ~needs & (plane | reached)
+        reached[~can] = 0
+        row, word = np.nonzero(reached)
+        at, bit = np.nonzero(np.unpackbits(reached[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        row, word = row[at], word[at]
+        column = 64 * word + bit
+        real = column < tile.stop - tile.start
+        row, word, bit, column = row[real], word[real], bit[real].astype(np.uint64), column[real]
+        shared = np.zeros(len(row), np.int64)
+        for w, plane in enumerate(planes):
+            shared += (plane[row, word] >> bit & np.uint64(1)).astype(np.int64) << w
+        return batch[kept[row]], tile.start + column, shared
+
+    def meet_all(self, rows: np.ndarray) -> None:
+        """Each of these rows meets those with another id."""
+        x = np.unpackbits(self.bits[rows], axis=1).astype(np.float32)
+        shared = (x @ x.T).astype(np.float64)
+        near = shared / (self.sizes[rows, None] + self.sizes[None, rows] - shared)
+        near[self.ids[rows, None] == self.ids[None, rows]] = -1.0
+        k = min(self.k, len(rows) - 1)
+        if k:
+            i, j = np.nonzero(near >= np.maximum(np.partition(near, -k, axis=1)[:, -k], 0.0)[:, None])
+            self.add(rows[i], near[i, j], self.ids[rows[j]])
+
+    def add(self, at: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
+        """Rows ``at`` have met ``ids``."""
+        last = self.near[at, -1]
+        useful = ((near > last) | (near == last) & (ids < self.others[at, -1])) & (near >= self.least[at] - 1e-9)
+        if not useful.any():
             return
-        rows = np.unique(at)
-        row = np.concatenate([np.repeat(rows, k), at])
-        value = np.concatenate([self.near[own][rows].ravel(), shared[at, column].astype(np.float64) / either[at, column]])
-        id_ = np.concatenate([self.ids[own][rows].ravel(), ids[column]])
+        order = np.flatnonzero(useful)[np.argsort(at[useful], kind="stable")]
+        at, near, ids = at[order], near[order], ids[order]
+        rows, first, count = np.unique(at, return_index=True, return_counts=True)
+        many = count > FEW
+        if many.any():
+            self._merge(rows[many], *(x[np.repeat(many, count)] for x in (at, near, ids)))
+        first, count = first[~many], count[~many]
+        for place in range(count.max(initial=0)):
+            new = first[count > place] + place
+            self._insert(at[new], near[new, None], ids[new, None])
+
+    def _insert(self, rows: np.ndarray, value: np.ndarray, id_: np.ndarray) -> None:
+        """One more neighbour of each of these rows."""
+        near, others = self.near[rows], self.others[rows]
+        ahead = (near > value) | (near == value) & (others < id_)
+        here = np.arange(self.k) == ahead.sum(axis=1)[:, None]
+        for held, kept, new in ((self.near, near, value), (self.others, others, id_)):
+            held[rows] = np.where(ahead, kept, np.where(here, new, np.roll(kept, 1, axis=1)))
+
+    def _merge(self, rows: np.ndarray, at: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
+        row = np.concatenate([np.repeat(rows, self.k), at])
+        value = np.concatenate([self.near[rows].ravel(), near])
+        id_ = np.concatenate([self.others[rows].ravel(), ids])
         order = np.lexsort((id_, -value, row))
         row, value, id_ = row[order], value[order], id_[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < k
-        self.near[start + row[kept], place[kept]] = value[kept]
-        self.ids[start + row[kept], place[kept]] = id_[kept]
+        kept = place < self.k
+        self.near[row[kept], place[kept]] = value[kept]
+        self.others[row[kept], place[kept]] = id_[kept]
 
-    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         known = self.near >= 0
-        return np.repeat(ids, known.sum(axis=1)), self.ids[known], self.near[known]
+        return np.repeat(self.ids, known.sum(axis=1)), self.others[known], self.near[known]
+
+
+def bit_columns(bits: np.ndarray) -> np.ndarray:
+    """Packed rows turned round: for each entry the rows that have it, 64 to a word; then a column without any."""
+    x = np.unpackbits(bits, axis=1)
+    x = np.pad(x, ((0, -len(x) % 64), (0, 0)))
+    words = np.packbits(np.ascontiguousarray(x.T), axis=1, bitorder="little").view(np.uint64)
+    return np.pad(words, ((0, 1), (0, 0)))
+
+
+def column_counts(words: np.ndarray, entries: np.ndarray, at_once: int = 16) -> list[np.ndarray]:
+    """How many of the columns ``entries`` (a query in each column) of ``words`` have a bit, as binary digits, lowest first.
+
+    Digits of one place wait until there are three, which become one of that place and one of the next.
+    """
+    waiting: list[list[np.ndarray]] = [[]]
+
+    def push(place: int, x: np.ndarray) -> None:
+        while True:
+            if place == len(waiting):
+                waiting.append([])
+            if len(waiting[place]) < 2:
+                waiting[place].append(x)
+                return
+            y, z = waiting[place]
+            carry = y & z
+            np.bitwise_xor(y, z, out=y)
+            np.bitwise_and(y, x, out=z)
+            np.bitwise_or(carry, z, out=carry)
+            np.bitwise_xor(x, y, out=x)
+            waiting[place] = [x]
+            place, x = place + 1, carry
+
+    for start in range(0, len(entries), at_once):
+        for x in words.take(entries[start : start + at_once], axis=0):
+            push(0, x)
+    place = 0
+    while place < len(waiting):
+        if len(waiting[place]) == 2:
+            y, z = waiting[place]
+            waiting[place] = [y ^ z]
+            push(place + 1, y & z)
+        place += 1
+    return [held[0] for held in waiting]

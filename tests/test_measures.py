@@ -100,3 +100,16 @@ def test_profile(spark):
     assert (rows[0]["length"], rows[0].n_words, rows[0].n_digits, rows[0].n_upper, rows[0].n_punct) == (9, 3, 2, 1, 2)
     assert rows[0].mean_word == pytest.approx(7 / 3) and rows[0].vowel_ratio == pytest.approx(1 / 9)
     assert rows[1].vowel_ratio is None and rows[1].mean_word is None
+
+
+def test_md5_bits_of_words_are_those_of_the_expressions(spark):
+    """In batches, without an array of n-grams in the plan; other blanks than the four belong to a word."""
+    texts = ["a b c d", " a\tb\r\nc  d e a b c d ", "a b c", "", "  ", None, "ü x 日本   y\x0bz w v w v w v", "a b c d\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    units = ff.text_units(F.col("t"), "word")
+    want = {r.i: r.fp for r in df.select("i", ff.hashed_bits(ff.ngrams(units, 4, "word"), 2048, "md5").alias("fp")).collect()}
+    made = add_fingerprint(df, "t", unit="word", method="md5")
+    assert {r.i: r.fp for r in made.collect()} == want and made.schema["fp"].dataType.simpleString() == "array<int>"
+    known = add_fingerprint(df, "t", unit="word", method="md5", valid_only=True)
+    assert {r.i: r.fp for r in known.collect()} == {i: fp for i, fp in want.items() if fp is not None}
+    assert "zip_with" not in known._jdf.queryExecution().toString()

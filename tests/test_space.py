@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,40 @@ def test_neighbours_in_rounds_equal_brute_force(spark, monkeypatch, n_bits):
     assert sum("nearest" in path for path in made[0][0].paths.values()) == 1
 
 
+def packed_rows(fps, n_bits, first=0):
+    x = np.zeros((len(fps), n_bits), np.uint8)
+    for row, bits in zip(x, fps):
+        row[list(bits)] = 1
+    return pd.DataFrame({"gid": range(first, first + len(fps)), "fp": [row.tobytes() for row in np.packbits(x, axis=1)]})
+
+
+@pytest.mark.parametrize("tiles, seed_rows", [((16, 70), 40), ((3, 64), 7), ((128, 4096), 1024)])
+def test_blocks_look_only_at_pairs_that_can_be_near(monkeypatch, tiles, seed_rows):
+    """Within a block and across two: the rows of brute force, ties and rows that share nothing included; few pairs pass the counts of whole words."""
+    rng = np.random.default_rng(11)
+    fps = [frozenset(int(b) for b in rng.choice(500 if i % 4 else 30, rng.integers(1, 30), replace=False)) for i in range(300)] + [frozenset({400 + i}) for i in range(20)]
+    fps = [fps[i] for i in rng.permutation(len(fps))]
+    near = lambda rows: {i: sorted(zip(g["dist"], g["other"]))[:4] for i, g in rows.groupby("gid")}
+    within = space.nearest_jaccard(packed_rows(fps, 500), None, 4, 500, tiles, seed_rows)
+    want = brute(dict(enumerate(fps)), 4)
+    assert near(within) == want and len(within) == 4 * len(fps)
+    left, right = packed_rows(fps[:170], 500), packed_rows(fps[170:], 500, 170)
+    looked, seen = [], space.Fingerprints.may_be_near
+    monkeypatch.setattr(space.Fingerprints, "may_be_near", lambda *a: looked.append(seen(*a)) or looked[-1])
+    parts = [space.nearest_jaccard(side, None, 4, 500, tiles, seed_rows) for side in (left, right)]
+    for side, part in zip((left, right), parts):
+        side["least"] = side["gid"].map(1 - part.groupby("gid")["dist"].max())
+    looked.clear()
+    across = space.nearest_jaccard(left, right, 4, 500, tiles, seed_rows)
+    assert near(pd.concat([*parts, across])) == want
+    assert sum(len(i) for i, _, _ in looked) < 0.7 * len(left) * len(right)
+
+
+def test_rows_with_one_id_are_no_neighbours(spark):
+    df = spark.createDataFrame([(1, [1, 2]), (1, [1, 2, 3]), (2, [1, 2, 3, 4])], "mol_id bigint, fp array<int>")
+    assert {(r.src, r.dst) for r in space.knn_jaccard(df, 1, n_bits=8).collect()} == {(1, 2), (2, 1)}
+
+
 def test_single_row_has_no_neighbours(spark):
     df = spark.createDataFrame([(1, [3])], "mol_id bigint, fp array<int>")
     assert space.knn_jaccard(df, 3).count() == 0
