@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from poolspark.catalog import standins as st
 from poolspark.catalog.modelling import full_run
+from poolspark.functions.features import DEFAULT_BITS
 from poolspark.operators import features, report, space
 from poolspark.plans import panels
 from poolspark.session import shared_dir, shared_table
@@ -119,7 +120,7 @@ def neighbour_panel(spark, sf_dir):
     """The neighbour map of the labelled documents on the first two components of their fingerprints."""
     labels = st.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     rows = shared_table(features.align(fingerprints(spark, sf_dir, wanted=labels), labels, ["doc_id"]), "labelled-bits")
-    projected, _ = space.fit_pca(features.dense_bits(rows).withColumn("target", F.lit("documents")).drop("fp"), 2)
+    projected, _ = space.fit_pca(rows.withColumn("target", F.lit("documents")), 2, features="fp", n_bits=DEFAULT_BITS)
     drawn = panels.neighbour_panel(space.knn_jaccard(rows, row_id="doc_id"), projected, "doc_id")
     return drawn.withColumns({c: F.round(c, 6) for c in ("dist", "src_x", "src_y", "dst_x", "dst_y")})
 

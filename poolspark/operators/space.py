@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolspark.functions.features import DEFAULT_BITS
@@ -24,23 +24,26 @@ BLOCK_COLUMNS = 256
 FAN_IN = 32
 # A task that scans rows hands its blocks on when they hold this many bytes.
 SCAN_BYTES = 128 * 1024 * 1024
+# Rows of on-bits that are spread out to 0/1 numbers at once.
+SPREAD_ROWS = 1024
 
 BLOCK_SCHEMA = "key string, i int, j int, n bigint, mean_i array<double>, mean_j array<double>, block array<double>"
 LOADING_SCHEMA = "key string, component int, explained double, cumulative double, mean array<double>, loading array<double>"
 
 
-def covariance_blocks(rows: DataFrame, block_columns: int = BLOCK_COLUMNS, fan_in: int = FAN_IN, scan_bytes: int = SCAN_BYTES) -> DataFrame:
+def covariance_blocks(rows: DataFrame, block_columns: int = BLOCK_COLUMNS, fan_in: int = FAN_IN, scan_bytes: int = SCAN_BYTES, n_bits: int | None = None) -> DataFrame:
     """(key, i, j, n, mean_i, mean_j, block) of rows (key, features): block (i, j), i <= j, of the centred cross products of each key.
 
     A scan adds up its own rows and hands on blocks, not rows; partial blocks of a key are then merged, ``fan_in`` at a time, by the
     pairwise formula for sums around different means. No task holds a whole matrix, nothing depends on the order of the rows beyond
-    rounding, and a key that holds all the rows gives no more blocks to a merge than a small one.
+    rounding, and a key that holds all the rows gives no more blocks to a merge than a small one. With ``n_bits``, features are the
+    on-bits of that many, spread out a few rows at a time.
     """
 
     def scan(batches):
         held: dict = {}
-        for batch in batches:
-            x = dense_rows(batch.column("features"))
+        for batch in (part for whole in batches for part in (_slices(whole) if n_bits else [whole])):
+            x = spread_rows(batch.column("features"), n_bits) if n_bits else dense_rows(batch.column("features"))
             codes, keys = pd.factorize(batch.column("key").to_pandas(), use_na_sentinel=False)
             for code, key in enumerate(keys):
                 key = None if pd.isna(key) else key
@@ -60,6 +63,18 @@ def covariance_blocks(rows: DataFrame, block_columns: int = BLOCK_COLUMNS, fan_i
     return partial
 
 
+def _slices(rows):
+    cut = rows.slice if isinstance(rows, pa.RecordBatch) else lambda start, n: rows[start : start + n]
+    return (cut(start, SPREAD_ROWS) for start in range(0, len(rows), SPREAD_ROWS))
+
+
+def spread_rows(column: pa.Array, n_bits: int) -> np.ndarray:
+    """list<int> column of on-bits -> n x n_bits matrix of 0/1 numbers."""
+    x = np.zeros((len(column), n_bits))
+    x[np.repeat(np.arange(len(column)), column.value_lengths()), column.flatten()] = 1.0
+    return x
+
+
 def with_rows(held: tuple | None, rows: np.ndarray) -> tuple:
     """(n, mean, centred cross products) of what ``held`` sums up and of ``rows``."""
     mean = rows.mean(axis=0)
@@ -135,22 +150,26 @@ def _decompose(n_components: int):
     return decompose
 
 
-def fit_pca(df: DataFrame, n_components: int = N_COMPONENTS, features: str = "features", key: str = "target") -> tuple[DataFrame, DataFrame]:
+def fit_pca(
+    df: DataFrame, n_components: int = N_COMPONENTS, features: str = "features", key: str = "target", n_bits: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(rows with an array column ``embedding``, variance table), components fitted for each ``key`` by itself.
 
     Rows without features are left out; rows without ``key`` are a group of their own. The variance table has (key, component from 1,
     explained ratio, running sum). Loadings go to the executors in blocks of at most BROADCAST_BYTES, a scan each; features are not shuffled.
+    With ``n_bits``, ``features`` are on-bits and stay so: no column of 0/1 numbers is made.
     """
     plain = df.where(F.col(features).isNotNull())
     if isinstance(df.schema[features].dataType, VectorUDT):
         plain = plain.withColumn(features, vector_to_array(features))
-    rows = plain.select(F.col(key).cast("string").alias("key"), F.col(features).cast("array<double>").alias("features"))
-    loadings = shared_table(principal_components(rows, n_components), "loadings")
+    values = F.col(features).cast("array<int>" if n_bits else "array<double>")
+    rows = plain.select(F.col(key).cast("string").alias("key"), values.alias("features"))
+    loadings = shared_table(principal_components(rows, n_components, n_bits=n_bits), "loadings")
     variance = loadings.select(F.col("key").cast(df.schema[key].dataType).alias(key), "component", "explained", "cumulative")
-    return _projected(plain, loadings, features, key), variance
+    return _projected(plain, loadings, values, key, n_bits), variance
 
 
-def _projected(plain: DataFrame, loadings: DataFrame, features: str, key: str) -> DataFrame:
+def _projected(plain: DataFrame, loadings: DataFrame, values: Column, key: str, n_bits: int | None) -> DataFrame:
     size = loadings.agg(F.sum(8 * F.size("loading") + F.when(F.col("component") == 1, 8 * F.size("mean")).otherwise(0))).head()[0] or 0
     n_parts = max(1, -(-2 * size // BROADCAST_BYTES))  # twice: parts are dealt by hash
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(n_parts))
@@ -162,18 +181,23 @@ def _projected(plain: DataFrame, loadings: DataFrame, features: str, key: str) -
             top.append(row.loading)
         sent = plain.sparkSession.sparkContext.broadcast({k: (mean, np.array(top)) for k, (mean, top) in held.items()})
         own = plain if n_parts == 1 else plain.where(part(F.col(key).cast("string")) == number)
-        embedded = own.withColumn("embedding", _embed(sent)(F.col(key).cast("string"), F.col(features).cast("array<double>")))
+        embedded = own.withColumn("embedding", _embed(sent, n_bits)(F.col(key).cast("string"), values))
         out = embedded if out is None else out.unionByName(embedded)
     return out
 
 
-def _embed(sent):
+def _embed(sent, n_bits: int | None):
     @F.pandas_udf("array<double>")
     def embed(keys: pd.Series, features: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(keys), dtype=object)
         for key, at in keys.groupby(keys, dropna=False).indices.items():
             mean, top = sent.value[None if pd.isna(key) else key]
-            points = (np.stack(features.iloc[at].to_numpy()) - mean) @ top.T
+            own = features.iloc[at].to_numpy()
+            if n_bits:
+                parts = (spread_rows(pa.array(part, pa.list_(pa.int32())), n_bits) for part in _slices(own))
+                points = np.concatenate([(x - mean) @ top.T for x in parts])
+            else:
+                points = (np.stack(own) - mean) @ top.T
             out.iloc[at] = pd.Series(list(points), dtype=object).to_numpy()
         return out
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,32 @@ def test_loadings_in_parts_give_the_same_points(spark, monkeypatch):
     np.testing.assert_allclose([whole[k] for k in whole], [parts[k] for k in whole], atol=1e-9)
 
 
+def test_components_of_on_bits_are_those_of_numbers(spark, monkeypatch):
+    """A few rows at a time are spread out; the neighbour map of the catalog makes no column of numbers."""
+    rng = np.random.default_rng(6)
+    rows = [(t, i, sorted(int(b) for b in rng.choice(20, rng.integers(0, 9), replace=False)), 0) for t in "AB" for i in range(40)]
+    df = spark.createDataFrame([*rows, ("A", 99, None, 0)], "target string, mol_id bigint, fp array<int>, label int").repartition(2)
+    dense, shares = space.fit_pca(features.dense_bits(df, n_bits=20), 2)
+    monkeypatch.setattr(space, "SPREAD_ROWS", 7)
+    made, parts = space.fit_pca(df, 2, features="fp", n_bits=20)
+    points = lambda out: {(r.target, r.mol_id): r.embedding for r in out.collect()}
+    want, found = points(dense), points(made)
+    assert found.keys() == want.keys() and len(found) == 80
+    np.testing.assert_allclose([found[i] for i in want], [want[i] for i in want], atol=1e-9)
+    np.testing.assert_allclose(sorted(r.explained for r in parts.collect()), sorted(r.explained for r in shares.collect()), atol=1e-9)
+    x = space.spread_rows(pa.array([[1], [], [0, 2]], pa.list_(pa.int32())).slice(1), 3)
+    assert x.tolist() == [[0, 0, 0], [1, 0, 1]]
+    assert [len(part) for part in space._slices(pa.record_batch({"i": list(range(16))}))] == [7, 7, 2]
+
+
+def test_neighbour_map_makes_no_column_of_numbers(spark, tmp_path, monkeypatch):
+    text = lambda i: " ".join(f"w{i % 3 + j}" for j in range(6 + i % 2))
+    spark.createDataFrame([(i, text(i)) for i in range(12)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(features, "dense_bits", None)
+    assert spaces.neighbour_panel(spark, str(tmp_path)).count() == 90
+
+
 def test_neighbour_panel_places_both_ends(spark):
     rows = spark.createDataFrame([(1, [1, 2], 0), (2, [1, 3], 1), (3, [5], 1)], "mol_id bigint, fp array<int>, label int")
     points = rows.select("mol_id", "label", F.array(F.col("mol_id").cast("double"), -F.col("mol_id").cast("double")).alias("embedding"))
